@@ -51,7 +51,12 @@ def oracle(name: str, sql: str) -> None:
 
 
 def r6(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0e0 AS {n}" for n in names)
+    return ", ".join(f"{q6(n)} AS {n}" for n in names)
+
+
+def q6(x: str) -> str:
+    """Six decimals by one product and one floor, so both engines round alike."""
+    return f"floor({x} * 1e6 + 0.5e0) / 1e6"
 
 
 def ts(c: str, name: str | None = None) -> str:
@@ -80,10 +85,10 @@ part("moves", """SELECT symbol, rn - 1 AS i, greatest(close - pc, 0) AS gain, gr
     greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
     CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm,
     CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS mdm FROM bars_n WHERE rn > 1""")
-part("rec_wild", """SELECT symbol, cast(14 as bigint) AS i, sum(gain) / 14 AS ag, sum(loss) / 14 AS al, sum(tr) / 14 AS at, sum(tr) AS trs, sum(pdm) AS ps, sum(mdm) AS ms
+part("rec_wild", """SELECT symbol, cast(14 as bigint) AS i, sum(gain) / 14 AS ag, sum(loss) / 14 AS al, sum(tr) / 14 AS wat, sum(tr) AS trs, sum(pdm) AS ps, sum(mdm) AS ms
     FROM moves WHERE i <= 14 GROUP BY symbol HAVING count(*) = 14
     UNION ALL
-    SELECT m.symbol, m.i, (w.ag * 13 + m.gain) / 14, (w.al * 13 + m.loss) / 14, (w.at * 13 + m.tr) / 14,
+    SELECT m.symbol, m.i, (w.ag * 13 + m.gain) / 14, (w.al * 13 + m.loss) / 14, (w.wat * 13 + m.tr) / 14,
            w.trs - w.trs / 14 + m.tr, w.ps - w.ps / 14 + m.pdm, w.ms - w.ms / 14 + m.mdm
     FROM rec_wild w JOIN moves m ON m.symbol = w.symbol AND m.i = w.i + 1""")
 part("dir_moves", """SELECT symbol, i - 14 AS j, CASE WHEN trs <> 0 THEN 100 * ps / trs ELSE 0 END AS pdi, CASE WHEN trs <> 0 THEN 100 * ms / trs ELSE 0 END AS mdi
@@ -91,20 +96,18 @@ part("dir_moves", """SELECT symbol, i - 14 AS j, CASE WHEN trs <> 0 THEN 100 * p
 part("dx_rows", "SELECT *, CASE WHEN pdi + mdi <> 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) ELSE 0 END AS dx FROM dir_moves")
 part("rec_adx", """SELECT symbol, cast(14 as bigint) AS j, sum(dx) / 14 AS adx FROM dx_rows WHERE j <= 14 GROUP BY symbol HAVING count(*) = 14
     UNION ALL SELECT d.symbol, d.j, (a.adx * 13 + d.dx) / 14 FROM rec_adx a JOIN dx_rows d ON d.symbol = a.symbol AND d.j = a.j + 1""")
-part("ind", f"""SELECT b.*,
-    CASE WHEN b.rn >= 20 THEN avg(close) OVER ({W} ROWS 19 PRECEDING) END AS sma20,
-    CASE WHEN b.rn >= 50 THEN avg(close) OVER ({W} ROWS 49 PRECEDING) END AS sma50,
-    CASE WHEN b.rn >= 200 THEN avg(close) OVER ({W} ROWS 199 PRECEDING) END AS sma200,
-    CASE WHEN b.rn > 20 THEN
-      CASE WHEN min(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = max(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
-           THEN sign(volume - min(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) * 5e0
-           ELSE (volume - avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) / stddev_pop(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END
-      END AS vol_z,
+part("ind_w", f"""SELECT *,
+    CASE WHEN rn >= 20 THEN avg(close) OVER ({W} ROWS 19 PRECEDING) END AS sma20,
+    CASE WHEN rn >= 50 THEN avg(close) OVER ({W} ROWS 49 PRECEDING) END AS sma50,
+    CASE WHEN rn >= 200 THEN avg(close) OVER ({W} ROWS 199 PRECEDING) END AS sma200,
+    avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vm, stddev_pop(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vs,
+    min(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vlo, max(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vhi,
     max(close) OVER ({W} ROWS 249 PRECEDING) AS hi52, min(close) OVER ({W} ROWS 249 PRECEDING) AS lo52,
     close / lag(close, 63) OVER ({W}) - 1 AS ret63,
-    list_sort(list(turnover) OVER ({W} ROWS 19 PRECEDING)) AS t20, list_filter(list(delivery_pct) OVER ({W} ROWS 19 PRECEDING), lambda x: x <> 0) AS d20,
-    w.ag, w.al, w.at AS atr, a.adx, CASE WHEN a.adx IS NOT NULL THEN d.pdi END AS plus_di, CASE WHEN a.adx IS NOT NULL THEN d.mdi END AS minus_di
-    FROM bars_n b LEFT JOIN rec_wild w ON w.symbol = b.symbol AND w.i = b.rn - 1
+    list_sort(list(turnover) OVER ({W} ROWS 19 PRECEDING)) AS t20, list_filter(list(delivery_pct) OVER ({W} ROWS 19 PRECEDING), lambda x: x <> 0) AS d20 FROM bars_n""")
+part("ind", """SELECT b.*, CASE WHEN b.rn > 20 THEN CASE WHEN vlo = vhi THEN sign(volume - vlo) * 5e0 ELSE (volume - vm) / vs END END AS vol_z,
+    w.ag, w.al, w.wat AS atr, a.adx, CASE WHEN a.adx IS NOT NULL THEN d.pdi END AS plus_di, CASE WHEN a.adx IS NOT NULL THEN d.mdi END AS minus_di
+    FROM ind_w b LEFT JOIN rec_wild w ON w.symbol = b.symbol AND w.i = b.rn - 1
     LEFT JOIN dir_moves d ON d.symbol = b.symbol AND d.j = b.rn - 15
     LEFT JOIN rec_adx a ON a.symbol = b.symbol AND a.j = b.rn - 15""")
 part("ind2", """SELECT *, t20[len(t20) // 2 + 1] AS median_turnover,
@@ -118,7 +121,7 @@ oracle("zscore_volume", f"SELECT symbol, trade_date, {r6('vol_z')} FROM ind2")
 oracle("range_52w", f"SELECT symbol, trade_date, {r6('hi52', 'lo52')} FROM ind2")
 oracle("upper_median_turnover", "SELECT symbol, trade_date, median_turnover FROM ind2")
 oracle("rsi_wilder", f"SELECT symbol, trade_date, {r6('rsi')} FROM ind2")
-oracle("atr_wilder", f"SELECT symbol, trade_date, {r6('atr')} FROM ind2")
+oracle("atr_wilder", "SELECT symbol, trade_date, floor(atr * 1e4 + 0.5e0) / 1e4 AS atr FROM ind2")
 oracle("adx_wilder", f"SELECT symbol, trade_date, {r6('adx', 'plus_di', 'minus_di')} FROM ind2")
 oracle("delivery_trend", "SELECT symbol, trade_date, delivery_pts FROM ind2")
 part("last_rs", f"SELECT symbol, close / lag(close, 63) OVER ({W}) - 1 AS ret63, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars")
@@ -156,8 +159,8 @@ oracle("sparkline", f"SELECT symbol, trade_date, {r6('close', 'position')} FROM
 # ---------------------------------------------------------------- as-of and performance
 
 part("quarter_grid", "SELECT s.symbol, q.day FROM securities s, (SELECT DISTINCT period_end AS day FROM quarters) q")
-oracle("asof_backward", f"SELECT g.symbol, g.day, b.trade_date AS bar_date, round(b.close, 6) + 0e0 AS close FROM quarter_grid g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.day >= b.trade_date")
-oracle("asof_forward", f"SELECT g.symbol, g.day, b.trade_date AS bar_date, round(b.close, 6) + 0e0 AS close FROM quarter_grid g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.day <= b.trade_date")
+oracle("asof_backward", f"SELECT g.symbol, g.day, b.trade_date AS bar_date, floor((b.close) * 1e6 + 0.5e0) / 1e6 AS close FROM quarter_grid g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.day >= b.trade_date")
+oracle("asof_forward", f"SELECT g.symbol, g.day, b.trade_date AS bar_date, floor((b.close) * 1e6 + 0.5e0) / 1e6 AS close FROM quarter_grid g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.day <= b.trade_date")
 part("fwd", f"SELECT symbol, trade_date, close, row_number() OVER ({W}) AS rn, " + ", ".join(f"lead(close, {n}) OVER ({W}) AS close_{k}, lead(close, {n}) OVER ({W}) / close - 1 AS ret_{k}" for k, n in K.FORWARD_WINDOWS.items()) + " FROM bars")
 part("idx_fwd", f"SELECT trade_date, close, " + ", ".join(f"lead(close, {n}) OVER ({W}) AS close_{k}, lead(close, {n}) OVER ({W}) / close - 1 AS ret_{k}" for k, n in K.FORWARD_WINDOWS.items()) + " FROM index_bars")
 oracle("forward_returns", f"SELECT symbol, trade_date, {r6('ret_1w', 'ret_4w', 'ret_12w')} FROM fwd")
@@ -169,7 +172,7 @@ part("measured", " UNION ALL ".join(
 oracle("signal_performance", f"SELECT signal_id, \"window\", stance, profile, {r6('entry_price', 'exit_price', 'ret', 'index_ret', 'excess')} FROM measured")
 oracle("performance_pending", "SELECT \"window\", count(*) AS n FROM measured WHERE \"window\" <> '1w' GROUP BY 1")
 oracle("performance_summary", f"SELECT stance, \"window\", n, {r6('avg_excess_pct', 'hit_rate_pct')} FROM (SELECT stance, \"window\", count(*) AS n, 100 * avg(excess) AS avg_excess_pct, 100 * avg(CASE WHEN excess > 0 THEN 1e0 WHEN excess <= 0 THEN 0e0 END) AS hit_rate_pct FROM measured WHERE model_version = '{K.FUSION_VERSION}' GROUP BY 1, 2)")
-oracle("buy_and_hold", "SELECT round(100 * ((SELECT arg_max(close, trade_date) FROM index_n) / (SELECT close FROM index_n WHERE i = 80) - 1), 6) + 0e0 AS buy_hold_pct")
+oracle("buy_and_hold", "SELECT floor((100 * ((SELECT arg_max(close, trade_date) FROM index_n) / (SELECT close FROM index_n WHERE i = 80) - 1)) * 1e6 + 0.5e0) / 1e6 AS buy_hold_pct")
 
 # ---------------------------------------------------------------- fundamentals
 
@@ -215,7 +218,7 @@ part("rec_rev", """SELECT symbol, period_end, basis, rn, doc, revenue FROM rev_n
       CASE WHEN greatest(n.revenue, r.revenue) > 5 * least(n.revenue, r.revenue) AND abs(r.revenue - m.o[len(m.o) // 2 + 1]) < abs(n.revenue - m.o[len(m.o) // 2 + 1]) THEN r.revenue ELSE n.revenue END
     FROM rec_rev r JOIN rev_n n ON n.symbol = r.symbol AND n.period_end = r.period_end AND n.basis = r.basis AND n.rn = r.rn + 1
     LEFT JOIN rev_med m ON m.symbol = n.symbol AND m.period_end = n.period_end""")
-oracle("revision_dedup_misfile", "SELECT symbol, period_end, basis, arg_max(doc, rn) AS doc, round(arg_max(revenue, rn), 6) + 0e0 AS revenue FROM rec_rev GROUP BY 1, 2, 3")
+oracle("revision_dedup_misfile", "SELECT symbol, period_end, basis, arg_max(doc, rn) AS doc, floor((arg_max(revenue, rn)) * 1e6 + 0.5e0) / 1e6 AS revenue FROM rec_rev GROUP BY 1, 2, 3")
 _FACT = lambda f: f"max(CASE WHEN fact = '{f}' THEN text END)"
 _NUM = lambda f: f"try_cast({_FACT(f)} as double)"
 part("main_facts", "SELECT f.* FROM result_facts f JOIN (SELECT doc, arg_min(context, seq) AS context FROM result_facts WHERE fact = 'DateOfEndOfReportingPeriod' GROUP BY 1) m ON m.doc = f.doc AND m.context = f.context")
@@ -224,7 +227,7 @@ part("instances", f"""SELECT doc, nullif(upper(trim({_FACT('Symbol')})), '') AS
     lower({_FACT('WhetherResultsAreAuditedOrUnaudited')}) LIKE 'audited%' AS audited, coalesce({_NUM('RevenueFromOperations')}, {_NUM('InterestEarned')}) AS revenue,
     {_NUM('OtherIncome')} AS other_income, {_NUM('Income')} AS total_income, {_NUM('Expenses')} AS expenses, {_NUM('FinanceCosts')} AS finance_costs, {_NUM('ProfitBeforeTax')} AS pbt, {_NUM('TaxExpense')} AS tax, {_NUM('ProfitLossForPeriod')} AS pat
     FROM main_facts GROUP BY doc""")
-oracle("xbrl_quarters", f"SELECT i.doc, coalesce(i.own_symbol, q.symbol) AS symbol, period_start, i.period_end, i.basis, i.audited, {', '.join(f'round(i.{c}, 6) + 0e0 AS {c}' for c in ('revenue', 'other_income', 'total_income', 'expenses', 'finance_costs', 'pbt', 'tax', 'pat'))} FROM instances i JOIN quarters q ON i.doc = 'd' || cast(q.filing_id as string) WHERE i.period_end - i.period_start BETWEEN 80 AND 100")
+oracle("xbrl_quarters", f"SELECT i.doc, coalesce(i.own_symbol, q.symbol) AS symbol, period_start, i.period_end, i.basis, i.audited, {', '.join(f'floor((i.{c}) * 1e6 + 0.5e0) / 1e6 AS {c}' for c in ('revenue', 'other_income', 'total_income', 'expenses', 'finance_costs', 'pbt', 'tax', 'pat'))} FROM instances i JOIN quarters q ON i.doc = 'd' || cast(q.filing_id as string) WHERE i.period_end - i.period_start BETWEEN 80 AND 100")
 part("hold_raw", f"""SELECT doc, max(CASE WHEN promoter AND fact = '{K.PROMOTER_PCT_FACT}' THEN cast(text as double) END) AS p,
     coalesce(max(CASE WHEN promoter AND fact = '{K.ENCUMBERED_PCT_FACTS[0]}' THEN cast(text as double) END), max(CASE WHEN promoter AND fact = '{K.ENCUMBERED_PCT_FACTS[1]}' THEN cast(text as double) END)) AS e,
     max(CASE WHEN promoter AND fact = '{K.ENCUMBERED_NUM_FACTS[0]}' THEN cast(text as double) END) AS shares,
@@ -298,11 +301,11 @@ part("merged_all", _merge("securities"))
 oracle("rename_aliases", "SELECT security_id, old_symbol AS alias, 'old_symbol' AS alias_type FROM merged_all WHERE old_symbol IS NOT NULL UNION ALL SELECT security_id, old_name, 'old_name' FROM merged_all WHERE old_name IS NOT NULL")
 part("stated", "SELECT DISTINCT ON (symbol) symbol, stated_industry AS ind_new FROM filings WHERE stated_industry IS NOT NULL AND stated_industry <> '-' AND symbol IS NOT NULL ORDER BY symbol, observed_at DESC, filing_id DESC")
 oracle("industry_accretion", "SELECT s.security_id, s.symbol, s.industry AS old_industry, f.ind_new AS industry FROM securities s JOIN stated f ON f.symbol = s.symbol WHERE coalesce(s.industry, '') <> f.ind_new")
-part("att_n", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at, attempt_id) AS rn, sum(CASE WHEN outcome = 'unavailable' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY at, attempt_id) AS tries FROM attempts")
+part("att_n", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY moment, attempt_id) AS rn, sum(CASE WHEN outcome = 'unavailable' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY moment, attempt_id) AS tries FROM attempts")
 part("att_end", "SELECT doc_id, min(CASE WHEN outcome IN ('ok', 'error') OR (outcome = 'unavailable' AND tries >= 4) THEN rn END) AS stop FROM att_n GROUP BY 1")
 part("doc_states", """SELECT e.doc_id, CASE WHEN e.stop IS NULL THEN 'pending' WHEN t.outcome = 'ok' THEN 'fetched' ELSE 'failed' END AS fetch_status,
     cast((SELECT count(*) FROM att_n a WHERE a.doc_id = e.doc_id AND a.outcome = 'unavailable' AND a.rn <= coalesce(e.stop, 1000000)) as bigint) AS attempts,
-    (SELECT max(at) FROM att_n a WHERE a.doc_id = e.doc_id AND a.outcome = 'unavailable' AND e.stop IS NULL) AS last_try FROM att_end e LEFT JOIN att_n t ON t.doc_id = e.doc_id AND t.rn = e.stop""")
+    (SELECT max(moment) FROM att_n a WHERE a.doc_id = e.doc_id AND a.outcome = 'unavailable' AND e.stop IS NULL) AS last_try FROM att_end e LEFT JOIN att_n t ON t.doc_id = e.doc_id AND t.rn = e.stop""")
 part("doc_next", "SELECT *, last_try + to_minutes(CASE attempts WHEN 1 THEN 5 WHEN 2 THEN 15 ELSE 45 END) AS next_attempt_at FROM doc_states")
 oracle("document_state", f"SELECT doc_id, fetch_status, attempts, {ts('next_attempt_at')} FROM doc_next")
 oracle("due_documents", "SELECT doc_id, attempts FROM doc_next WHERE fetch_status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-20') ORDER BY doc_id LIMIT 100")
@@ -330,7 +333,7 @@ part("prom", "SELECT symbol, max(CASE WHEN r = 1 THEN pct END) AS promoter_pct,
 oracle("promoter_delta", f"SELECT symbol, {r6('promoter_pct', 'promoter_delta')} FROM prom")
 part("surv3", f"SELECT symbol, min(CASE framework WHEN 'gsm' THEN 0e0 WHEN 'asm_lt' THEN 5e0 ELSE 10e0 END) AS surv_pts FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY as_of DESC, framework) AS r FROM surveillance WHERE as_of <= {TODAY}) WHERE r <= 3 GROUP BY 1")
 part("flow0", f"""SELECT u.symbol, n.net_rs, t.rs, p.promoter_delta, coalesce(i.n, 0) AS insider_n, coalesce(s.surv_pts, 25e0) AS surv_pts,
-    CASE WHEN t.rs > 0 THEN greatest(-0.5e0, least(0.5e0, n.net_rs / t.rs)) END AS deal_ratio
+    CASE WHEN t.rs > 0 AND n.net_rs IS NOT NULL THEN greatest(-0.5e0, least(0.5e0, n.net_rs / t.rs)) END AS deal_ratio
     FROM (SELECT symbol FROM deals UNION SELECT symbol FROM surveillance UNION SELECT symbol FROM live_f WHERE feed = 'shareholding_pattern' AND symbol IS NOT NULL) u
     LEFT JOIN net n ON n.symbol = u.symbol LEFT JOIN (SELECT symbol, sum(turnover) * 1e5 AS rs FROM bars WHERE trade_date <= {TODAY} AND trade_date >= {TODAY} - 28 GROUP BY 1) t ON t.symbol = u.symbol
     LEFT JOIN prom p ON p.symbol = u.symbol LEFT JOIN (SELECT symbol, count(*) AS n FROM live_f WHERE feed IN ('insider_trading', 'sast_reg29') AND observed_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1) i ON i.symbol = u.symbol
@@ -492,22 +495,22 @@ part("mo", f"SELECT filing_id, error, CASE WHEN error IS NULL THEN json_extract_
 oracle("validate_model_json", f"SELECT filing_id, error, m_category, {r6('m_materiality', 'm_sentiment', 'm_confidence')}, m_summary FROM mo")
 part("mm0", f"SELECT r.*, m.m_category, m.m_sentiment, m.m_confidence, m.m_summary, cast({pyr('m.m_materiality', 0)} as int) AS mi, coalesce(r.rule IS NOT NULL AND r.confidence > m.m_confidence, false) AS lead_rule, m.m_category IS NOT NULL AND NOT coalesce(r.routine OR r.confidence >= 0.75e0, false) AS use_m FROM ruled r LEFT JOIN mo m ON m.filing_id = r.filing_id")
 part("mm1", "SELECT *, CASE WHEN lead_rule THEN category ELSE m_category END AS mc, CASE WHEN lead_rule THEN greatest(mi, materiality) ELSE mi END AS mx FROM mm0")
-oracle("merge_model_output", f"""SELECT m.filing_id, CASE WHEN use_m THEN mc ELSE f.category END AS category, cast(CASE WHEN use_m THEN {_FLOOR('mc', 'mx')} ELSE f.materiality END as bigint) AS materiality, round(CASE WHEN use_m THEN m_sentiment ELSE f.sentiment END, 6) + 0e0 AS sentiment,
-    round(CASE WHEN use_m THEN m_confidence ELSE f.confidence END, 6) + 0e0 AS confidence, CASE WHEN use_m THEN false ELSE f.routine END AS routine, CASE WHEN use_m THEN 'model' ELSE 'rules' END AS engine, CASE WHEN use_m THEN m.rule ELSE f.rule_trace END AS rule_trace, CASE WHEN use_m THEN nullif(m_summary, '') END AS summary FROM mm1 m JOIN final_absent f ON f.filing_id = m.filing_id""")
+oracle("merge_model_output", f"""SELECT m.filing_id, CASE WHEN use_m THEN mc ELSE f.category END AS category, cast(CASE WHEN use_m THEN {_FLOOR('mc', 'mx')} ELSE f.materiality END as bigint) AS materiality, floor((CASE WHEN use_m THEN m_sentiment ELSE f.sentiment END) * 1e6 + 0.5e0) / 1e6 AS sentiment,
+    floor((CASE WHEN use_m THEN m_confidence ELSE f.confidence END) * 1e6 + 0.5e0) / 1e6 AS confidence, CASE WHEN use_m THEN false ELSE f.routine END AS routine, CASE WHEN use_m THEN 'model' ELSE 'rules' END AS engine, CASE WHEN use_m THEN m.rule ELSE f.rule_trace END AS rule_trace, CASE WHEN use_m THEN nullif(m_summary, '') END AS summary FROM mm1 m JOIN final_absent f ON f.filing_id = m.filing_id""")
 part("ev_pred", f"SELECT l.*, coalesce(c.category, 'UNCLASSIFIED') AS predicted, c.materiality AS pm FROM label_rows l LEFT JOIN (SELECT * FROM classifications WHERE model_version = '{V5}') c ON c.filing_id = l.filing_id")
 part("ev_rank", "SELECT rank() OVER (ORDER BY pm) + (count(*) OVER (PARTITION BY pm) - 1) / 2e0 AS rx, rank() OVER (ORDER BY label_materiality) + (count(*) OVER (PARTITION BY label_materiality) - 1) / 2e0 AS ry FROM ev_pred WHERE pm IS NOT NULL")
-oracle("eval_accuracy_spearman", "SELECT labelled, round(acc, 6) + 0e0 AS accuracy, round(rho, 6) + 0e0 AS spearman, CASE WHEN acc >= 0.85 AND rho >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT count(*) AS labelled, avg(CASE WHEN predicted = label_category THEN 1e0 ELSE 0e0 END) AS acc FROM ev_pred), (SELECT corr(rx, ry) AS rho FROM ev_rank)")
+oracle("eval_accuracy_spearman", "SELECT labelled, floor((acc) * 1e6 + 0.5e0) / 1e6 AS accuracy, floor((rho) * 1e6 + 0.5e0) / 1e6 AS spearman, CASE WHEN acc >= 0.85 AND rho >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT count(*) AS labelled, avg(CASE WHEN predicted = label_category THEN 1e0 ELSE 0e0 END) AS acc FROM ev_pred), (SELECT corr(rx, ry) AS rho FROM ev_rank)")
 oracle("eval_misses", "SELECT filing_id, predicted, label_category FROM ev_pred WHERE predicted <> label_category")
 part("strat", f"SELECT f.filing_id, f.feed, f.subject, c.routine, c.engine, c.rule_trace FROM filings f JOIN classifications c ON c.filing_id = f.filing_id WHERE c.model_version = '{V5}'")
 _ST = {"routine": "routine", "rules": "NOT routine AND engine = 'rules' AND rule_trace NOT LIKE '%no_llm%' AND rule_trace NOT LIKE '%llm_unavailable%'", "model": "engine IN ('local', 'online', 'model')"}
 oracle("stratified_sample", " UNION ALL ".join(f"(SELECT '{n}' AS stratum, filing_id, feed, subject, rn FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY filing_id % {p}, filing_id) AS rn FROM strat WHERE {_ST[n]}) ORDER BY rn, feed LIMIT {k})" for n, p, k in K.SAMPLE_STRATA))
-oracle("coverage_diff", "SELECT cast(event_at as date) AS day, count(*) AS expected, count(*) FILTER (source = 'rss') AS held, round(100 * avg(CASE WHEN source = 'rss' THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS coverage_pct FROM filings WHERE feed = 'announcements' GROUP BY 1")
+oracle("coverage_diff", "SELECT cast(event_at as date) AS day, count(*) AS expected, count(*) FILTER (source = 'rss') AS held, floor((100 * avg(CASE WHEN source = 'rss' THEN 1e0 ELSE 0e0 END)) * 1e6 + 0.5e0) / 1e6 AS coverage_pct FROM filings WHERE feed = 'announcements' GROUP BY 1")
 part("rc_basis", "SELECT DISTINCT ON (symbol) symbol, basis FROM (SELECT symbol, basis, count(*) AS n FROM quarters GROUP BY 1, 2 HAVING count(*) >= 4) ORDER BY symbol, CASE WHEN basis = 'consolidated' THEN 0 ELSE 1 END, n DESC, basis")
 part("rc_own", "SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY q.symbol ORDER BY q.period_end DESC) AS r FROM quarters q JOIN rc_basis b ON b.symbol = q.symbol AND b.basis = q.basis) WHERE r <= 8")
 part("rc_vals", "SELECT o.symbol, o.basis, o.revenue / 1e7 AS a, t.revenue_cr AS b FROM rc_own o JOIN theirs t ON t.symbol = o.symbol AND t.period_end = o.period_end UNION ALL SELECT o.symbol, o.basis, o.pat / 1e7, t.pat_cr FROM rc_own o JOIN theirs t ON t.symbol = o.symbol AND t.period_end = o.period_end")
 part("rc", "SELECT symbol, basis, count(*) AS compared, count(*) FILTER (abs(a - b) > greatest(0.02e0 * abs(b), 1e0)) AS outside FROM rc_vals GROUP BY 1, 2")
 oracle("reconcile_tolerance", "SELECT symbol, basis, compared, outside FROM rc")
-oracle("reconcile_gate", "SELECT count(*) AS symbols, round(100 * avg(CASE WHEN outside = 0 THEN 1e0 ELSE 0e0 END), 6) + 0e0 AS within_pct, CASE WHEN 100 * avg(CASE WHEN outside = 0 THEN 1e0 ELSE 0e0 END) >= 95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM rc")
+oracle("reconcile_gate", "SELECT count(*) AS symbols, floor((100 * avg(CASE WHEN outside = 0 THEN 1e0 ELSE 0e0 END)) * 1e6 + 0.5e0) / 1e6 AS within_pct, CASE WHEN 100 * avg(CASE WHEN outside = 0 THEN 1e0 ELSE 0e0 END) >= 95 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM rc")
 
 # ---------------------------------------------------------------- calendar
 
@@ -523,8 +526,8 @@ oracle("session_state", "SELECT e.event_id, CASE WHEN isodow(e.l) >= 6 OR h.day
 # ---------------------------------------------------------------- views
 
 part("feed_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{p}')" for f, p in K.FEEDS) + ") AS f(feed, priority)")
-part("poll_state", """SELECT feed, max(at) AS last_polled_at, max(CASE WHEN new > 0 THEN at END) AS last_changed_at, arg_max(status, at) AS last_status, cast(sum(CASE WHEN status = 'ok' THEN seen ELSE 0 END) as bigint) AS entries_seen, cast(sum(CASE WHEN status = 'ok' THEN new ELSE 0 END) as bigint) AS entries_new,
-    count(*) FILTER (status = 'error' AND since_ok = 0) AS consecutive_errors FROM (SELECT *, count(*) FILTER (status = 'ok') OVER (PARTITION BY feed ORDER BY at DESC, poll_id DESC) AS since_ok FROM polls) GROUP BY feed""")
+part("poll_state", """SELECT feed, max(moment) AS last_polled_at, max(CASE WHEN new > 0 THEN moment END) AS last_changed_at, arg_max(status, moment) AS last_status, cast(sum(CASE WHEN status = 'ok' THEN seen ELSE 0 END) as bigint) AS entries_seen, cast(sum(CASE WHEN status = 'ok' THEN new ELSE 0 END) as bigint) AS entries_new,
+    count(*) FILTER (status = 'error' AND since_ok = 0) AS consecutive_errors FROM (SELECT *, count(*) FILTER (status = 'ok') OVER (PARTITION BY feed ORDER BY moment DESC, poll_id DESC) AS since_ok FROM polls) GROUP BY feed""")
 oracle("feed_state", f"SELECT feed, {ts('last_polled_at')}, {ts('last_changed_at')}, last_status, entries_seen, entries_new, consecutive_errors FROM poll_state")
 part("poll_known", "SELECT * FROM poll_state WHERE feed <> 'brsr'")
 oracle("view_feeds", "SELECT d.feed, d.priority, coalesce(s.last_status, 'never') AS last_status, s.entries_seen FROM feed_dim d LEFT JOIN poll_known s ON s.feed = d.feed")
@@ -543,9 +546,9 @@ part("px260", f"SELECT symbol, arg_max(close, trade_date) AS price, max(close) A
 part("ttm", "SELECT symbol, CASE WHEN count(*) FILTER (eps_basic <> 0) = 4 THEN sum(eps_basic) END AS eps_ttm, arg_max(paidup, period_end) AS pu, arg_max(face, period_end) AS fv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS back FROM quarters_live WHERE basis = 'consolidated') WHERE back <= 4 GROUP BY 1")
 oracle("view_company", f"SELECT symbol, {r6('price', 'high_52w', 'low_52w', 'eps_ttm', 'pe_ttm', 'mcap_cr')} FROM (SELECT p.*, t.eps_ttm, p.price / nullif(t.eps_ttm, 0) AS pe_ttm, t.pu / t.fv * p.price / 1e7 AS mcap_cr FROM px260 p LEFT JOIN ttm t ON t.symbol = p.symbol)")
 part("hold_lag", "SELECT *, pct - lead(pct) OVER (PARTITION BY symbol ORDER BY event_at DESC, filing_id DESC) AS dl FROM holdings")
-oracle("shareholding_series", f"SELECT symbol, filing_id, strftime(event_at, '%Y-%m-%d') AS as_on, round(pct, 6) + 0e0 AS promoter_pct, round(pub, 6) + 0e0 AS public_pct, {pyr('dl', 2)} AS promoter_delta FROM hold_lag WHERE r <= 8")
+oracle("shareholding_series", f"SELECT symbol, filing_id, strftime(event_at, '%Y-%m-%d') AS as_on, floor((pct) * 1e6 + 0.5e0) / 1e6 AS promoter_pct, floor((pub) * 1e6 + 0.5e0) / 1e6 AS public_pct, {pyr('dl', 2)} AS promoter_delta FROM hold_lag WHERE r <= 8")
 part("qs", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC, basis) AS back FROM quarters_live q WHERE basis = 'consolidated' OR NOT EXISTS (SELECT 1 FROM quarters_live c WHERE c.symbol = q.symbol AND c.basis = 'consolidated')")
-_QS = lambda m, e: f"SELECT symbol, '{m}' AS metric, " + ", ".join(f"round(max(CASE WHEN back = {i} THEN {e} END), 6) + 0e0 AS q{i}" for i in range(1, 9)) + " FROM qs GROUP BY symbol"
+_QS = lambda m, e: f"SELECT symbol, '{m}' AS metric, " + ", ".join(f"floor((max(CASE WHEN back = {i} THEN {e} END)) * 1e6 + 0.5e0) / 1e6 AS q{i}" for i in range(1, 9)) + " FROM qs GROUP BY symbol"
 oracle("quarter_sheet", " UNION ALL ".join(_QS(m, e) for m, e in (("revenue_cr", "revenue / 1e7"), ("pat_cr", "pat / 1e7"), ("eps", "eps_basic"))))
 part("board", f"SELECT s.symbol AS peer, s.industry, t.score AS a4, f.score AS a3, g.stance, g.conviction FROM securities s LEFT JOIN tech_live t ON t.symbol = s.symbol LEFT JOIN fund_live f ON f.symbol = s.symbol LEFT JOIN (SELECT DISTINCT ON (symbol) * FROM signals WHERE as_of <= {NOW} AND profile = 'default' ORDER BY symbol, as_of DESC, signal_id DESC) g ON g.symbol = s.symbol WHERE s.industry IS NOT NULL AND coalesce(t.score, f.score, g.conviction) IS NOT NULL")
 oracle("peer_board", "SELECT symbol, peer, industry, a4, a3, stance, conviction FROM (SELECT s.symbol, b.*, row_number() OVER (PARTITION BY s.symbol ORDER BY coalesce(b.conviction, 0) DESC, b.peer) AS r FROM securities s JOIN board b ON b.industry = s.industry AND b.peer <> s.symbol) WHERE r <= 8")

@@ -35,8 +35,13 @@ def poll_now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
+def q6(x, scale: float = 1e6):
+    """Six decimals by one product and one floor, so both engines round alike."""
+    return F.floor(x * scale + 0.5).cast("double") / scale
+
+
 def r6(*names: str):
-    return [(F.round(F.col(n), 6) + F.lit(0.0)).alias(n) for n in names]
+    return [q6(F.col(n)).alias(n) for n in names]
 
 
 def ts(c: str, name: str | None = None):
@@ -82,7 +87,7 @@ def sma_stack(t):
     from tapeloom.operators import indicators as ind
 
     w = ind.by_date()
-    return t.bars.select("symbol", "trade_date", *[(F.round(ind.sma(F.col("close"), n, w), 6) + F.lit(0.0)).alias(f"sma{n}") for n in (20, 50, 200)])
+    return t.bars.select("symbol", "trade_date", *[q6(ind.sma(F.col("close"), n, w)).alias(f"sma{n}") for n in (20, 50, 200)])
 
 
 @query
@@ -118,7 +123,7 @@ def rsi_wilder(t):
 def atr_wilder(t):
     from tapeloom.operators import indicators as ind
 
-    return ind.with_atr(asof.number_bars(t.bars)).select("symbol", "trade_date", *r6("atr"))
+    return ind.with_atr(asof.number_bars(t.bars)).select("symbol", "trade_date", q6(F.col("atr"), 1e4).alias("atr"))
 
 
 @query

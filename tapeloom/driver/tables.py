@@ -213,7 +213,7 @@ VIEWS = {
                {{from_us({{us(cast(period_end as timestamp))}} + 36000000000)}} AS as_of
         FROM {{quarters}} WHERE basis = CASE WHEN k % 5 <> 0 THEN 'consolidated' ELSE 'standalone' END""",
     "polls": f"""
-        SELECT {pick('event_id % 23', FEED_NAMES)} AS feed, event_id AS poll_id, cast(ts as timestamp) AS at,
+        SELECT {pick('event_id % 23', FEED_NAMES)} AS feed, event_id AS poll_id, cast(ts as timestamp) AS moment,
                CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'not_modified' ELSE 'ok' END AS status,
                k AS seen, k % 5 AS new
         FROM {{event_base}}""",
@@ -227,7 +227,7 @@ VIEWS = {
                cast(ts as timestamp) AS created_at
         FROM {events}""",
     "attempts": """
-        SELECT event_id AS attempt_id, cast(floor(event_id / 5) as bigint) AS doc_id, cast(ts as timestamp) AS at,
+        SELECT event_id AS attempt_id, cast(floor(event_id / 5) as bigint) AS doc_id, cast(ts as timestamp) AS moment,
                CASE WHEN event_type = 'error' THEN 'deferred' WHEN event_type = 'purchase' AND k > 40 THEN 'ok'
                     WHEN event_type = 'signup' AND k > 90 THEN 'error' ELSE 'unavailable' END AS outcome
         FROM {event_base}""",

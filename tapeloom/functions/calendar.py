@@ -35,18 +35,16 @@ def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame)
         days.join(F.broadcast(holidays.select("day", "name")), "day", "left")
         .withColumn("is_trading", (F.weekday("day") < 5) & F.col("name").isNull())
     )
-    w = Window.partitionBy(F.lit(0)).orderBy("day")
     trading = F.when(F.col("is_trading"), F.col("day"))
+    nearest = lambda order: F.last(trading, ignorenulls=True).over(
+        Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
     return flagged.select(
         "day",
         F.col("name").alias("holiday"),
         "is_trading",
-        F.first(trading, ignorenulls=True)
-        .over(w.rowsBetween(1, Window.unboundedFollowing))
-        .alias("next_trading_day"),
-        F.last(trading, ignorenulls=True)
-        .over(w.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("prev_trading_day"),
+        nearest(F.col("day").desc()).alias("next_trading_day"),
+        nearest(F.col("day")).alias("prev_trading_day"),
     )
 
 

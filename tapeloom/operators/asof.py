@@ -35,27 +35,15 @@ def forward_returns(bars: DataFrame, windows: dict[str, int], by: str = "symbol"
 def _lookup(pairs: DataFrame, bars: DataFrame, by: str, day: str, cols: list[str], forward: bool) -> DataFrame:
     payload = F.struct(*[F.col(c) for c in cols])
     both = (
-        bars.select(by, F.col("trade_date").alias(day), F.lit(not forward).alias("_ask"), payload.alias("_bar"))
-        .withColumn("_kind", F.lit(0))
-        .drop("_ask")
+        bars.select(by, F.col("trade_date").alias(day), payload.alias("_bar"), F.lit(0).alias("_kind"))
         .unionByName(
-            pairs.select(by, day).withColumn("_bar", F.lit(None)).withColumn("_kind", F.lit(1))
+            pairs.select(by, day, F.lit(None).alias("_bar"), F.lit(1).alias("_kind"))
         )
     )
-    if forward:
-        w = (
-            Window.partitionBy(by)
-            .orderBy(F.col(day).asc(), F.col("_kind").desc())
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        )
-        found = F.first("_bar", ignorenulls=True).over(w)
-    else:
-        w = (
-            Window.partitionBy(by)
-            .orderBy(F.col(day).asc(), F.col("_kind").asc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        found = F.last("_bar", ignorenulls=True).over(w)
+    # both directions read from the far end towards the question: a growing frame is O(n)
+    day_order = F.col(day).desc() if forward else F.col(day).asc()
+    w = Window.partitionBy(by).orderBy(day_order, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last("_bar", ignorenulls=True).over(w)
     hit = both.withColumn("_hit", found).where(F.col("_kind") == 1)
     return hit.select(by, day, *[F.col(f"_hit.{c}").alias(c) for c in cols])
 

@@ -42,7 +42,8 @@ def wilder(x: Column, i: Column, n: int, w, average: bool = True) -> Column:
     """
     q = (n - 1) / n
     e = F.greatest(i, F.lit(n)) - _SHIFT
-    term = F.when(i >= 1, x * F.pow(F.lit(1 / q), e))
+    # one base for both powers: its rounding cancels and only the distance i - j remains
+    term = F.when(i >= 1, x * F.pow(F.lit(q), -e))
     total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
     value = total * F.pow(F.lit(q), i - _SHIFT) / (n if average else 1)
     guarded = F.when(i > _LIMIT, F.raise_error(F.lit("series longer than 18000 bars"))).otherwise(value)

@@ -71,13 +71,13 @@ def document_state(documents: DataFrame, attempts: DataFrame) -> DataFrame:
     """
     key = "doc_id"
     soft = attempts.where(F.col("outcome") == "unavailable")
-    soft = top_per_key(soft, [key], [F.col("at"), F.col("attempt_id")], K.MAX_ATTEMPTS)
-    moment = F.struct("at", "attempt_id")
+    soft = top_per_key(soft, [key], [F.col("moment"), F.col("attempt_id")], K.MAX_ATTEMPTS)
+    step = F.struct("moment", "attempt_id")
     ends = attempts.where(F.col("outcome").isin("ok", "error")).groupBy(key).agg(
-        F.min_by("outcome", moment).alias("_end"), F.min(moment).alias("_end_at")
+        F.min_by("outcome", step).alias("_end"), F.min(step).alias("_end_at")
     )
-    counted = soft.join(ends, key, "left").where(F.col("_end_at").isNull() | (F.struct("at", "attempt_id") < F.col("_end_at")))
-    ladder = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("at").alias("_last"))
+    counted = soft.join(ends, key, "left").where(F.col("_end_at").isNull() | (F.struct("moment", "attempt_id") < F.col("_end_at")))
+    ladder = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("moment").alias("_last"))
     df = documents.select(key).join(ends, key, "left").join(ladder, key, "left")
     n = F.coalesce("_n", F.lit(0))
     dead = n >= K.MAX_ATTEMPTS

@@ -20,22 +20,22 @@ def feed_table(spark: SparkSession) -> DataFrame:
 
 
 def feed_state(polls: DataFrame) -> DataFrame:
-    """Counters per feed from the poll log (feed, at, status, seen, new).
+    """Counters per feed from the poll log (feed, moment, status, seen, new).
 
     The error streak is the number of failures after the feed's last success: two mergeable
     aggregates and a join on the feed, so a feed with most of the log stays distributed.
     """
     ok = F.col("status") == "ok"
     base = polls.groupBy("feed").agg(
-        F.max("at").alias("last_polled_at"),
-        F.max(F.when(F.col("new") > 0, F.col("at"))).alias("last_changed_at"),
-        F.max_by("status", "at").alias("last_status"),
+        F.max("moment").alias("last_polled_at"),
+        F.max(F.when(F.col("new") > 0, F.col("moment"))).alias("last_changed_at"),
+        F.max_by("status", "moment").alias("last_status"),
         F.sum(F.when(ok, F.col("seen")).otherwise(0)).alias("entries_seen"),
         F.sum(F.when(ok, F.col("new")).otherwise(0)).alias("entries_new"),
-        F.max(F.when(ok, F.col("at"))).alias("_ok"),
+        F.max(F.when(ok, F.col("moment"))).alias("_ok"),
     )
     errors = polls.where(F.col("status") == "error").join(base.select("feed", "_ok"), "feed").where(
-        F.col("_ok").isNull() | (F.col("at") > F.col("_ok"))
+        F.col("_ok").isNull() | (F.col("moment") > F.col("_ok"))
     ).groupBy("feed").agg(F.count(F.lit(1)).alias("consecutive_errors"))
     return base.drop("_ok").join(errors, "feed", "left").withColumn("consecutive_errors", F.coalesce("consecutive_errors", F.lit(0)))
 
