@@ -574,3 +574,17 @@ part("rec_sent", """SELECT alert_id, rn, true AS sent, [us] AS live FROM hi_n WH
       CASE WHEN len(list_filter(r.live, lambda x: x >= h.us - 3600000000)) < 12 THEN list_append(list_filter(r.live, lambda x: x >= h.us - 3600000000), h.us) ELSE list_filter(r.live, lambda x: x >= h.us - 3600000000) END
     FROM rec_sent r JOIN hi_n h ON h.rn = r.rn + 1""")
 oracle("alert_rate_limit", "SELECT alert_id, sent FROM rec_sent")
+
+# ---------------------------------------------------------------- streams
+
+oracle("stream_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+part("half_hours", "SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events")
+oracle("stream_sliding", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (SELECT event_type, b AS w FROM half_hours UNION ALL SELECT event_type, b - INTERVAL 30 MINUTE FROM half_hours) GROUP BY 1, 2")
+part("gaps", "SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS g FROM events")
+part("islands", "SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM gaps")
+oracle("stream_sessions", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM islands GROUP BY user_id, island")
+oracle("stream_dedup", "SELECT filing_id, feed, content_hash FROM unique_all")
+part("st_final", "SELECT f.*, s.symbol AS sym FROM final_backlog f JOIN filings s ON s.filing_id = f.filing_id WHERE f.filing_id % 97 <> 0 AND f.filing_id % 89 <> 1")
+oracle("stream_classify_alert", "SELECT filing_id AS alert_id, CASE WHEN materiality >= 8 THEN 'high' ELSE 'medium' END AS severity, category, sym AS symbol, 'materiality ' || cast(materiality as string) || ' filing (' || category || '), sentiment ' || cast(sentiment as string) AS message FROM st_final WHERE materiality >= 6 AND NOT routine")
+oracle("stream_dead_letter", "SELECT event_id AS id, 'filing.received' AS topic, CASE WHEN event_id % 97 = 0 THEN 'malformed payload' ELSE 'missing field' END AS error FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 1")
+oracle("stream_alert_budget", "SELECT alert_id, sent FROM rec_sent")

@@ -15,12 +15,13 @@ from tapeloom.schemas import SCHEMAS
 EVENT_SCHEMA = SCHEMAS["outbox"]
 
 
-def read_topic(spark: SparkSession, path: str, topic: str, *, max_files: int | None = None, after_id: int = 0) -> DataFrame:
+def read_topic(spark: SparkSession, path: str, topic: str, *, max_files: int | None = None, after_id: int | None = None) -> DataFrame:
     """Stream of one topic; ``max_files`` bounds a cycle, ``after_id`` replays from an offset."""
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).where((F.col("topic") == topic) & (F.col("id") > after_id))
+    rows = reader.parquet(path).where(F.col("topic") == topic)
+    return rows if after_id is None else rows.where(F.col("id") > after_id)
 
 
 def split_poison(batch: DataFrame, payload_schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -52,13 +53,32 @@ def consume(
     return query
 
 
+def collect_updates(counts: DataFrame, name: str, root: str, mode: str = "update") -> None:
+    """Runs an aggregation stream to the end of its input, one folder per micro-batch."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{root}/{name}", batch_id)
+
+    writer = counts.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_ck_{name}")
+    writer.foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
+
+
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     """One folder per micro-batch, replaced as a whole when the batch is retried."""
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
+def written(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """Rows written by earlier micro-batches; None before the first one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not list(fs.listStatus(path)):
+        return None
+    df = spark.read.parquet(root)
+    return df if before is None else df.where(F.col("batch") < before)
+
+
 def dedup_stream(stream: DataFrame, time: str = "observed_at", delay: str = "30 days") -> DataFrame:
-    """First row per content hash; state older than the watermark is dropped."""
+    """First row per content hash inside the watermark; for feeds without late backfills."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 

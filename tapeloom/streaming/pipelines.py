@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapeloom.operators.keyed import dedup_filings
 from tapeloom.plans import alerts, rules
+from tapeloom.sources import feeds
 from tapeloom.streaming import bus
+from tapeloom.streaming.stateful import limit_alerts
 
 FILING = "filing_id bigint, feed string, symbol string, subject string, description string"
 CLASSIFIED = "filing_id bigint, symbol string, category string, materiality int, sentiment double, confidence double, routine boolean"
@@ -51,3 +54,39 @@ def run_alerts(spark: SparkSession, root: str) -> None:
 
     stream = bus.read_topic(spark, f"{root}/classified/*", "filing.classified")
     bus.consume(stream, "alerts", f"{root}/_ck_alerts", handle)
+
+
+def run_ingest(spark: SparkSession, entries: DataFrame, root: str, keep: list[str]) -> None:
+    """Stream of raw entries -> root/filings, deduplicated against everything stored before.
+
+    The filings table is the dedup state, so a backfill of any age meets its earlier copy.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        typed = feeds.entries_to_filings(batch, keep=keep)
+        stored = bus.written(spark, f"{root}/filings", before=batch_id)
+        fresh = dedup_filings(typed, None if stored is None else stored.select("feed", "content_hash", "dedup_key"))
+        bus.write_batch(fresh, f"{root}/filings", batch_id)
+
+    bus.consume(entries, "ingest", f"{root}/_ck_ingest", handle)
+
+
+def run_budget(spark: SparkSession, high: DataFrame, root: str) -> None:
+    """Stream of alerts -> root/decisions (alert_id, observed_at, sent) under the hourly budget.
+
+    Alerts sent in the hour before a batch join its fold: they were admitted once and are
+    admitted again, so the batch starts from the right budget.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        columns = ["alert_id", "severity", "observed_at"]
+        rows = batch.select(*columns)
+        stored = bus.written(spark, f"{root}/decisions", before=batch_id)
+        if stored is not None:
+            first = rows.agg(F.min("observed_at").alias("_first"))
+            recent = stored.where(F.col("sent")).select(*columns).crossJoin(F.broadcast(first))
+            recent = recent.where(F.col("observed_at") >= F.col("_first") - F.expr("INTERVAL 1 HOUR")).drop("_first")
+            decided = limit_alerts(rows.unionByName(recent)).join(recent.select("alert_id"), "alert_id", "left_anti")
+        else:
+            decided = limit_alerts(rows)
+        bus.write_batch(decided.select(*columns, "sent"), f"{root}/decisions", batch_id)
+
+    bus.consume(high, "budget", f"{root}/_ck_budget", handle)
