@@ -7,6 +7,7 @@ prior, nothing. The pack is data; the expression built from it stays in the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +17,48 @@ from tapeloom.functions.numeric import py_round
 # (?d): only a newline ends a line, so '.' spans the same text in every engine
 _FLAGS = "(?id)"
 
+# Lower-case literals of which every match of the pattern holds at least one. Searching them
+# is far cheaper than the pattern, so long texts meet only the few patterns that can match.
+# A pattern without an entry is always searched.
+ROUTINE_ANCHORS = {
+    "nav_declaration": ["declaration of nav", "net asset value"],
+    "trading_window": ["trading window", "window closure"],
+    "newspaper_ad": ["newspaper"],
+    "reg74_certificate": ["(5)"],
+    "investor_meet": ["meet", "call", "investor presentation"],
+    "share_certificate": ["share certificate", "issue of duplicate"],
+    "board_meeting_intimation": ["board meeting"],
+    "compliance_routine": ["compliance"],
+    "monitoring_agency": ["monitoring agency report"],
+    "disclosure_routine": ["spdi", "large corporate", "initial disclosure", "annual disclosure"],
+}
+SIGNAL_ANCHORS = [
+    ["auditor"],
+    ["order", "penalt", "search", "raid", "show", "investigation", "prohibit", "debar"],
+    ["insolvency", "cirp", "liquidation order"],
+    ["shut", "suspension", "halt", "closure"],
+    ["fire", "accident", "explosion", "mishap"],
+    ["rating"],
+    ["rating"],
+    ["rating", "icra", "crisil"],
+    ["received", "award", "bagg", "secured", "won", "worth"],
+    ["capacity expansion", "capacity addition", "new plant", "new facility", "new unit", "greenfield", "brownfield"],
+    ["capex", "capital expenditure"],
+    ["amalgamation", "merger", "acquisition", "acquire", "takeover", "slump sale"],
+    ["demerger", "de-merger", "spin", "scheme of arrangement"],
+    ["qip", "qualified institutional", "preferential ", "rights issue", "warrant", "fund"],
+    ["ncd", "debenture", "commercial paper", "cp-", "bond issue", "debt"],
+    ["buy"],
+    ["dividend", "bonus ", "stock split", "division of"],
+    ["financial results", "statement of "],
+    ["guidance", "outlook "],
+    ["director", "md", "ceo", "cfo", "chairman", "key managerial"],
+    ["litigation", "arbitra", "legal proceedings", "court ", "writ petition"],
+    ["clarification"],
+    ["insider trading", "sast", "substantial acquisition", "disclosure under regulation", "trading plan"],
+    ["pledge", "encumbrance"],
+]
+
 _HIT = "struct<materiality:int,order:int,category:string,sentiment:double,confidence:double,routine:boolean,rule:string>"
 
 
@@ -28,6 +71,12 @@ class RulePack:
     floors: dict = field(default_factory=lambda: K.MATERIALITY_FLOORS)
     version: str = K.CLASSIFIER_VERSION
 
+    def anchors(self) -> dict[str, list[str]]:
+        """Literals by pattern, for the patterns of the built-in pack that are still in use."""
+        known = {p: ROUTINE_ANCHORS[n] for n, p in K.ROUTINE_PATTERNS}
+        known.update({row[0]: a for row, a in zip(K.SIGNAL_PATTERNS, SIGNAL_ANCHORS)})
+        return known
+
 
 def _hit(materiality, order, category, sentiment, confidence, routine, rule) -> Column:
     as_col = lambda v, t: (v if isinstance(v, Column) else F.lit(v)).cast(t)
@@ -46,15 +95,22 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike(_FLAGS + pattern)
 
 
-def rule_hit(feed: Column, text: Column, pack: RulePack | None = None) -> Column:
-    """Struct of the winning rule, or null when no tier applies."""
+def rule_hit(feed: Column, text: Column, lowered: Column, pack: RulePack | None = None) -> Column:
+    """Struct of the winning rule, or null when no tier applies; ``lowered`` is lower(text)."""
     pack = pack or RulePack()
     none = F.lit(None).cast(_HIT)
+    anchors = pack.anchors()
+
+    def matches(pattern: str) -> Column:
+        found = _has(text, pattern)
+        if pattern not in anchors:
+            return found
+        return reduce(lambda a, b: a | b, [lowered.contains(x) for x in anchors[pattern]]) & found
 
     routine = none
     for name, pattern in reversed(pack.routine):
         routine = F.when(
-            _has(text, pattern), _hit(1, 0, "other", 0.0, 0.9, True, f"routine:{name}")
+            matches(pattern), _hit(1, 0, "other", 0.0, 0.9, True, f"routine:{name}")
         ).otherwise(routine)
 
     def prior(prefix: str, feeds) -> Column:
@@ -68,7 +124,7 @@ def rule_hit(feed: Column, text: Column, pack: RulePack | None = None) -> Column
     cited = _has(text, K.REGULATION_CITATION) & ~_has(text, K.ENFORCEMENT_MARKER)
     hits = []
     for i, (pattern, category, mat, sent, conf) in enumerate(pack.signals):
-        found, rule = _has(text, pattern), f"pattern:{pattern[:40]}"
+        found, rule = matches(pattern), f"pattern:{pattern[:40]}"
         hit = _hit(mat, -i, category, sent, conf, False, rule)
         if category == "auditor_resignation":
             softer = _hit(3, -i, "management_change", -0.1, conf, False, rule + "|non_statutory_auditor")
@@ -100,7 +156,8 @@ def floor_materiality(category: Column, materiality: Column, floors: dict | None
 
 def classify(filings: DataFrame, pack: RulePack | None = None) -> DataFrame:
     """Adds the raw rule columns; ``rule`` is null where no rule fired."""
-    return filings.withColumn("_hit", rule_hit(F.col("feed"), filing_text(), pack)).select(
+    df = filings.withColumn("_text", filing_text()).withColumn("_lowered", F.lower("_text"))
+    return df.withColumn("_hit", rule_hit(F.col("feed"), F.col("_text"), F.col("_lowered"), pack)).select(
         *filings.columns,
         *[F.col(f"_hit.{c}").alias(c) for c in ("category", "materiality", "sentiment", "confidence", "routine", "rule")],
     )
