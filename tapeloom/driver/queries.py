@@ -189,13 +189,13 @@ def quarter_grid(t):
 
 @query
 def asof_backward(t):
-    return asof.asof_backward(quarter_grid(t), t.bars, "day", ["trade_date", "close"]).select(
+    return asof.asof_backward(quarter_grid(t), t.bars, "day", ["trade_date", "close"], unique=True).select(
         "symbol", "day", F.col("trade_date").alias("bar_date"), *r6("close"))
 
 
 @query
 def asof_forward(t):
-    return asof.asof_forward(quarter_grid(t), t.bars, "day", ["trade_date", "close"]).select(
+    return asof.asof_forward(quarter_grid(t), t.bars, "day", ["trade_date", "close"], unique=True).select(
         "symbol", "day", F.col("trade_date").alias("bar_date"), *r6("close"))
 
 
@@ -497,6 +497,7 @@ def risk_universe(t):
 # ---------------------------------------------------------------- fusion
 
 def fused(t):
+    t.store("bars", "quarters")
     events = fusion.fold_peers(
         fusion.event_scores(live_events(t), now()), fusion.peer_event_scores(live_events(t), t.securities, now())
     )

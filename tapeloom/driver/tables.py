@@ -8,10 +8,12 @@ Amounts are taken in thousands, so that liquidity gates divide the symbols.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom import constants as K
+from tapeloom.sources.sinks import shared_dir
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -342,7 +344,24 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.dir, self._made = spark, sf_dir, {}
+        self.spark, self.dir, self._made, self._root = spark, sf_dir, {}, None
+
+    def store(self, *names: str) -> "Tables":
+        """Writes tables that several stages of a chain read, once, to the shared folder.
+
+        Bars and quarters are aggregates far smaller than the trades below them; stored, the
+        trades are scanned once per chain instead of once per stage. A lost executor costs a
+        re-read of the files, not a recomputation.
+        """
+        if self._root is None:
+            self._stored = set()
+            self._root = f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
+        for name in [n for n in names if n not in self._stored]:
+            self._stored.add(name)
+            path = f"{self._root}/{name}"
+            getattr(self, name).write.parquet(path)
+            self._made[name] = self.spark.read.parquet(path)
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in BASE):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def py_round(x: Column, digits: int) -> Column:
@@ -25,6 +25,17 @@ def py_round(x: Column, digits: int) -> Column:
     return F.when(x.isNotNull(), (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
 
 
+def with_rounded(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Adds columns rounded by :func:`py_round`, each value computed once.
+
+    The rounding mentions its argument many times; a column of its own in between keeps the
+    optimizer from copying a long expression into every mention.
+    """
+    raw = df.withColumns({f"_raw_{n}": x for n, (x, _) in columns.items()})
+    out = raw.withColumns({n: py_round(F.col(f"_raw_{n}"), d) for n, (_, d) in columns.items()})
+    return out.drop(*[f"_raw_{n}" for n in columns])
+
+
 def clamp(lo: float, hi: float, x: Column) -> Column:
     """``x`` held within [lo, hi]; null stays null (greatest/least alone would skip it)."""
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))

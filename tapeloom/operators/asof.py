@@ -32,32 +32,47 @@ def forward_returns(bars: DataFrame, windows: dict[str, int], by: str = "symbol"
     )
 
 
-def _lookup(pairs: DataFrame, bars: DataFrame, by: str, day: str, cols: list[str], forward: bool) -> DataFrame:
-    payload = F.struct(*[F.col(c) for c in cols])
-    both = (
-        bars.select(by, F.col("trade_date").alias(day), payload.alias("_bar"), F.lit(0).alias("_kind"))
-        .unionByName(
-            pairs.select(by, day, F.lit(None).alias("_bar"), F.lit(1).alias("_kind"))
-        )
+def _lookup(left: DataFrame, bars: DataFrame, by: str, day: str, cols: list[str], forward: bool) -> DataFrame:
+    """Rows of ``left`` with the bar columns, through one union and one window."""
+    carried = [c for c in left.columns if c not in (by, day)]
+    bar = F.struct(*[F.col(c) for c in cols]).alias("_bar")
+    rest = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(1).alias("_one"))
+    none = lambda name: F.lit(None).alias(name)
+    both = bars.select(by, F.col("trade_date").alias(day), F.lit(0).alias("_kind"), bar, none("_rest")).unionByName(
+        left.select(by, day, F.lit(1).alias("_kind"), none("_bar"), rest.alias("_rest"))
     )
     # both directions read from the far end towards the question: a growing frame is O(n)
     day_order = F.col(day).desc() if forward else F.col(day).asc()
     w = Window.partitionBy(by).orderBy(day_order, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = F.last("_bar", ignorenulls=True).over(w)
-    hit = both.withColumn("_hit", found).where(F.col("_kind") == 1)
-    return hit.select(by, day, *[F.col(f"_hit.{c}").alias(c) for c in cols])
+    hit = both.withColumn("_hit", F.last("_bar", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    return hit.select(
+        by, day, *[F.col(f"_rest.{c}").alias(c) for c in carried], *[F.col(f"_hit.{c}").alias(c) for c in cols]
+    )
 
 
-def asof_backward(left: DataFrame, bars: DataFrame, day: str, cols: list[str], by: str = "symbol") -> DataFrame:
-    """Last bar on or before ``left[day]``; unmatched rows keep nulls."""
+def _asof(left: DataFrame, bars: DataFrame, day: str, cols: list[str], by: str, forward: bool, unique: bool) -> DataFrame:
+    if unique:
+        return _lookup(left, bars, by, day, cols, forward)
     pairs = left.select(by, day).distinct()
-    return left.join(_lookup(pairs, bars, by, day, cols, False), [by, day], "left")
+    return left.join(_lookup(pairs, bars, by, day, cols, forward), [by, day], "left")
+
+
+def asof_backward(
+    left: DataFrame, bars: DataFrame, day: str, cols: list[str], by: str = "symbol", *, unique: bool = False
+) -> DataFrame:
+    """Last bar on or before ``left[day]``; unmatched rows keep nulls.
 
+    ``unique`` states that ``left`` has one row per (by, day), a grid; its rows then pass
+    through the lookup themselves and the join back is saved.
+    """
+    return _asof(left, bars, day, cols, by, False, unique)
 
-def asof_forward(left: DataFrame, bars: DataFrame, day: str, cols: list[str], by: str = "symbol") -> DataFrame:
+
+def asof_forward(
+    left: DataFrame, bars: DataFrame, day: str, cols: list[str], by: str = "symbol", *, unique: bool = False
+) -> DataFrame:
     """First bar on or after ``left[day]``; unmatched rows keep nulls."""
-    pairs = left.select(by, day).distinct()
-    return left.join(_lookup(pairs, bars, by, day, cols, True), [by, day], "left")
+    return _asof(left, bars, day, cols, by, True, unique)
 
 
 def day_on_or_after(ts) -> "F.Column":

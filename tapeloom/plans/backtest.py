@@ -51,20 +51,20 @@ def observations(
     per_bar = technical.bar_indicators(tested).where(F.col("bar_no") >= K.MIN_BARS)
 
     states = fundamental.fundamental_states(quarters).select("symbol", "visible_on", "score", "confidence")
-    symbols = states.select("symbol").distinct()
+    symbols = quarters.where(F.col("basis") == "consolidated").select("symbol").distinct()
     # one row per index bar step: bounded by the calendar
-    grid = symbols.crossJoin(F.broadcast(dates.select("d")))
-    grid = asof_backward(grid, per_bar.select("symbol", *_BAR, *rets), "d", _BAR + rets)
+    grid = symbols.crossJoin(F.broadcast(dates))
+    grid = asof_backward(grid, per_bar.select("symbol", *_BAR, *rets), "d", _BAR + rets, unique=True)
     grid = grid.where(F.col("bar_no").isNotNull() & (F.col("median_turnover") >= K.MIN_MEDIAN_TURNOVER_LAKH) & (F.col("close") >= K.PENNY_CLOSE))
-    grid = technical.score_bars(grid.join(F.broadcast(dates), "d")).select(
-        "symbol", "d", "close", F.col("score").alias("technical_score"), F.col("confidence").alias("technical_conf"),
+    grid = technical.score_bars(grid).select(
+        "symbol", "d", F.col("score").alias("technical_score"), F.col("confidence").alias("technical_conf"),
         *rets, *[f"idx_{k}" for k in K.FORWARD_WINDOWS],
     )
     book = states.select(
         "symbol", F.col("visible_on").alias("trade_date"),
         F.col("score").alias("fundamental_score"), F.col("confidence").alias("fundamental_conf"),
     )
-    grid = asof_backward(grid, book, "d", ["fundamental_score", "fundamental_conf"])
+    grid = asof_backward(grid, book, "d", ["fundamental_score", "fundamental_conf"], unique=True)
 
     # each date looks back 30 days; the day table is bounded by the calendar and joins by equality
     now = F.col("d").cast("timestamp")

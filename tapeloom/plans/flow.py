@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import clamp, py_round
+from tapeloom.functions.numeric import clamp, with_rounded
 from tapeloom.functions.text import labelled_number
 from tapeloom.operators.keyed import top_per_key
 from tapeloom.operators.pit import trailing
@@ -105,16 +105,16 @@ def flow_scores(
     has = lambda c, wgt: F.when(F.col(c).isNotNull(), wgt).otherwise(0.0)
     df = df.withColumn("weight_covered", has("deal_pts", 35.0) + has("promoter_pts", 25.0) + 40.0)
     points = zero("deal_pts") + zero("promoter_pts") + F.col("insider_pts") + F.col("surv_pts")
-    df = df.where(F.col("weight_covered") >= K.WEIGHT_FLOOR).withColumn(
-        "score", F.least(F.lit(100.0), py_round(points * 100.0 / F.col("weight_covered"), 1))
-    )
+    df = with_rounded(
+        df.where(F.col("weight_covered") >= K.WEIGHT_FLOOR),
+        {"score": (points * 100.0 / F.col("weight_covered"), 1), "confidence": (F.col("weight_covered") / 100.0, 2)},
+    ).withColumn("score", F.least(F.lit(100.0), F.col("score")))
     return df.withColumns(
         {
             "label": F.when(F.col("surv_pts") <= 10.0, "surveillance")
             .when(F.col("score") >= 65, "accumulation")
             .when(F.col("score") <= 35, "distribution")
             .otherwise("neutral"),
-            "confidence": py_round(F.col("weight_covered") / 100.0, 2),
             "as_of": as_of,
         }
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import clamp, py_round
+from tapeloom.functions.numeric import clamp, with_rounded
 
 QUARTER_COLUMNS = [
     "period_end", "visible_on", "basis", "revenue", "other_income", "expenses", "finance_costs",
@@ -108,14 +108,18 @@ def score_quarters(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("weight_covered", covered)
     points = F.coalesce("growth_pts", F.lit(0.0)) + F.coalesce("margin_pts", F.lit(0.0)) + F.col("quality_pts")
-    raw = py_round(points * (100.0 / F.col("weight_covered")), 1)
-    conf = py_round(F.least(F.lit(1.0), F.col("n_quarters") / 8.0) * (F.col("weight_covered") / 100.0), 2)
+    df = with_rounded(
+        df,
+        {
+            "score": (points * (100.0 / F.col("weight_covered")), 1),
+            "confidence": (F.least(F.lit(1.0), F.col("n_quarters") / 8.0) * (F.col("weight_covered") / 100.0), 2),
+        },
+    )
     flagged = F.size("flags")
     return df.withColumns(
         {
-            "score": F.least(F.lit(100.0), raw),
+            "score": F.least(F.lit(100.0), F.col("score")),
             "label": F.when(flagged >= 2, "flagged").when(flagged == 0, "clean").otherwise("watch"),
-            "confidence": conf,
             "as_of": q["period_end"],
             "basis": q["basis"],
         }

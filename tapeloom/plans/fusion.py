@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import clamp, days_between, decay, py_round
+from tapeloom.functions.numeric import clamp, days_between, decay, with_rounded
 from tapeloom.operators.fold import ordered_fold
 from tapeloom.operators.keyed import latest_per_key, top_per_key
 
@@ -134,15 +134,9 @@ def weighted_fusion(df: DataFrame, floor: float = K.WEIGHT_FLOOR) -> DataFrame:
         conviction = conviction + F.when(here, w * F.col(f"{a}_score") / 100.0).otherwise(0.0)
         conf = conf + F.when(here, w * F.col(f"{a}_conf")).otherwise(0.0)
         total = total + F.when(here, w).otherwise(0.0)
-    return (
-        df.withColumn("weight_covered", total)
-        .where(F.col("weight_covered") >= floor)
-        .withColumns(
-            {
-                "conviction": py_round(conviction * 100.0 / F.col("weight_covered"), 1),
-                "confidence": py_round(conf / 100.0, 2),
-            }
-        )
+    covered = df.withColumn("weight_covered", total).where(F.col("weight_covered") >= floor)
+    return with_rounded(
+        covered, {"conviction": (conviction * 100.0 / F.col("weight_covered"), 1), "confidence": (conf / 100.0, 2)}
     )
 
 
@@ -158,23 +152,21 @@ def with_levels(df: DataFrame) -> DataFrame:
     """Entry, target, stop and size by stance; reads close, atr14 and the profile geometry."""
     close, atr = F.nullif(F.col("close"), F.lit(0.0)), F.nullif(F.col("atr14"), F.lit(0.0))
     ok = close.isNotNull() & atr.isNotNull()
-    stop = py_round(close - F.col("stop_atr") * atr, 2)
-    df = df.withColumn("_stop", F.when(ok, stop))
+    df = with_rounded(df, {"_stop": (close - F.col("stop_atr") * atr, 2)})
     risk = close - F.col("_stop")
-    long_side = F.col("stance").isin("buy", "accumulate")
-    keeps_stop = long_side | F.col("stance").isin("reduce", "hold")
     size = F.least(F.lit(10.0), 1.0 / (F.col("stop_atr") * atr / close))
-    size = F.when(F.col("risk_verdict") == "penalty", size / 2.0).otherwise(size)
-    only = lambda cond, x: F.when(cond & ok, x)
+    levels = {
+        "entry_low": (close - 0.5 * atr, 2),
+        "entry_high": (close + 0.25 * atr, 2),
+        "target_low": (close + F.col("t_low") * risk, 2),
+        "target_high": (close + F.col("t_high") * risk, 2),
+        "size_pct": (F.when(F.col("risk_verdict") == "penalty", size / 2.0).otherwise(size), 1),
+    }
+    df = with_rounded(df, levels)
+    long_side = ok & F.col("stance").isin("buy", "accumulate")
+    keeps_stop = ok & F.col("stance").isin("buy", "accumulate", "reduce", "hold")
     return df.withColumns(
-        {
-            "entry_low": only(long_side, py_round(close - 0.5 * atr, 2)),
-            "entry_high": only(long_side, py_round(close + 0.25 * atr, 2)),
-            "target_low": only(long_side, py_round(close + F.col("t_low") * risk, 2)),
-            "target_high": only(long_side, py_round(close + F.col("t_high") * risk, 2)),
-            "invalidation": only(keeps_stop, F.col("_stop")),
-            "size_pct": only(long_side, py_round(size, 1)),
-        }
+        {**{n: F.when(long_side, F.col(n)) for n in levels}, "invalidation": F.when(keeps_stop, F.col("_stop"))}
     ).drop("_stop")
 
 
@@ -197,8 +189,8 @@ def fusion_inputs(
         )
 
     f = axis(fundamental, "fundamental", [F.col("rev_yoy"), F.col("flags"), F.col("n_quarters"), F.col("basis")])
-    t = axis(technical, "technical", [F.col("close"), py_round(F.col("atr"), 2).alias("atr14"),
-                                      F.col("sma200"), py_round(F.col("rsi"), 1).alias("rsi14")])
+    technical = with_rounded(technical, {"atr14": (F.col("atr"), 2), "rsi14": (F.col("rsi"), 1)})
+    t = axis(technical, "technical", [F.col("close"), F.col("atr14"), F.col("sma200"), F.col("rsi14")])
     fl = axis(flow, "flow", [F.col("deal_ratio"), F.col("promoter_delta")])
     df = f.join(t, "symbol", "full_outer").join(fl, "symbol", "full_outer")
     families = sum((F.when(F.col(f"{a}_score").isNotNull(), 1).otherwise(0) for a in AXES[:3]), F.lit(0))

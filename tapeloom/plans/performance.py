@@ -24,7 +24,7 @@ def measure(signals: DataFrame, bars: DataFrame, index_bars: DataFrame, done: Da
     df = signals.withColumn("_day", day_on_or_after(F.col("as_of")))
     df = asof_forward(df, ahead, "_day", ["close", *names])
     days = df.select("_day").distinct().withColumn("_m", F.lit(0))
-    idx = asof_forward(days, market, "_day", ["close", *names], by="_m").select(
+    idx = asof_forward(days, market, "_day", ["close", *names], by="_m", unique=True).select(
         "_day", *[F.col(c).alias(f"idx_{c}") for c in ("close", *names)]
     )
     df = df.join(idx, "_day", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import clamp, py_round, truthy
+from tapeloom.functions.numeric import clamp, truthy, with_rounded
 from tapeloom.operators import indicators as ind
 from tapeloom.operators.asof import number_bars
 
@@ -87,7 +87,7 @@ def score_bars(df: DataFrame) -> DataFrame:
         }
     )
     total = F.col("trend") + F.col("momentum") + F.col("rel_strength") + F.col("vol_delivery") + F.col("range_pos")
-    df = df.withColumn("score", py_round(total, 1))
+    df = with_rounded(df, {"score": (total, 1)})
     return df.withColumns(
         {
             "label": trend_label(F.col("score")),
@@ -105,8 +105,8 @@ def technical_scores(
     ``latest_only`` keeps symbols that traded on the newest bar date of the whole market.
     """
     df = bar_indicators(bars)
-    newest = Window.partitionBy("symbol").orderBy(F.col("trade_date").desc())
-    last = df.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    # the last bar has no follower; the order is the one the indicators already use
+    last = df.withColumn("_next", F.lead("bar_no").over(ind.by_date())).where(F.col("_next").isNull()).drop("_next")
     idx = index_returns(index_bars).agg(F.max_by("idx_ret63", "trade_date").alias("idx_ret63"))
     last = last.where((F.col("bar_no") >= K.MIN_BARS) & (F.col("median_turnover") >= min_turnover))
     if latest_only:

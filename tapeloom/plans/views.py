@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import py_round
+from tapeloom.functions.numeric import py_round, with_rounded
 from tapeloom.functions.text import labelled_number
 from tapeloom.operators.keyed import latest_per_key, top_per_key
 from tapeloom.operators.pit import pit_classified, pit_filings, trailing
@@ -158,7 +158,8 @@ def shareholding_series(filings: DataFrame, keep: int = 8) -> DataFrame:
     top = top_per_key(rows, ["symbol"], order, keep + 1)
     w = Window.partitionBy("symbol").orderBy(*order)
     delta = F.col("promoter_pct") - F.lead("promoter_pct").over(w)
-    return top.withColumns({"promoter_delta": py_round(delta, 2), "_rn": F.row_number().over(w)}).where(F.col("_rn") <= keep).drop("_rn")
+    top = top.withColumns({"_delta": delta, "_rn": F.row_number().over(w)}).where(F.col("_rn") <= keep)
+    return with_rounded(top, {"promoter_delta": (F.col("_delta"), 2)}).drop("_rn", "_delta")
 
 
 def company_ratios(bars: DataFrame, quarters: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import py_round, scale_percent
+from tapeloom.functions.numeric import scale_percent, with_rounded
 from tapeloom.operators.fold import ordered_fold
 
 FACT_SCHEMA = "doc string, seq int, fact string, context string, text string, promoter boolean"
@@ -222,11 +222,18 @@ def holding_instances(facts: DataFrame) -> DataFrame:
         F.coalesce(F.every(F.when(flag, F.lower(F.trim("text")) == "false")), F.lit(False)).alias("_zero"),
     )
     known = F.col("_promoter").isNotNull()
-    pct = F.when(known, F.when(F.col("_enc").isNotNull(), scale_percent(F.col("_enc"))).when(F.col("_zero"), 0.0)).otherwise(0.0)
-    promoter = F.when(known, scale_percent(F.col("_promoter"))).otherwise(0.0)
-    return agg.where(known | F.col("_holdings")).select(
-        "doc", promoter.alias("promoter_pct"), F.when(known, F.col("_shares")).alias("encumbered_shares"),
-        pct.alias("encumbered_pct"), py_round(promoter * pct / 100.0, 2).alias("encumbered_pct_of_total"),
+    df = agg.where(known | F.col("_holdings")).withColumns(
+        {"_p": scale_percent(F.col("_promoter")), "_e": scale_percent(F.col("_enc"))}
+    )
+    df = df.withColumns(
+        {
+            "promoter_pct": F.coalesce("_p", F.lit(0.0)),
+            "encumbered_pct": F.when(~known, 0.0).when(F.col("_e").isNotNull(), F.col("_e")).when(F.col("_zero"), 0.0),
+        }
+    )
+    df = with_rounded(df, {"encumbered_pct_of_total": (F.col("promoter_pct") * F.col("encumbered_pct") / 100.0, 2)})
+    return df.select(
+        "doc", "promoter_pct", F.when(known, F.col("_shares")).alias("encumbered_shares"), "encumbered_pct", "encumbered_pct_of_total"
     )
 
 
