@@ -35,13 +35,13 @@ _LOG_DDL = {
 }
 
 
-def _type(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+DDL = {**_DDL, **_LOG_DDL}
 
 
-FACT_SCHEMAS = {name: _type(ddl) for name, ddl in _DDL.items()}
-LOG_SCHEMAS = {name: _type(ddl) for name, ddl in _LOG_DDL.items()}
-SCHEMAS = {**FACT_SCHEMAS, **LOG_SCHEMAS}
+def schema(table: str) -> StructType:
+    """Declared schema of a table; needs an active session to parse its DDL."""
+    return StructType.fromDDL(DDL[table])
+
 
 KEYS = {
     "securities": ["isin"],
@@ -62,12 +62,12 @@ KEYS = {
 def bitemporal_violations() -> list[str]:
     """Fact tables lacking a nullable ``event_at`` or a mandatory ``observed_at``."""
     bad = []
-    for name, schema in FACT_SCHEMAS.items():
-        fields = {f.name: f for f in schema.fields}
+    for name in _DDL:
+        fields = {f.name: f for f in schema(name).fields}
         if "event_at" not in fields or "observed_at" not in fields or fields["observed_at"].nullable:
             bad.append(name)
     return bad
 
 
 def empty(spark: SparkSession, table: str):
-    return spark.createDataFrame([], SCHEMAS[table])
+    return spark.createDataFrame([], schema(table))

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapeloom.schemas import SCHEMAS
+from tapeloom.schemas import DDL
 
-EVENT_SCHEMA = SCHEMAS["outbox"]
+EVENT_SCHEMA = DDL["outbox"]
 
 
 def read_topic(spark: SparkSession, path: str, topic: str, *, max_files: int | None = None, after_id: int | None = None) -> DataFrame:
