@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tapeloom import constants as K
 from tapeloom.driver.tables import AS_OF, Tables
 from tapeloom.functions import calendar as cal, text as X
-from tapeloom.operators import asof, keyed, pit, resolve
+from tapeloom.operators import asof, indicators as ind, keyed, pit, resolve
 from tapeloom.plans import alerts, backtest, evaluate, flow, fundamental, fusion, master, performance, risk, rules, technical, views
 from tapeloom.sources import documents, feeds, xbrl
 from tapeloom.streaming import stateful
@@ -84,16 +84,12 @@ def daily_bars(t):
 
 @query
 def sma_stack(t):
-    from tapeloom.operators import indicators as ind
-
     w = ind.by_date()
     return t.bars.select("symbol", "trade_date", *[q6(ind.sma(F.col("close"), n, w)).alias(f"sma{n}") for n in (20, 50, 200)])
 
 
 @query
 def zscore_volume(t):
-    from tapeloom.operators import indicators as ind
-
     return t.bars.select("symbol", "trade_date", ind.zscore(F.col("volume"), 20, ind.by_date()).alias("vol_z")).select(
         "symbol", "trade_date", *r6("vol_z"))
 
@@ -107,29 +103,21 @@ def range_52w(t):
 
 @query
 def upper_median_turnover(t):
-    from tapeloom.operators import indicators as ind
-
-    return t.bars.select("symbol", "trade_date", ind.upper_median(F.col("turnover"), 20, ind.by_date()).alias("median_turnover"))
+    return ind.with_upper_median(t.bars, "turnover", 20, "median_turnover").select("symbol", "trade_date", "median_turnover")
 
 
 @query
 def rsi_wilder(t):
-    from tapeloom.operators import indicators as ind
-
     return ind.with_rsi(asof.number_bars(t.bars)).select("symbol", "trade_date", *r6("rsi"))
 
 
 @query
 def atr_wilder(t):
-    from tapeloom.operators import indicators as ind
-
     return ind.with_atr(asof.number_bars(t.bars)).select("symbol", "trade_date", q6(F.col("atr"), 1e4).alias("atr"))
 
 
 @query
 def adx_wilder(t):
-    from tapeloom.operators import indicators as ind
-
     return ind.with_adx(asof.number_bars(t.bars)).select("symbol", "trade_date", *r6("adx", "plus_di", "minus_di"))
 
 
@@ -146,9 +134,7 @@ def relative_strength(t):
 
 @query
 def delivery_trend(t):
-    from tapeloom.operators import indicators as ind
-
-    return t.bars.select("symbol", "trade_date", ind.delivery_points(F.col("delivery_pct"), 20, ind.by_date()).alias("delivery_pts"))
+    return ind.with_delivery_points(t.bars, "delivery_pct", 20, "delivery_pts").select("symbol", "trade_date", "delivery_pts")
 
 
 _TECH = ["trend", "momentum", "rel_strength", "vol_delivery", "range_pos", "rs_excess", "pct_off_52w_high", "atr_stop"]

@@ -107,19 +107,24 @@ def with_adx(df: DataFrame, n: int = 14, symbol: str = "symbol") -> DataFrame:
     ).drop("_tr", "_up", "_down", "_trs", "_ps", "_ms", "_pdi", "_mdi", "_dx")
 
 
-def upper_median(x: Column, n: int, w) -> Column:
-    """Element ``size // 2`` of the sorted last ``n`` values (null read as 0)."""
-    values = F.array_sort(F.collect_list(F.coalesce(x, F.lit(0.0))).over(w.rowsBetween(-(n - 1), 0)))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def with_upper_median(df: DataFrame, x: str, n: int, out: str, symbol: str = "symbol") -> DataFrame:
+    """Adds element ``size // 2`` of the sorted last ``n`` values (null read as 0).
 
-
-def delivery_points(x: Column, n: int, w) -> Column:
-    """5 when the later half of the last ``n`` non-zero deliveries averages above the earlier."""
-    kept = F.filter(
-        F.collect_list(F.coalesce(x, F.lit(0.0))).over(w.rowsBetween(-(n - 1), 0)), lambda v: v != 0
-    )
-    size = F.size(kept)
+    The frame is collected once into a column; at most ``n`` values per row.
+    """
+    frame = by_date(symbol).rowsBetween(-(n - 1), 0)
+    df = df.withColumn("_frame", F.collect_list(F.coalesce(F.col(x), F.lit(0.0))).over(frame))
+    mid = (F.floor(F.size("_frame") / 2) + 1).cast("int")
+    return df.withColumn(out, F.element_at(F.array_sort("_frame"), mid)).drop("_frame")
+
+
+def with_delivery_points(df: DataFrame, x: str, n: int, out: str, symbol: str = "symbol") -> DataFrame:
+    """Adds 5 where the later half of the last ``n`` non-zero deliveries averages above the earlier."""
+    frame = by_date(symbol).rowsBetween(-(n - 1), 0)
+    df = df.withColumn("_frame", F.collect_list(F.coalesce(F.col(x), F.lit(0.0))).over(frame))
+    df = df.withColumn("_kept", F.filter("_frame", lambda v: v != 0)).drop("_frame")
+    size = F.size("_kept")
     half = F.floor(size / 2).cast("int")
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    rising = mean(F.slice(kept, half + 1, F.greatest(size, F.lit(1)))) > mean(F.slice(kept, F.lit(1), half))
-    return F.when((size >= 10) & rising, 5.0).otherwise(0.0)
+    rising = mean(F.slice("_kept", half + 1, F.greatest(size, F.lit(1)))) > mean(F.slice("_kept", F.lit(1), half))
+    return df.withColumn(out, F.when((size >= 10) & rising, 5.0).otherwise(0.0)).drop("_kept")

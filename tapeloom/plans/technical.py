@@ -16,7 +16,7 @@ def bar_indicators(bars: DataFrame) -> DataFrame:
     The turnover median looks at all rows; the other series skip rows without a close.
     """
     w = ind.by_date()
-    df = bars.withColumn("median_turnover", ind.upper_median(F.col("turnover"), 20, w))
+    df = ind.with_upper_median(bars, "turnover", 20, "median_turnover")
     df = number_bars(df.where(truthy(F.col("close")).isNotNull()))
     df = df.withColumns(
         {
@@ -25,6 +25,7 @@ def bar_indicators(bars: DataFrame) -> DataFrame:
             "volume": F.coalesce("volume", F.lit(0.0)),
         }
     )
+    df = ind.with_delivery_points(df, "delivery_pct", 20, "delivery_pts")
     df = ind.with_adx(ind.with_atr(ind.with_rsi(df)))
     c = F.col("close")
     span = w.rowsBetween(-(K.RANGE_BARS - 1), 0)
@@ -34,7 +35,6 @@ def bar_indicators(bars: DataFrame) -> DataFrame:
             "sma50": ind.sma(c, 50, w),
             "sma200": ind.sma(c, 200, w),
             "vol_z": ind.zscore(F.col("volume"), 20, w),
-            "delivery_pts": ind.delivery_points(F.col("delivery_pct"), 20, w),
             "hi52": F.max(c).over(span),
             "lo52": F.min(c).over(span),
             "ret63": c / F.lag(c, K.RS_BARS).over(w) - 1,

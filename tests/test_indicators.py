@@ -86,12 +86,12 @@ def test_zscore_flat_and_spike(spark):
 
 def test_upper_median(spark):
     df = bars(spark, range(1, 21)).withColumn("turnover", F.col("close"))
-    assert last(df.select("trade_date", ind.upper_median(F.col("turnover"), 20, ind.by_date()).alias("m")), "m")[0] == 11.0
+    assert last(ind.with_upper_median(df, "turnover", 20, "m"), "m")[0] == 11.0
 
 
 def test_delivery_trend(spark):
     df = bars(spark, range(1, 21)).withColumn("delivery_pct", F.col("close"))
-    pts = lambda d: last(d.select("trade_date", ind.delivery_points(F.col("delivery_pct"), 20, ind.by_date()).alias("p")), "p")[0]
+    pts = lambda d: last(ind.with_delivery_points(d, "delivery_pct", 20, "p"), "p")[0]
     assert pts(df) == 5.0
     assert pts(df.withColumn("delivery_pct", F.when(F.col("close") > 9, F.col("close")).otherwise(0.0))) == 5.0
     assert pts(df.withColumn("delivery_pct", F.when(F.col("close") > 11, F.col("close")).otherwise(0.0))) == 0.0
