@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def average_ranks(df: DataFrame, value: str, out: str, buckets: int = 256) -> DataFrame:
-    """Adds the 1-based rank of ``value``, ties sharing their mean rank.
+def value_ranks(df: DataFrame, value: str, out: str, buckets: int = 256) -> DataFrame:
+    """(value, rank) of every distinct value: 1-based, ties sharing their mean rank.
 
     Values are counted first. Counts are then ordered in two levels: a bounded list of
     quantile cuts splits the distinct values into ranges, each range is cumulated on its own,
@@ -21,12 +21,16 @@ def average_ranks(df: DataFrame, value: str, out: str, buckets: int = 256) -> Da
     order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(order), F.lit(0))).drop("_t")
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
+    return (
         counts.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "_b")
         .select(value, (F.col("_off") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     )
-    return df.join(ranked, value)
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Rows of ``df`` with the average rank of ``value``; null values are left out."""
+    return df.join(value_ranks(df, value, out), value)
 
 
 def spearman(df: DataFrame, x: str, y: str, out: str = "rho") -> DataFrame:
@@ -36,8 +40,8 @@ def spearman(df: DataFrame, x: str, y: str, out: str = "rho") -> DataFrame:
     )
     cells = pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     # ranks come from the full pairs; the correlation runs on weighted cells
-    rx = average_ranks(pairs.select("_x"), "_x", "_rx").distinct()
-    ry = average_ranks(pairs.select("_y"), "_y", "_ry").distinct()
+    rx = value_ranks(pairs.select("_x"), "_x", "_rx")
+    ry = value_ranks(pairs.select("_y"), "_y", "_ry")
     ranked = cells.join(rx, "_x").join(ry, "_y")
     s = lambda e: F.sum(F.col("_w") * e)
     stats = ranked.agg(

@@ -26,17 +26,21 @@ def resolve_token(df: DataFrame, token: str, securities: DataFrame, aliases: Dat
     )
     by_alias = _aliases(aliases, False).withColumnRenamed("_alias_id", "_by_alias")
     t = F.nullif(F.upper(F.trim(F.col(token))), F.lit(""))
+    df = df.withColumn("_token", t)
+    # rows without a token can match nothing; they stay out of the joins, where one null key
+    # would gather them in a single task. Tokens that cannot be an ISIN keep a key of their own.
+    blank = df.where(F.col("_token").isNull()).withColumn("security_id", F.lit(None).cast("bigint"))
     isin_like = (F.length("_token") == 12) & F.col("_token").rlike(r"^[A-Za-z]{2}")
     out = (
-        df.withColumn("_token", t)
-        .withColumn("_isin", F.when(isin_like, F.col("_token")))
+        df.where(F.col("_token").isNotNull())
+        .withColumn("_isin", F.when(isin_like, F.col("_token")).otherwise(F.concat(F.lit("\x1f"), F.col("_token"))))
         .join(by_symbol, "_token", "left")
         .join(by_isin, "_isin", "left")
         .join(by_alias.withColumnRenamed("_key", "_token"), "_token", "left")
+        .withColumn("security_id", F.coalesce("_by_symbol", "_by_isin", "_by_alias"))
+        .drop("_isin", "_by_symbol", "_by_isin", "_by_alias")
     )
-    return out.withColumn("security_id", F.coalesce("_by_symbol", "_by_isin", "_by_alias")).drop(
-        "_token", "_isin", "_by_symbol", "_by_isin", "_by_alias"
-    )
+    return out.unionByName(blank).drop("_token")
 
 
 def resolve_name(df: DataFrame, name: str, securities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -45,7 +49,8 @@ def resolve_name(df: DataFrame, name: str, securities: DataFrame, aliases: DataF
     olds = _aliases(aliases, True)
     full = F.upper(collapse_spaces(F.col(name)))
     head = F.trim(F.substring_index(full, " - ", 1))
-    out = df.withColumns({"_full": F.nullif(full, F.lit("")), "_head": F.when(full.contains(" - "), head)})
+    # without a head part the full name is asked twice: same answer, and no shared null key
+    out = df.withColumns({"_full": full, "_head": F.when(full.contains(" - "), head).otherwise(full)})
     for i, key in enumerate(("_full", "_head")):
         out = out.join(names.toDF(key, f"_n{i}"), key, "left").join(olds.toDF(key, f"_o{i}"), key, "left")
     return out.withColumn("security_id", F.coalesce("_n0", "_o0", "_n1", "_o1")).drop(

@@ -21,9 +21,10 @@ def merge_snapshot(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
     snap = snap.withColumn("_key", F.coalesce("isin", F.concat_ws("\x1f", "symbol", F.coalesce("series", F.lit("")))))
     snap = top_per_key(snap, ["_key"], [F.col("line_no").desc()])
     old = stored.select("security_id", *[F.col(c).alias(f"o_{c}") for c in ("symbol", "company_name", *_ATTRS)])
-    by_isin = snap.join(old, (F.col("isin") == F.col("o_isin")), "left")
+    # listings without an ISIN skip the ISIN join instead of meeting there under one null key
+    by_isin = snap.where(F.col("isin").isNotNull()).join(old, F.col("isin") == F.col("o_isin"), "left")
     found = by_isin.where(F.col("security_id").isNotNull())
-    rest = by_isin.where(F.col("security_id").isNull()).select(*snap.columns)
+    rest = by_isin.where(F.col("security_id").isNull()).select(*snap.columns).unionByName(snap.where(F.col("isin").isNull()))
     rest = rest.join(
         old, (F.col("symbol") == F.col("o_symbol")) & F.col("series").eqNullSafe(F.col("o_series")), "left"
     )
