@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
 
 _DDL = {
-    "securities": "security_id bigint, symbol string, isin string, company_name string, series string, is_sme boolean, listing_date date, face_value double, status string, industry string, observed_at timestamp not null, updated_at timestamp",
     "security_aliases": "security_id bigint, alias string, alias_type string, event_at timestamp, observed_at timestamp not null",
     "filings": "filing_id bigint, feed string, symbol string, security_id bigint, isin string, subject string, description string, link string, attachment_url string, dedup_key string, content_hash string, raw map<string,string>, source string, event_at timestamp, observed_at timestamp not null",
     "documents": "doc_id bigint, filing_id bigint, url string, sha256 string, bytes bigint, fetch_status string, attempts int, next_attempt_at timestamp, event_at timestamp, observed_at timestamp not null",
@@ -24,8 +23,9 @@ _DDL = {
     "holidays": "day date, segment string, name string, event_at timestamp, observed_at timestamp not null",
 }
 
-# operational logs: system time only
+# the master and operational logs: current state and system time only
 _LOG_DDL = {
+    "securities": "security_id bigint, symbol string, isin string, company_name string, series string, is_sme boolean, listing_date date, face_value double, status string, industry string, observed_at timestamp not null, updated_at timestamp",
     "outbox": "id bigint, topic string, payload string, created_at timestamp",
     "consumer_offsets": "consumer string, topic string, last_acked_id bigint",
     "dead_letters": "id bigint, consumer string, topic string, payload string, error string, attempts int",
