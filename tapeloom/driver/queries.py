@@ -266,7 +266,7 @@ def fundamental_states(t):
 
 @query
 def revision_dedup_misfile(t):
-    return xbrl.keep_revision(t.revisions).select("symbol", "period_end", "basis", "doc", *r6("revenue"))
+    return xbrl.keep_revision(t.store("revisions").revisions).select("symbol", "period_end", "basis", "doc", *r6("revenue"))
 
 
 @query

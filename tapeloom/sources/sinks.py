@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -28,6 +30,17 @@ def report_row(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("body"))
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and returns a reader of it.
+
+    For results that several later steps read: they are computed once, and a lost executor
+    costs a re-read of files instead of the whole lineage.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 

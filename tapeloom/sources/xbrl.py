@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType
 from tapeloom import constants as K
 from tapeloom.functions.numeric import scale_percent, with_rounded
 from tapeloom.operators.fold import ordered_fold
+from tapeloom.sources.sinks import stage
 
 FACT_SCHEMA = "doc string, seq int, fact string, context string, text string, promoter boolean"
 
@@ -112,6 +113,8 @@ def keep_revision(rows: DataFrame) -> DataFrame:
     A later row loses when its revenue differs from the kept one by more than five times and
     the kept one is nearer to the upper median of the symbol's revenue in other periods.
 
+    ``rows`` is read by several steps, so pass a stored table; the per-key summary is stored here.
+
     Keys whose non-zero revenues agree within five times need no guard: their last row wins
     through a mergeable aggregate. Only keys in conflict take the ordered fold. Its rows
     before the last one nearest to the median cannot decide anything, as that row always
@@ -120,7 +123,9 @@ def keep_revision(rows: DataFrame) -> DataFrame:
     key = ["symbol", "period_end", "basis"]
     order = F.struct("doc_no", "doc")
     value = F.nullif(F.col("revenue"), F.lit(0.0))
-    spread = rows.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max(order).alias("_last"))
+    spread = stage(
+        rows.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max(order).alias("_last")), "revision-keys"
+    )
     conflict = F.coalesce(F.col("_hi") > 5 * F.col("_lo"), F.lit(False))
     clash = spread.where(conflict).select(*key)
     medians = other_period_medians(rows, clash.select("symbol", "period_end").distinct())
@@ -178,7 +183,8 @@ def other_period_medians(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def load_financials(facts: DataFrame, filings: DataFrame) -> DataFrame:
-    return keep_revision(quarter_rows(result_instances(facts), filings))
+    """Results facts to quarters; the files are parsed once, before revisions are settled."""
+    return keep_revision(stage(quarter_rows(result_instances(facts), filings), "quarter-rows"))
 
 
 def results_index(classic: DataFrame, integrated: DataFrame) -> DataFrame:
