@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from tapeloom import constants as K
-from tapeloom.driver.tables import AS_OF, FEED_NAMES, VIEWS, duck_view
+from tapeloom.driver.tables import AS_OF, VIEWS, duck_view
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 TODAY = f"DATE '{AS_OF[:10]}'"
@@ -46,7 +46,7 @@ def oracle(name: str, sql: str) -> None:
 
     for n in _needs(sql):
         add(n)
-    head = ", ".join(f"{n} AS ({t})" if not n.startswith("rec_") else f"{n} AS ({t})" for n, t in done.items())
+    head = ", ".join(f"{n} AS ({t})" for n, t in done.items())
     ORACLES[name] = (f"WITH RECURSIVE {head} " if done else "") + sql
 
 
@@ -72,10 +72,6 @@ def pyr(x: str, n: int) -> str:
     return f"(({low} + CASE WHEN {over} > 0 OR ({over} = 0 AND {low} % 2 <> 0) THEN 1e0 ELSE 0e0 END) / {s})"
 
 
-def pct(n: float) -> str:
-    return f"{n!r}e0" if "e" not in repr(n) else repr(n)
-
-
 W = "PARTITION BY symbol ORDER BY trade_date"
 
 # ---------------------------------------------------------------- bars and indicators
@@ -438,7 +434,7 @@ def _codes() -> str:
         if cat == "auditor_resignation":
             code = f"CASE WHEN {_HAS(K.NON_STATUTORY_AUDITOR)} AND NOT {_HAS(K.STATUTORY_AUDITOR)} THEN {300 - i} ELSE {m * 100 - i} END"
         if cat == "regulatory_action":
-            cond = f"{cond} AND NOT ({_HAS(K.REGULATION_CITATION.replace('(', chr(92) + '(') if False else K.REGULATION_CITATION)} AND NOT {_HAS(K.ENFORCEMENT_MARKER)})"
+            cond = f"{cond} AND NOT ({_HAS(K.REGULATION_CITATION)} AND NOT {_HAS(K.ENFORCEMENT_MARKER)})"
         out.append(f"CASE WHEN {cond} THEN {code} ELSE -1 END")
     return f"greatest({', '.join(out)})"
 

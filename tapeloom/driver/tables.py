@@ -7,7 +7,6 @@ Amounts are taken in thousands, so that liquidity gates divide the symbols.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -306,9 +305,6 @@ VIEWS = {
           AND NOT (f.seq IN (3, 4, 5) AND s_suppkey % 4 = 1)""",
 }
 
-_CALL = re.compile(r"\{(\w+)\(")
-
-
 def _expand(text: str, dialect: dict, table) -> tuple[str, list[str]]:
     """Fills dialect calls and table names; returns the SQL and the tables it reads."""
     out, used, i = [], [], 0

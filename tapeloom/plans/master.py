@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom import constants as K
-from tapeloom.operators.keyed import top_per_key
+from tapeloom.operators.keyed import priority_worklist, top_per_key
 
 _ATTRS = ("series", "isin", "is_sme", "face_value")
 
@@ -102,8 +102,6 @@ def due_documents(state: DataFrame, now: Column, limit: int) -> DataFrame:
 
 def pledge_worklist(filings: DataFrame, pledge: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     """Symbols needing a pledge fetch: activity, then fresh shareholding, then scored ones."""
-    from tapeloom.operators.keyed import priority_worklist
-
     held = pledge.groupBy("symbol").agg(F.max("observed_at").alias("_held"))
     named = filings.where(F.col("symbol").isNotNull())
     active = named.where(F.col("feed").isin("encumbrance", "sast_reg31")).join(held, "symbol", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom import constants as K
 from tapeloom.operators.keyed import top_per_key
@@ -11,11 +11,7 @@ from tapeloom.operators.pit import trailing
 
 def price_checks(bars: DataFrame) -> DataFrame:
     """Per symbol over its last 60 bars: turnover median of the last 20, close, lock ratio."""
-    last = bars.select(
-        "symbol", "trade_date", "close", "series", "turnover", "high", "low"
-    )
-    from pyspark.sql import Window
-
+    last = bars.select("symbol", "trade_date", "close", "series", "turnover", "high", "low")
     w = Window.partitionBy("symbol").orderBy(F.col("trade_date").desc())
     last = last.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 60)
     turnover = F.array_sort(F.collect_list(F.when(F.col("_rn") <= 20, F.coalesce("turnover", F.lit(0.0)))))
