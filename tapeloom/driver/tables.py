@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom import constants as K
-from tapeloom.sources.sinks import shared_dir
+from tapeloom.sources.sinks import shared_dir, ship_package
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -340,6 +340,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark, self.dir, self._made, self._root = spark, sf_dir, {}, None
 
     def store(self, *names: str) -> "Tables":

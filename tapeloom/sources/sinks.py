@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +33,20 @@ def report_row(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("body"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    base = Path(tempfile.mkdtemp(prefix="tapeloom-")) / "tapeloom_package"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+    _SHIPPED.add(app)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table to the shared folder and returns a reader of it.
 
@@ -51,8 +68,6 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
     path = tempfile.mkdtemp(prefix="tapeloom-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
