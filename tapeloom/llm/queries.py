@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import langid, pieces, pii, quality, toxicity
+from tapeloom.llm import decontaminate, langid, lm, pieces, pii, quality, simhash, toxicity
 from tapeloom.llm.common import remainder_is, table
 
 
@@ -26,11 +26,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), remainder_is("doc_id", 4, 2))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"), remainder_is("doc_id", 5, 1))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("n_failed_lines")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op4_sentencepiece, op5_langid, op9_quality)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op4_sentencepiece, op5_langid, op7_lm, op8_simhash, op9_quality, op10_decontaminate)
 }
 ORACLES: dict[str, str] = {}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
@@ -28,7 +29,7 @@ from tapeloom.llm.common import Memo, per_row, schema, ship_package
 from tapeloom.sources.sinks import stage
 
 SAMPLE = 10_000
-FEATURES = 16_384
+FEATURES = 4_096
 BUCKETS = 1 << 20
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -152,25 +153,29 @@ def sentence_rows(sample: DataFrame, buckets: list[int]) -> DataFrame:
     return sample.select("__id", "__text", "__y").mapInArrow(run, schema(("id", kind), ("y", IntegerType()), ("nth", IntegerType()), ("own", ints), ("other", ints)))
 
 
-def packed(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All features one after the other, and the sentence of each."""
-    sizes = [len(x) for x in lists]
-    flat = np.fromiter((f for x in lists for f in x), dtype=np.int64, count=sum(sizes))
-    return flat, np.repeat(np.arange(len(lists)), sizes)
+def packed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All features one after the other, and the sentence of each; null lists have none."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), sizes)
 
 
-def fit(rows: list, n_features: int, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias: loss of the worst sentence of each document + penalty * squared score change under swaps."""
-    rows = sorted(rows, key=lambda r: (r["id"], r["nth"]))
-    flat, of = packed([r["own"] for r in rows])
-    pairs = [i for i, r in enumerate(rows) if r["other"] is not None]
-    swap_flat, swap_of = packed([rows[i]["other"] for i in pairs])
-    pairs = np.array(pairs, dtype=np.int64)
-    first = np.flatnonzero([i == 0 or rows[i]["id"] != rows[i - 1]["id"] for i in range(len(rows))])
-    y = np.array([rows[i]["y"] for i in first], dtype=float)
+def fit(rows: pa.Table, n_features: int, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias: loss of the worst sentence of each document + penalty * squared score change under swaps.
+
+    ``rows`` are those of :func:`sentence_rows`, in any order.
+    """
+    rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("nth", "ascending")])).combine_chunks()
+    own, other = (rows.column(c).chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("own", "other"))
+    flat, of = packed(own)
+    pairs = np.flatnonzero(pc.is_valid(other).to_numpy(zero_copy_only=False))
+    swap_flat, swap_of = packed(other.filter(pc.is_valid(other)))
+    nth = rows.column("nth").to_numpy()
+    first = np.flatnonzero(nth == 0)
+    labels = rows.column("y").to_numpy()
+    y = labels[first].astype(float)
     if not y.sum():
         return np.zeros(n_features), LOW
-    doc = np.repeat(np.arange(first.size), np.diff(np.append(first, len(rows))))
+    doc = np.repeat(np.arange(first.size), np.diff(np.append(first, len(nth))))
     balance = np.where(y == 1, max(1.0, math.sqrt((y == 0).sum() / y.sum())), 1.0)
     balance /= balance.sum()
     w, b = np.zeros(n_features), LOW / 2
@@ -179,18 +184,18 @@ def fit(rows: list, n_features: int, penalty: float = 1.0, ridge: float = 1e-4,
     w *= 2 / max(np.abs(w).max(), 1e-12)
     m, v, steps = np.zeros(n_features + 1), np.zeros(n_features + 1), 0
     for _ in range(rounds):
-        s = b + np.bincount(of, w[flat], len(rows))
+        s = b + np.bincount(of, w[flat], len(nth))
         worst = np.maximum.reduceat(s, first)
         at = np.flatnonzero(s == worst[doc])
         at = at[np.concatenate(([True], doc[at][1:] != doc[at][:-1]))]  # the first of equals
         error = balance * (1 / (1 + np.exp(-np.clip(worst, -30, 30))) - y)
-        pull = np.zeros(len(rows))
+        pull = np.zeros(len(nth))
         pull[at] = error
         grad = np.bincount(flat, pull[of], n_features) + ridge * w
         if pairs.size:
             change = s[pairs] - b - np.bincount(swap_of, w[swap_flat], pairs.size)
             step = 2 * penalty * change / pairs.size
-            back = np.zeros(len(rows))
+            back = np.zeros(len(nth))
             back[pairs] = step
             grad += np.bincount(flat, back[of], n_features) - np.bincount(swap_flat, step[swap_of], n_features)
         grad = np.append(grad, error.sum())
@@ -210,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {}, LOW
     buckets = informative(count_features(sample), n.get(0, 0), n[1], features)
     # a few features for each sentence of the bounded sample
-    w, b = fit(sentence_rows(sample, buckets).collect(), len(buckets))
+    w, b = fit(sentence_rows(sample, buckets).toArrow(), len(buckets))
     return {k: float(x) for k, x in zip(buckets, w) if x}, b
 
 
