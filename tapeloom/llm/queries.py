@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import decontaminate, langid, lm, pieces, pii, quality, simhash, toxicity
+from tapeloom.llm import decontaminate, htmltext, langid, linededup, lm, pieces, pii, quality, simhash, toxicity
 from tapeloom.llm.common import remainder_is, table
 
 
@@ -18,6 +18,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), remainder_is("doc_id", 4, 2))
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), remainder_is("doc_id", 5, 1))
 
@@ -44,6 +53,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op4_sentencepiece, op5_langid, op7_lm, op8_simhash, op9_quality, op10_decontaminate)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op3_html, op4_sentencepiece, op5_langid, op6_linededup, op7_lm, op8_simhash, op9_quality, op10_decontaminate)
 }
 ORACLES: dict[str, str] = {}
