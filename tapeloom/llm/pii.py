@@ -36,6 +36,7 @@ STREETS = ("street", "avenue", "road", "straße", "strasse", "rue ", "calle ", "
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account", "address")
 VALUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id|is))?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]{5,}[A-Za-z0-9])")
+IBAN = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|is))?[ \t]*[:=]?[ \t]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})")
 HOUSE = re.compile(r"[ \t]+([0-9]{1,5}[a-z]?)\b")
 BEFORE_STREET = re.compile(r"\b([0-9]{1,5}[a-z]?(?:[ \t]+[^\s0-9.,;:]{2,}){1,3})[ \t]*$")
 
@@ -155,7 +156,8 @@ def find(text: str, anchors) -> list[Span]:
             found[kind].append(Span(kind, start, end))
             done[kind] = end
 
-    for last, (kind, size) in anchors.iter(lower_ascii(text)):
+    lowered = lower_ascii(text)
+    for last, (kind, size) in anchors.iter(lowered):
         first = last - size + 1
         if kind == "email":
             if first >= done["email"] and (span := email_at(text, first, done["email"])):
@@ -188,17 +190,18 @@ def find(text: str, anchors) -> list[Span]:
                 if end > last + 1:
                     put("url", first, end)
         elif kind == "cue":
-            if not (first and text[first - 1].isalnum()) and (m := VALUE.match(text, last + 1)):
-                value = m[1]
-                if text[first : last + 1].lower() == "iban":
-                    # an IBAN is often written in blocks of four
-                    wide = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}").match(text, m.start(1))
-                    while wide and not iban_valid(wide[0]) and " " in wide[0]:
-                        wide = re.compile(re.escape(wide[0].rsplit(" ", 1)[0])).match(text, m.start(1))
-                    if wide and iban_valid(wide[0]):
-                        put("iban", *wide.span())
-                elif sum(c.isdigit() for c in value) >= 4:
-                    put("account", *m.span(1))
+            if first and text[first - 1].isalnum():
+                continue
+            if lowered.startswith("iban", first):
+                if m := IBAN.match(text, last + 1):
+                    # written in blocks; words may follow the last one
+                    start, end = m.span(1)
+                    while end > start and not iban_valid(text[start:end]):
+                        end = text.rfind(" ", start, end)
+                    if end > start:
+                        put("iban", start, end)
+            elif (m := VALUE.match(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 4:
+                put("account", *m.span(1))
         elif kind == "street":
             if m := HOUSE.match(text, last + 1):
                 start = first

@@ -112,6 +112,10 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         own = values[at]
         varying = np.bitwise_or.reduce(own) & ~np.bitwise_and.reduce(own)
         positions = [b for b in range(BITS) if int(varying) >> b & 1]
+        if len(positions) <= radius:  # all are within the radius
+            for i in at[1:].tolist():
+                link(int(at[0]), i)
+            return
         # a pair within the radius agrees on one of radius + 1 disjoint groups of positions
         for group in range(radius + 1):
             mask = np.uint64(sum(1 << b for b in positions[group :: radius + 1]))

@@ -120,3 +120,45 @@ def contamination(docs, items, width=10):
                     found |= wins[w]
         out[d] = (len(ws), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit))
     return out
+
+
+def line_removals(docs, blocks, rare=16, min_words=5):
+    """doc_id -> places of deleted lines; ``blocks(a, b, sizes)`` aligns two lists of lines."""
+    texts = {}
+    for d, t in docs:
+        texts.setdefault(t or "", set()).add(d)
+    lines = {t: [l.strip(" \t\n\r\x0b\x0c") if WORD.search(l) else "" for l in t.split("\n")] for t in texts}
+    head = {t: min(ds) for t, ds in texts.items()}
+    by_head = {head[t]: lines[t] for t in texts}
+    sizes = {d: [len(WORD.findall(l)) for l in ls] for d, ls in by_head.items()}
+    holders = defaultdict(set)
+    for d, ls in by_head.items():
+        for l in ls:
+            if l:
+                holders[l].add(d)
+    removed = defaultdict(set)
+    for d, ls in by_head.items():
+        partners = {min(holders[l]) for l in ls if l and 1 < len(holders[l]) <= rare} - {d}
+        for p in partners:
+            removed[d] |= set(blocks(by_head[p], ls, sizes[d]))
+        for i, l in enumerate(ls):
+            if l and len(holders[l]) > rare and min(holders[l]) != d and sizes[d][i] >= min_words:
+                removed[d].add(i)
+    for t, ds in texts.items():
+        for d in ds - {head[t]}:
+            removed[d] = {i for i, l in enumerate(lines[t]) if l}
+    return {d: sorted(r) for d, r in removed.items() if r}
+
+
+def without(text, places):
+    rest = "\n".join(l for i, l in enumerate((text or "").split("\n")) if i not in set(places))
+    return rest if WORD.search(rest) else ""
+
+
+def article(page):
+    """Main text of the generator's simple pages."""
+    from html import unescape
+
+    body = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", body[1].replace("<br>", " "))) if body else []
+    return "\n".join(t for t in (" ".join(unescape(p).split()) for p in parts) if t)
