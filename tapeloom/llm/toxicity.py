@@ -29,7 +29,7 @@ from tapeloom.llm.common import Memo, per_row, schema, ship_package
 from tapeloom.sources.sinks import stage
 
 SAMPLE = 10_000
-FEATURES = 4_096
+FEATURES = 512
 BUCKETS = 1 << 20
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -159,7 +159,7 @@ def packed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), sizes)
 
 
-def fit(rows: pa.Table, n_features: int, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: pa.Table, n_features: int, penalty: float = 1.0, ridge: float = 3e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias: loss of the worst sentence of each document + penalty * squared score change under swaps.
 
     ``rows`` are those of :func:`sentence_rows`, in any order.
