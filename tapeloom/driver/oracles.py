@@ -17,6 +17,12 @@ TODAY = f"DATE '{AS_OF[:10]}'"
 POLL_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 V5 = K.CLASSIFIER_VERSION
 
+
+def MID(day: str) -> str:
+    """Market midnight of a day, in UTC."""
+    return f"(cast({day} as timestamp) - INTERVAL 330 MINUTE)"
+
+
 PARTS: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 
@@ -266,7 +272,9 @@ oracle("filing_dedup_stored", "SELECT n.filing_id, n.feed FROM unique_new n WHER
 oracle("first_wins_insert", f"SELECT day, symbol, side, kind, client, qty, {r6('price')} FROM (SELECT *, row_number() OVER (PARTITION BY day, symbol, side, kind ORDER BY seq, price, qty) AS r FROM deals) WHERE r = 1")
 oracle("last_wins_upsert", f"SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.agent, n.agent) AS agent, coalesce(n.score, o.score) AS score, coalesce(o.score_id, n.score_id) AS score_id, {ts('coalesce(n.as_of, o.as_of)', 'as_of')} FROM (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-01') o FULL JOIN (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-28') n ON n.symbol = o.symbol AND n.agent = o.agent")
 oracle("uniqueness_check", "SELECT feed, dedup_key, count(*) AS n FROM typed WHERE dedup_key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-oracle("exact_document_dedup", "SELECT h AS sha256, max(b) AS bytes, count(*) AS copies, min('https://files.example/' || doc_id || '.txt') AS url, substr(h, 1, 2) || '/' || h || '.txt' AS path FROM (SELECT sha256(text) AS h, cast(octet_length(encode(text)) as bigint) AS b, doc_id FROM documents) GROUP BY h")
+part("doc_files", "SELECT CASE WHEN octet_length(encode(text)) <= 20000 THEN sha256(text) END AS h, cast(octet_length(encode(text)) as bigint) AS b, 'https://files.example/' || doc_id || '.txt' AS u FROM documents")
+oracle("exact_document_dedup", """SELECT h AS sha256, max(b) AS bytes, count(*) AS copies, min(u) AS url, substr(h, 1, 2) || '/' || h || '.txt' AS path, 'fetched' AS fetch_status, cast(NULL as string) AS fetch_error FROM doc_files WHERE h IS NOT NULL GROUP BY h
+    UNION ALL SELECT h, b, count(*), u, NULL, 'failed', 'too large: ' || b || ' bytes' FROM doc_files WHERE h IS NULL GROUP BY h, b, u""")
 part("by_alias", "SELECT upper(alias) AS a, min(security_id) AS id FROM aliases GROUP BY 1")
 part("by_old", "SELECT upper(alias) AS a, min(security_id) AS id FROM aliases WHERE alias_type = 'old_name' GROUP BY 1")
 part("tokens", "SELECT event_id, upper(trim(CASE event_id % 5 WHEN 0 THEN ' s' || user_id WHEN 1 THEN 'IN' || lpad(cast(user_id as string), 10, '0') WHEN 2 THEN 'old' || user_id WHEN 3 THEN 'Former Supplier#' || lpad(cast(user_id as string), 9, '0') ELSE '??' END)) AS token FROM event_base")
@@ -322,7 +330,7 @@ part("ev_peer", """SELECT symbol, greatest(0e0, least(100e0, 50e0 + sum(push * 0
           FROM securities me JOIN securities p ON p.industry = me.industry AND p.symbol <> me.symbol JOIN ev_live e ON e.symbol = p.symbol WHERE e.materiality >= 7) WHERE r <= 8 GROUP BY symbol""")
 oracle("event_score", f"SELECT symbol, {r6('event_score', 'event_conf')}, n FROM ev_own")
 oracle("peer_event_score", f"SELECT symbol, {r6('peer_score', 'peer_conf')}, n FROM ev_peer")
-part("net", f"SELECT symbol, sum(CASE WHEN side = 'BUY' THEN qty * price ELSE -(qty * price) END) AS net_rs FROM deals WHERE day <= {TODAY} AND day >= {TODAY} - 28 GROUP BY 1")
+part("net", f"SELECT symbol, sum(CASE WHEN side = 'BUY' THEN qty * price ELSE -(qty * price) END) AS net_rs FROM deals WHERE {MID('day')} <= {NOW} AND {MID('day')} >= {NOW} - INTERVAL 28 DAY GROUP BY 1")
 oracle("large_deal_net", "SELECT symbol, round(net_rs, 4) AS net_rs FROM net")
 part("holdings", f"SELECT symbol, filing_id, event_at, try_cast(regexp_extract(subject, 'PR_AND_PRGRP:\\s*([\\d.]+)', 1) as double) AS pct, try_cast(regexp_extract(subject, 'PUBLIC_VAL:\\s*([\\d.]+)', 1) as double) AS pub, row_number() OVER (PARTITION BY symbol ORDER BY event_at DESC, filing_id DESC) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM live_f WHERE feed = 'shareholding_pattern' AND symbol IS NOT NULL")
 part("prom", "SELECT symbol, max(CASE WHEN r = 1 THEN pct END) AS promoter_pct, max(CASE WHEN r = 1 THEN pct END) - max(CASE WHEN r = 2 THEN pct END) AS promoter_delta FROM holdings GROUP BY 1")
@@ -330,8 +338,8 @@ oracle("promoter_delta", f"SELECT symbol, {r6('promoter_pct', 'promoter_delta')}
 part("surv3", f"SELECT symbol, min(CASE framework WHEN 'gsm' THEN 0e0 WHEN 'asm_lt' THEN 5e0 ELSE 10e0 END) AS surv_pts FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY as_of DESC, framework) AS r FROM surveillance WHERE as_of <= {TODAY}) WHERE r <= 3 GROUP BY 1")
 part("flow0", f"""SELECT u.symbol, n.net_rs, t.rs, p.promoter_delta, coalesce(i.n, 0) AS insider_n, coalesce(s.surv_pts, 25e0) AS surv_pts,
     CASE WHEN t.rs > 0 AND n.net_rs IS NOT NULL THEN greatest(-0.5e0, least(0.5e0, n.net_rs / t.rs)) END AS deal_ratio
-    FROM (SELECT symbol FROM deals UNION SELECT symbol FROM surveillance UNION SELECT symbol FROM live_f WHERE feed = 'shareholding_pattern' AND symbol IS NOT NULL) u
-    LEFT JOIN net n ON n.symbol = u.symbol LEFT JOIN (SELECT symbol, sum(turnover) * 1e5 AS rs FROM bars WHERE trade_date <= {TODAY} AND trade_date >= {TODAY} - 28 GROUP BY 1) t ON t.symbol = u.symbol
+    FROM (SELECT symbol FROM deals WHERE {MID('day')} <= {NOW} UNION SELECT symbol FROM surveillance WHERE {MID('as_of')} <= {NOW} UNION SELECT symbol FROM live_f WHERE feed = 'shareholding_pattern' AND symbol IS NOT NULL) u
+    LEFT JOIN net n ON n.symbol = u.symbol LEFT JOIN (SELECT symbol, sum(turnover) * 1e5 AS rs FROM bars WHERE {MID('trade_date')} <= {NOW} AND {MID('trade_date')} >= {NOW} - INTERVAL 28 DAY GROUP BY 1) t ON t.symbol = u.symbol
     LEFT JOIN prom p ON p.symbol = u.symbol LEFT JOIN (SELECT symbol, count(*) AS n FROM live_f WHERE feed IN ('insider_trading', 'sast_reg29') AND observed_at >= {NOW} - INTERVAL 30 DAY GROUP BY 1) i ON i.symbol = u.symbol
     LEFT JOIN surv3 s ON s.symbol = u.symbol""")
 part("flow1", """SELECT *, 17.5e0 + 35e0 * deal_ratio AS deal_pts, CASE WHEN promoter_delta IS NOT NULL THEN greatest(0e0, least(25e0, 12.5e0 + 5e0 * promoter_delta)) END AS prom_pts,
@@ -348,15 +356,15 @@ part("enc", f"SELECT symbol, count(*) AS n_enc FROM live_f WHERE feed = 'encumbr
 part("plg", f"SELECT DISTINCT ON (symbol) symbol, promoter_pct, encumbered_pct FROM pledge WHERE encumbered_pct IS NOT NULL AND observed_at <= {NOW} ORDER BY symbol, observed_at DESC, record_id DESC")
 part("sv", f"SELECT symbol, sum(CASE WHEN framework = 'gsm' OR (framework = 'asm_lt' AND stage <> 'Stage I') THEN 1 ELSE 0 END) AS sh, sum(CASE WHEN framework = 'gsm' OR (framework = 'asm_lt' AND stage <> 'Stage I') THEN 0 ELSE 1 END) AS ss FROM (SELECT DISTINCT symbol, framework, stage FROM surveillance WHERE as_of <= {TODAY}) GROUP BY 1")
 part("fin0", "SELECT DISTINCT ON (symbol) symbol, paidup, face FROM quarters_live ORDER BY symbol, period_end DESC, basis")
-part("risk0", """SELECT u.symbol, p.tl[len(p.tl) // 2 + 1] AS median_turnover, p.last_close, p.last_series, p.lock_ratio, coalesce(s.sh, 0) AS sh, coalesce(s.ss, 0) AS ss, coalesce(g.aud, 0) AS aud, coalesce(g.reg, 0) AS reg,
+part("risk0", f"""SELECT u.symbol, p.tl[len(p.tl) // 2 + 1] AS median_turnover, p.last_close, p.last_series, p.lock_ratio, coalesce(s.sh, 0) AS sh, coalesce(s.ss, 0) AS ss, coalesce(g.aud, 0) AS aud, coalesce(g.reg, 0) AS reg,
     coalesce(e.n_enc, 0) AS n_enc, coalesce(l.promoter_pct, 0) AS pp, l.encumbered_pct AS ep, CASE WHEN p.last_close <> 0 AND f.paidup > 0 AND f.face > 0 THEN f.paidup / f.face * p.last_close / 1e7 END AS mcap_cr
-    FROM (SELECT symbol FROM securities UNION SELECT symbol FROM surveillance) u LEFT JOIN px p ON p.symbol = u.symbol LEFT JOIN sv s ON s.symbol = u.symbol LEFT JOIN gov g ON g.symbol = u.symbol
+    FROM (SELECT symbol FROM securities UNION SELECT symbol FROM surveillance WHERE as_of <= {TODAY}) u LEFT JOIN px p ON p.symbol = u.symbol LEFT JOIN sv s ON s.symbol = u.symbol LEFT JOIN gov g ON g.symbol = u.symbol
     LEFT JOIN enc e ON e.symbol = u.symbol LEFT JOIN plg l ON l.symbol = u.symbol LEFT JOIN fin0 f ON f.symbol = u.symbol""")
 part("risk1", """SELECT *, sh + (CASE WHEN median_turnover < 10 THEN 1 ELSE 0 END) + (CASE WHEN last_close < 5 THEN 1 ELSE 0 END) + (CASE WHEN lock_ratio > 0.2e0 THEN 1 ELSE 0 END) + (CASE WHEN aud > 0 THEN 1 ELSE 0 END) + (CASE WHEN pp > 0 AND ep > 25 THEN 1 ELSE 0 END) AS n_hard,
     ss + (CASE WHEN last_series IN ('BE', 'BZ') THEN 1 ELSE 0 END) + (CASE WHEN reg > 0 THEN 1 ELSE 0 END) + (CASE WHEN NOT (pp > 0 AND ep > 25) AND ep > 10 THEN 1 ELSE 0 END) + (CASE WHEN n_enc > 0 THEN 1 ELSE 0 END) + (CASE WHEN mcap_cr < 300 THEN 1 ELSE 0 END) AS n_soft FROM risk0""")
 part("risk_live", "SELECT *, CASE WHEN n_hard > 0 THEN 'hard_block' WHEN n_soft > 0 THEN 'penalty' ELSE 'clear' END AS verdict, CASE WHEN n_hard > 0 THEN 0e0 ELSE greatest(0e0, 100e0 - 15e0 * n_soft) END AS score FROM risk1")
 oracle("risk_verdict", f"SELECT symbol, verdict, score, cast(n_hard as bigint) AS n_hard, cast(n_soft as bigint) AS n_soft, cast(CASE WHEN ep IS NULL THEN 4 ELSE 3 END as bigint) AS n_unavailable, {r6('median_turnover', 'lock_ratio', 'mcap_cr')} FROM risk_live")
-oracle("risk_universe", f"SELECT symbol FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5') AND observed_at >= {NOW} - INTERVAL 2 DAY AND observed_at <= {NOW} UNION SELECT symbol FROM surveillance")
+oracle("risk_universe", f"SELECT symbol FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5') AND observed_at >= {NOW} - INTERVAL 2 DAY AND observed_at <= {NOW} UNION SELECT symbol FROM surveillance WHERE as_of <= {TODAY}")
 
 # ---------------------------------------------------------------- fusion
 
@@ -416,7 +424,7 @@ def observe(profile: str, step: int) -> str:
 
 
 part("obs_default", observe("default", 5))
-part("obs_momentum", observe("momentum", 10))
+part("obs_momentum", observe("momentum", 5))
 oracle("walk_forward", f"SELECT symbol, d, stance, conviction, confidence, {r6('ret_1w', 'ret_4w', 'ret_12w', 'excess_1w', 'excess_4w', 'excess_12w')} FROM obs_default")
 oracle("walk_forward_summary", f"SELECT stance, \"window\", observations, {r6('avg_excess', 'hit_rate', 'avg_ret')} FROM (" + " UNION ALL ".join(
     f"SELECT stance, '{k}' AS \"window\", count(*) AS observations, 100 * avg(excess_{k}) AS avg_excess, 100 * avg(CASE WHEN excess_{k} > 0 THEN 1e0 WHEN excess_{k} <= 0 THEN 0e0 END) AS hit_rate, 100 * avg(ret_{k}) AS avg_ret FROM obs_momentum GROUP BY 1" for k in K.FORWARD_WINDOWS) + ")")
@@ -522,12 +530,12 @@ oracle("session_state", "SELECT e.event_id, CASE WHEN isodow(e.l) >= 6 OR h.day
 # ---------------------------------------------------------------- views
 
 part("feed_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{p}')" for f, p in K.FEEDS) + ") AS f(feed, priority)")
-part("poll_state", """SELECT feed, max(moment) AS last_polled_at, max(CASE WHEN new > 0 THEN moment END) AS last_changed_at, arg_max(status, moment) AS last_status, cast(sum(CASE WHEN status = 'ok' THEN seen ELSE 0 END) as bigint) AS entries_seen, cast(sum(CASE WHEN status = 'ok' THEN new ELSE 0 END) as bigint) AS entries_new,
+part("feed_more", "SELECT * FROM feed_dim UNION ALL SELECT 'pilot_feed', 'P1'")
+part("poll_state", """SELECT feed, max(moment) AS last_polled_at, max(CASE WHEN status = 'ok' AND new > 0 THEN moment END) AS last_changed_at, arg_max(status, (moment, poll_id)) AS last_status, cast(sum(CASE WHEN status = 'ok' THEN seen ELSE 0 END) as bigint) AS entries_seen, cast(sum(CASE WHEN status = 'ok' THEN new ELSE 0 END) as bigint) AS entries_new,
     count(*) FILTER (status = 'error' AND since_ok = 0) AS consecutive_errors FROM (SELECT *, count(*) FILTER (status = 'ok') OVER (PARTITION BY feed ORDER BY moment DESC, poll_id DESC) AS since_ok FROM polls) GROUP BY feed""")
 oracle("feed_state", f"SELECT feed, {ts('last_polled_at')}, {ts('last_changed_at')}, last_status, entries_seen, entries_new, consecutive_errors FROM poll_state")
-part("poll_known", "SELECT * FROM poll_state WHERE feed <> 'brsr'")
-oracle("view_feeds", "SELECT d.feed, d.priority, coalesce(s.last_status, 'never') AS last_status, s.entries_seen FROM feed_dim d LEFT JOIN poll_known s ON s.feed = d.feed")
-part("ages", f"SELECT d.feed, d.priority, s.last_polled_at, s.consecutive_errors, floor((epoch_us({POLL_NOW}) - epoch_us(s.last_polled_at)) / 1e6) AS age FROM feed_dim d LEFT JOIN poll_known s ON s.feed = d.feed")
+oracle("view_feeds", "SELECT d.feed, d.priority, coalesce(s.last_status, 'never') AS last_status, s.entries_seen FROM feed_more d LEFT JOIN poll_state s ON s.feed = d.feed")
+part("ages", f"SELECT d.feed, d.priority, s.last_polled_at, s.consecutive_errors, floor((epoch_us({POLL_NOW}) - epoch_us(s.last_polled_at)) / 1e6) AS age FROM feed_more d LEFT JOIN poll_state s ON s.feed = d.feed")
 oracle("view_health", "SELECT feed, 'never polled' AS problem FROM ages WHERE last_polled_at IS NULL UNION ALL SELECT feed, 'last poll ' || cast(cast(age as bigint) as string) || 's ago' FROM ages WHERE age > CASE priority WHEN 'P0' THEN 300 WHEN 'P1' THEN 1800 ELSE 7200 END UNION ALL SELECT feed, cast(consecutive_errors as string) || ' consecutive errors' FROM ages WHERE consecutive_errors >= 3")
 oracle("view_filings", f"SELECT f.filing_id, f.symbol, f.feed, f.subject, c.category, cast(c.materiality as bigint) AS materiality, {ts('f.event_at', 'event_at')} FROM live_f f LEFT JOIN (SELECT * FROM classifications WHERE model_version = '{V5}') c ON c.filing_id = f.filing_id WHERE f.event_at >= TIMESTAMP '2001-01-01'")
 oracle("view_pulse", f"SELECT f.filing_id, f.symbol, c.category, cast(c.materiality as bigint) AS materiality, c.sentiment, c.confidence, coalesce(c.summary, f.subject) AS summary, c.engine, {ts('f.event_at', 'event_at')} FROM live_f f JOIN live_c c ON c.filing_id = f.filing_id WHERE c.model_version = '{V5}' AND c.materiality >= 5 AND NOT c.routine AND f.event_at >= TIMESTAMP '2001-07-01'")
@@ -537,7 +545,7 @@ part("sig_latest", f"SELECT s.*, n.news_category, n.news_materiality, n.news_day
 part("sig_rank", "SELECT *, row_number() OVER (ORDER BY conviction DESC, symbol) AS rk FROM sig_latest")
 oracle("view_signals", f"SELECT symbol, signal_id, stance, conviction, {pyr('up', 1)} AS upside_pct, {_RECO} AS reco, news_category, news_materiality, news_days_ago FROM sig_rank WHERE rk <= 25 OR news_category IS NOT NULL")
 part("sig_any", f"SELECT s.*, n.news_category FROM (SELECT DISTINCT ON (symbol) * FROM signals WHERE as_of <= {NOW} ORDER BY symbol, as_of DESC, signal_id DESC) s LEFT JOIN news n ON n.symbol = s.symbol")
-oracle("view_signals_any_profile", f"SELECT symbol, signal_id, profile, {_RECO} AS reco, cast(CASE stance WHEN 'suppressed' THEN 0 WHEN 'exit' THEN 1 WHEN 'reduce' THEN 2 WHEN 'hold' THEN 3 WHEN 'accumulate' THEN 4 WHEN 'buy' THEN 5 END as bigint) AS stance_key FROM (SELECT *, row_number() OVER (ORDER BY conviction DESC, symbol) AS rk FROM sig_any) WHERE rk <= 1000 OR news_category IS NOT NULL")
+oracle("view_signals_any_profile", f"SELECT symbol, signal_id, profile, {_RECO} AS reco, cast(CASE stance WHEN 'suppressed' THEN 0 WHEN 'exit' THEN 1 WHEN 'reduce' THEN 2 WHEN 'hold' THEN 3 WHEN 'accumulate' THEN 4 WHEN 'buy' THEN 5 END as bigint) AS stance_key FROM (SELECT *, row_number() OVER (ORDER BY conviction DESC, symbol) AS rk FROM sig_any)")
 part("px260", f"SELECT symbol, arg_max(close, trade_date) AS price, max(close) AS high_52w, min(close) AS low_52w FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS back FROM bars WHERE trade_date <= {TODAY}) WHERE back <= 260 GROUP BY 1")
 part("ttm", "SELECT symbol, CASE WHEN count(*) FILTER (eps_basic <> 0) = 4 THEN sum(eps_basic) END AS eps_ttm, arg_max(paidup, period_end) AS pu, arg_max(face, period_end) AS fv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS back FROM quarters_live WHERE basis = 'consolidated') WHERE back <= 4 GROUP BY 1")
 oracle("view_company", f"SELECT symbol, {r6('price', 'high_52w', 'low_52w', 'eps_ttm', 'pe_ttm', 'mcap_cr')} FROM (SELECT p.*, t.eps_ttm, p.price / nullif(t.eps_ttm, 0) AS pe_ttm, t.pu / t.fv * p.price / 1e7 AS mcap_cr FROM px260 p LEFT JOIN ttm t ON t.symbol = p.symbol)")

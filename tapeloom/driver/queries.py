@@ -224,7 +224,7 @@ def walk_forward(t):
 
 @query
 def walk_forward_summary(t):
-    obs = backtest.observations(t.bars, t.index_bars, t.quarters, live_events(t), profile="momentum", step=10)
+    obs = backtest.observations(t.bars, t.index_bars, t.quarters, live_events(t), profile="momentum")
     return backtest.summarize(obs).select("stance", "window", "observations", *r6("avg_excess", "hit_rate", "avg_ret"))
 
 
@@ -361,7 +361,7 @@ def uniqueness_check(t):
 def exact_document_dedup(t):
     files = t.documents.select(F.concat(F.lit("https://files.example/"), F.col("doc_id"), F.lit(".txt")).alias("url"),
                                F.encode("text", "utf-8").alias("content"))
-    return documents.catalogue(files).select("sha256", F.col("bytes").cast("bigint").alias("bytes"), "copies", "url", "path")
+    return documents.catalogue(files, cap=20_000).select("sha256", F.col("bytes").cast("bigint").alias("bytes"), "copies", "url", "path", "fetch_status", "fetch_error")
 
 
 @query
@@ -463,7 +463,8 @@ def flow_score(t):
 
 
 def risk_all(t):
-    universe = t.securities.select("symbol").union(t.surveillance.select("symbol")).distinct()
+    known = t.surveillance.where(F.col("as_of") <= now().cast("date"))
+    universe = t.securities.select("symbol").union(known.select("symbol")).distinct()
     return risk.risk_verdicts(universe, live_bars(t), live_filings(t), live_classes(t), t.surveillance, t.pledge, live_quarters(t), now())
 
 
@@ -657,16 +658,20 @@ def feed_state(t):
                                             *big("entries_seen", "entries_new", "consecutive_errors"))
 
 
+def more_feeds(t):
+    """The configured feeds and one that was never polled."""
+    return views.feed_table(t.spark).union(t.spark.createDataFrame([("pilot_feed", "P1")], "feed string, priority string"))
+
+
 @query
 def view_feeds(t):
-    return views.feeds_view(views.feed_table(t.spark), views.feed_state(t.polls.where(F.col("feed") != "brsr"))).select(
+    return views.feeds_view(more_feeds(t), views.feed_state(t.polls)).select(
         "feed", "priority", "last_status", *big("entries_seen"))
 
 
 @query
 def view_health(t):
-    state = views.feed_state(t.polls.where(F.col("feed") != "brsr"))
-    return views.health(views.feed_table(t.spark), state, poll_now())
+    return views.health(more_feeds(t), views.feed_state(t.polls), poll_now())
 
 
 @query
@@ -691,7 +696,7 @@ def view_signals(t):
 @query
 def view_signals_any_profile(t):
     news = views.adverse_news(live_filings(t), live_classes(t), now())
-    rows = views.signals_view(_issued(t), news, profile=None, limit=1000)
+    rows = views.signals_view(_issued(t), news, profile=None, limit=None)
     return rows.select("symbol", "signal_id", "profile", "reco", views.stance_sort_key().cast("bigint").alias("stance_key"))
 
 

@@ -18,12 +18,13 @@ _BAR = ["trade_date", "close", "bar_no", "median_turnover", "rsi", "atr", "adx",
 
 
 def rebalances(index_bars: DataFrame, step: int = 5) -> DataFrame:
-    """Every ``step``-th index bar from position 80, leaving the longest window measurable.
+    """Every ``step``-th index bar with a close from position 80, leaving the longest window measurable.
 
-    Carries the index's own 63-bar return and forward returns of that date.
+    Carries the index's own 63-bar return and forward returns of that date. Bars without a close
+    count for no position and no return.
     """
     tail = max(K.FORWARD_WINDOWS.values())
-    idx = forward_returns(index_bars, K.FORWARD_WINDOWS)
+    idx = forward_returns(index_bars.where(F.col("close").isNotNull()), K.FORWARD_WINDOWS)
     w = Window.partitionBy("symbol").orderBy("trade_date")
     idx = idx.withColumns(
         {

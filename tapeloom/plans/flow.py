@@ -13,12 +13,22 @@ from tapeloom.operators.keyed import top_per_key
 from tapeloom.operators.pit import trailing
 
 
+def market_midnight(day: Column) -> Column:
+    """The instant at which a trading day begins in the market's zone."""
+    return F.to_utc_timestamp(day.cast("timestamp"), K.MARKET_ZONE)
+
+
+def recent_days(day: Column, as_of: Column, days: int) -> Column:
+    """Days whose market midnight lies in the trailing ``days`` before the instant."""
+    return trailing(market_midnight(day), as_of, f"{days} DAYS")
+
+
 def net_deals(deals: DataFrame, as_of: Column, days: int = 28) -> DataFrame:
     """(symbol, net_rs): buys minus sells over the trailing days, in rupees."""
     value = F.col("qty") * F.col("price")
     signed = F.when(F.col("side") == "BUY", value).otherwise(-value)
     return (
-        deals.where(trailing(F.col("day"), as_of.cast("date"), f"{days} DAYS"))
+        deals.where(recent_days(F.col("day"), as_of, days))
         .groupBy("symbol")
         .agg(F.coalesce(F.sum(signed), F.lit(0.0)).alias("net_rs"))
     )
@@ -60,25 +70,35 @@ def surveillance_points(surveillance: DataFrame, as_of: Column, *, snapshot: str
     return rows.groupBy("symbol").agg(F.min(pts).alias("surv_pts"))
 
 
-def market_context(market_flow: DataFrame) -> DataFrame:
-    """Net value of the newest row per category."""
-    return top_per_key(market_flow, ["category"], [F.col("day").desc()]).select("category", "net_value")
+def market_context(market_flow: DataFrame, as_of: Column) -> DataFrame:
+    """One row with ``market_context``: the net value of the newest row of each category.
+
+    There are as many categories as the exchange has kinds of investors, so the map is small.
+    """
+    known = market_flow.where(market_midnight(F.col("day")) <= as_of)
+    newest = top_per_key(known, ["category"], [F.col("day").desc(), F.col("net_value").desc()])
+    return newest.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "net_value")))).alias("market_context"))
 
 
 def flow_scores(
     bars: DataFrame, deals: DataFrame, filings: DataFrame, surveillance: DataFrame, as_of: Column,
+    market_flow: DataFrame | None = None,
 ) -> DataFrame:
-    """Scores for symbols with deals, surveillance or a shareholding filing."""
+    """Scores for symbols with deals, surveillance or a shareholding filing known at ``as_of``.
+
+    With ``market_flow`` every row also carries ``market_context``, the newest net value of each
+    category as known then; it does not enter the score.
+    """
     universe = reduce(
         DataFrame.unionByName,
         [
-            deals.select("symbol"),
-            surveillance.select("symbol"),
-            filings.where((F.col("feed") == "shareholding_pattern") & F.col("symbol").isNotNull()).select("symbol"),
+            deals.where(market_midnight(F.col("day")) <= as_of).select("symbol"),
+            surveillance.where(market_midnight(F.col("as_of")) <= as_of).select("symbol"),
+            filings.where((F.col("feed") == "shareholding_pattern") & F.col("symbol").isNotNull() & (F.col("observed_at") <= as_of)).select("symbol"),
         ],
     ).distinct()
     turnover = (
-        bars.where(trailing(F.col("trade_date"), as_of.cast("date"), "28 DAYS"))
+        bars.where(recent_days(F.col("trade_date"), as_of, 28))
         .groupBy("symbol").agg((F.sum("turnover") * K.LAKH).alias("turnover_rs"))
     )
     insider = (
@@ -109,6 +129,8 @@ def flow_scores(
         df.where(F.col("weight_covered") >= K.WEIGHT_FLOOR),
         {"score": (points * 100.0 / F.col("weight_covered"), 1), "confidence": (F.col("weight_covered") / 100.0, 2)},
     ).withColumn("score", F.least(F.lit(100.0), F.col("score")))
+    if market_flow is not None:
+        df = df.crossJoin(F.broadcast(market_context(market_flow, as_of)))
     return df.withColumns(
         {
             "label": F.when(F.col("surv_pts") <= 10.0, "surveillance")

@@ -46,10 +46,10 @@ def _push(now: Column, ts: Column) -> Column:
     return 50.0 * w * F.col("sentiment")
 
 
-def _evidence(peer: Column) -> Column:
+def _evidence(peer: Column, width: int = 80) -> Column:
     item = F.struct(
         F.col("materiality"), F.col("filing_id"), F.col("category"), F.col("sentiment"),
-        peer.cast("string").alias("peer"), F.substring(F.coalesce("subject", F.lit("")), 1, 80).alias("subject"),
+        peer.cast("string").alias("peer"), F.substring(F.coalesce("subject", F.lit("")), 1, width).alias("subject"),
     )
     # at most EVENT_TOP_K items reach this aggregate
     return F.reverse(F.array_sort(F.collect_list(item)))
@@ -98,7 +98,7 @@ def peer_event_scores(events: DataFrame, securities: DataFrame, now: Column, *,
     top = top_per_key(pairs, ["symbol"], order, K.PEER_TOP_K)
     agg = top.groupBy("symbol").agg(
         F.sum(_push(now, F.col("classified_at")) * K.PEER_DAMPING).alias("_push"), F.max("confidence").alias("_conf"),
-        _evidence(F.col("peer")).alias("peer_evidence"),
+        _evidence(F.col("peer"), 70).alias("peer_evidence"),
     )
     return agg.select(
         "symbol", clamp(0.0, 100.0, 50.0 + F.col("_push")).alias("peer_score"),

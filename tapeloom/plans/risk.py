@@ -80,9 +80,9 @@ def market_cap_crore(paidup: Column, face: Column, close: Column) -> Column:
 
 
 def risk_universe(scores: DataFrame, surveillance: DataFrame, as_of: Column) -> DataFrame:
-    """Recently scored symbols and every surveillance member."""
+    """Recently scored symbols and every surveillance member known at ``as_of``."""
     recent = scores.where(F.col("agent").isin("a3", "a4", "a5") & trailing(F.col("observed_at"), as_of, "2 DAYS"))
-    return recent.select("symbol").union(surveillance.select("symbol")).distinct()
+    return recent.select("symbol").union(surveillance.where(F.col("as_of") <= as_of.cast("date")).select("symbol")).distinct()
 
 
 def risk_verdicts(

@@ -20,21 +20,22 @@ def feed_table(spark: SparkSession) -> DataFrame:
 
 
 def feed_state(polls: DataFrame) -> DataFrame:
-    """Counters per feed from the poll log (feed, moment, status, seen, new).
+    """Counters per feed from the poll log (feed, poll_id, moment, status, seen, new).
 
     The error streak is the number of failures after the feed's last success: two mergeable
-    aggregates and a join on the feed, so a feed with most of the log stays distributed.
+    aggregates and a broadcast of one row per configured feed, so a feed with most of the log
+    stays distributed. Of polls at one moment the one with the largest id is the last.
     """
     ok = F.col("status") == "ok"
     base = polls.groupBy("feed").agg(
         F.max("moment").alias("last_polled_at"),
-        F.max(F.when(F.col("new") > 0, F.col("moment"))).alias("last_changed_at"),
-        F.max_by("status", "moment").alias("last_status"),
+        F.max(F.when(ok & (F.col("new") > 0), F.col("moment"))).alias("last_changed_at"),
+        F.max_by("status", F.struct("moment", "poll_id")).alias("last_status"),
         F.sum(F.when(ok, F.col("seen")).otherwise(0)).alias("entries_seen"),
         F.sum(F.when(ok, F.col("new")).otherwise(0)).alias("entries_new"),
         F.max(F.when(ok, F.col("moment"))).alias("_ok"),
     )
-    errors = polls.where(F.col("status") == "error").join(base.select("feed", "_ok"), "feed").where(
+    errors = polls.where(F.col("status") == "error").join(F.broadcast(base.select("feed", "_ok")), "feed").where(
         F.col("_ok").isNull() | (F.col("moment") > F.col("_ok"))
     ).groupBy("feed").agg(F.count(F.lit(1)).alias("consecutive_errors"))
     return base.drop("_ok").join(errors, "feed", "left").withColumn("consecutive_errors", F.coalesce("consecutive_errors", F.lit(0)))
@@ -111,7 +112,7 @@ def recommendation() -> Column:
 
 def signals_view(
     signals: DataFrame, news: DataFrame, *, profile: str | None = "default", stance: str | None = None,
-    min_conviction: float = 0.0, limit: int = 50,
+    min_conviction: float = 0.0, limit: int | None = 50,
 ) -> DataFrame:
     """Newest signal per symbol: top rows by conviction and every row with adverse news.
 
@@ -132,6 +133,8 @@ def signals_view(
     )
     # two bounded-order reads instead of one global rank: the top rows and the flagged rest
     order = [F.col("conviction").desc(), F.col("symbol")]
+    if limit is None:
+        return df
     top = df.orderBy(*order).limit(limit)
     flagged = df.where(F.col("news_category").isNotNull()).join(top.select("symbol"), "symbol", "left_anti")
     return top.unionByName(flagged)

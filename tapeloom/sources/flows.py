@@ -17,7 +17,7 @@ ASM_SCHEMA = f"longterm struct<data:array<struct<{MEMBER.replace(' string', ':st
 def market_flow(rows: DataFrame) -> DataFrame:
     """Category flow rows; unparsable days are dropped, unparsable numbers are null."""
     return rows.select(
-        published_at(F.col("date")).cast("date").alias("day"), F.substring(F.coalesce("category", F.lit("")), 1, 8).alias("category"),
+        published_at(F.col("date")).cast("date").alias("day"), F.coalesce("category", F.lit("")).alias("category"),
         clean_number(F.col("buyValue")).alias("buy_value"), clean_number(F.col("sellValue")).alias("sell_value"),
         clean_number(F.col("netValue")).alias("net_value"),
     ).where(F.col("day").isNotNull())
@@ -30,8 +30,8 @@ def read_market_flow(spark: SparkSession, path: str) -> DataFrame:
 def large_deals(rows: DataFrame, kind: str) -> DataFrame:
     day = F.from_utc_timestamp(published_at(F.col("DATE")), "Asia/Kolkata").cast("date")
     return rows.select(
-        day.alias("day"), F.col("SYMBOL").alias("symbol"), F.substring(F.coalesce("CLIENT NAME", F.lit("")), 1, 1000).alias("client"),
-        F.upper(F.substring(F.coalesce("`BUY/SELL`", F.lit("")), 1, 4)).alias("side"), clean_number(F.col("QUANTITY TRADED")).alias("qty"),
+        day.alias("day"), F.col("SYMBOL").alias("symbol"), F.coalesce("CLIENT NAME", F.lit("")).alias("client"),
+        F.upper(F.coalesce("`BUY/SELL`", F.lit(""))).alias("side"), clean_number(F.col("QUANTITY TRADED")).alias("qty"),
         clean_number(F.col("`TRADE PRICE / WGHT. AVG. PRICE`")).alias("price"), F.lit(kind).alias("kind"),
     ).where(F.col("day").isNotNull() & (F.coalesce("symbol", F.lit("")) != ""))
 
@@ -46,13 +46,13 @@ def surveillance(asm: DataFrame, gsm: DataFrame, as_of: Column) -> DataFrame:
     def side(framework: str, order: int, data: Column, src: DataFrame) -> DataFrame:
         return src.select(F.posexplode_outer(data).alias("pos", "m")).where(F.trim("m.symbol") != "").select(
             F.trim("m.symbol").alias("symbol"), F.lit(framework).alias("framework"),
-            F.substring(F.coalesce("m.asmSurvIndicator", F.lit("")), 1, 16).alias("stage"),
+            F.coalesce("m.asmSurvIndicator", F.lit("")).alias("stage"),
             F.col("m.companyName").alias("detail"), (F.lit(order * 10_000_000) + F.col("pos")).alias("_pos"),
         )
 
     rows = side("asm_lt", 0, F.col("longterm.data"), asm).unionByName(side("asm_st", 1, F.col("shortterm.data"), asm))
     g = gsm.where(F.trim("symbol") != "").select(
-        F.trim("symbol").alias("symbol"), F.lit("gsm").alias("framework"), F.substring(F.coalesce("gsmStage", F.lit("")), 1, 16).alias("stage"),
+        F.trim("symbol").alias("symbol"), F.lit("gsm").alias("framework"), F.coalesce("gsmStage", F.lit("")).alias("stage"),
         F.concat(F.coalesce("survCode", F.lit("")), F.lit(" "), F.coalesce("survDesc", F.lit(""))).alias("detail"), F.lit(20_000_000).alias("_pos"),
     )
     out = first_per_key(rows.unionByName(g), ["symbol", "framework"], ["_pos", "stage", "detail"])

@@ -77,6 +77,29 @@ def written(spark: SparkSession, root: str, before: int | None = None) -> DataFr
     return df if before is None else df.where(F.col("batch") < before)
 
 
+KEY_BUCKETS = 64
+
+
+def key_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def write_keys(keys: DataFrame, root: str, key: str, batch_id: int) -> None:
+    """Keys of a micro-batch, in folders by bucket, replaced as a whole when the batch is retried."""
+    keys.withColumn("bucket", key_bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch_id}")
+
+
+def keyed_before(spark: SparkSession, root: str, keys: DataFrame, key: str, batch_id: int) -> DataFrame | None:
+    """Keys that earlier micro-batches wrote, read from the buckets of ``keys`` only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
+    stored = spark.read.schema(f"{fields}, batch int, bucket int").parquet(root).where(F.col("batch") < batch_id)
+    buckets = [r["bucket"] for r in keys.select(key_bucket(key).alias("bucket")).distinct().collect()]  # KEY_BUCKETS at most
+    return stored.where(F.col("bucket").isin(buckets))
+
+
 def dedup_stream(stream: DataFrame, time: str = "observed_at", delay: str = "30 days") -> DataFrame:
     """First row per content hash inside the watermark; for feeds without late backfills."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])

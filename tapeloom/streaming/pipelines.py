@@ -14,43 +14,66 @@ FILING = "filing_id bigint, feed string, symbol string, subject string, descript
 CLASSIFIED = "filing_id bigint, symbol string, category string, materiality int, sentiment double, confidence double, routine boolean"
 
 
-def classify_events(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classify_events(batch: DataFrame, done_before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Classified events and dead letters of a ``filing.received`` batch.
 
-    Redelivered events collapse on the filing id before they are classified.
+    Redelivered events collapse on the filing id before they are classified; filings that
+    ``done_before`` (filing_id) names were classified in an earlier batch and give no event.
     """
     good, dead = bus.split_poison(batch, FILING, ["filing_id", "feed"])
     first = good.dropDuplicates(["filing_id"])
+    if done_before is not None:
+        first = first.join(done_before.select("filing_id"), "filing_id", "left_anti")
     done = rules.finalize(rules.classify(first))
     body = F.to_json(F.struct(*[c.split(" ")[0] for c in CLASSIFIED.split(", ")]))
     events = done.select("id", F.lit("filing.classified").alias("topic"), body.alias("payload"), "created_at")
     return events, dead
 
 
-def alert_events(batch: DataFrame) -> DataFrame:
-    good, _ = bus.split_poison(batch, CLASSIFIED, ["filing_id"])
+def alert_events(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alerts and dead letters of a ``filing.classified`` batch."""
+    good, dead = bus.split_poison(batch, CLASSIFIED, ["filing_id"])
     routed = alerts.route_classified(good)
-    return routed.select(
+    rows = routed.select(
         F.col("id").alias("alert_id"), "severity", "category", "symbol",
         alerts.classified_message(F.col("materiality"), F.col("category"), F.col("sentiment")).alias("message"),
         F.col("filing_id").cast("string").alias("evidence_ref"), F.col("created_at").alias("observed_at"),
     )
+    return rows, dead
 
 
 def run_classifier(spark: SparkSession, inbox: str, root: str) -> None:
-    """inbox events -> root/classified and root/dead, one folder per micro-batch."""
+    """inbox events -> root/classified and root/dead, one folder per micro-batch.
+
+    The ids classified so far are kept in ``root/classified_ids`` by bucket, and a batch reads
+    the buckets of its own ids only.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        events, dead = classify_events(batch)
+        batch = batch.persist()
+        ids = batch.select(F.get_json_object("payload", "$.filing_id").cast("bigint").alias("filing_id")).where("filing_id IS NOT NULL")
+        before = bus.keyed_before(spark, f"{root}/classified_ids", ids, "filing_id", batch_id)
+        events, dead = classify_events(batch, before)
         bus.write_batch(events, f"{root}/classified", batch_id)
+        done = spark.read.schema(bus.EVENT_SCHEMA).parquet(f"{root}/classified/batch={batch_id}")
+        bus.write_keys(done.select(F.get_json_object("payload", "$.filing_id").cast("bigint").alias("filing_id")), f"{root}/classified_ids", "filing_id", batch_id)
+        batch.unpersist()
         bus.write_batch(dead, f"{root}/dead", batch_id)
 
     bus.consume(bus.read_topic(spark, inbox, "filing.received"), "classify", f"{root}/_ck_classify", handle)
 
 
 def run_alerts(spark: SparkSession, root: str) -> None:
-    """root/classified events -> root/alerts."""
+    """root/classified events -> root/alerts and root/alerts_dead; an event alerts once, also when it comes again."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        bus.write_batch(alert_events(batch), f"{root}/alerts", batch_id)
+        batch = batch.persist()
+        ids = batch.select("id")
+        before = bus.keyed_before(spark, f"{root}/alerted_ids", ids, "id", batch_id)
+        fresh = batch if before is None else batch.join(before.select("id"), "id", "left_anti").select(*batch.columns)
+        rows, dead = alert_events(fresh)
+        bus.write_batch(rows, f"{root}/alerts", batch_id)
+        bus.write_keys(ids.distinct(), f"{root}/alerted_ids", "id", batch_id)
+        bus.write_batch(dead, f"{root}/alerts_dead", batch_id)
+        batch.unpersist()
 
     stream = bus.read_topic(spark, f"{root}/classified/*", "filing.classified")
     bus.consume(stream, "alerts", f"{root}/_ck_alerts", handle)
@@ -59,13 +82,21 @@ def run_alerts(spark: SparkSession, root: str) -> None:
 def run_ingest(spark: SparkSession, entries: DataFrame, root: str, keep: list[str]) -> None:
     """Stream of raw entries -> root/filings, deduplicated against everything stored before.
 
-    The filings table is the dedup state, so a backfill of any age meets its earlier copy.
+    Content hashes and natural keys of all filings are kept by bucket in ``root/filing_keys``, so
+    a backfill of any age meets its earlier copy and a batch reads the buckets of its keys only.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        typed = feeds.entries_to_filings(batch, keep=keep)
-        stored = bus.written(spark, f"{root}/filings", before=batch_id)
-        fresh = dedup_filings(typed, None if stored is None else stored.select("feed", "content_hash", "dedup_key"))
-        bus.write_batch(fresh, f"{root}/filings", batch_id)
+        fresh = dedup_filings(feeds.entries_to_filings(batch, keep=keep)).persist()
+        natural = F.concat_ws("\x1f", F.lit("natural"), F.col("feed"), F.col("dedup_key"))
+        keys = fresh.select(F.explode(F.array_compact(F.array("content_hash", F.when(F.col("dedup_key").isNotNull(), natural)))).alias("key")).distinct()
+        before = bus.keyed_before(spark, f"{root}/filing_keys", keys, "key", batch_id)
+        new = fresh
+        if before is not None:
+            new = new.join(before.select(F.col("key").alias("content_hash")), "content_hash", "left_anti")
+            new = new.join(before.select("key"), F.col("dedup_key").isNotNull() & (natural == F.col("key")), "left_anti")
+        bus.write_batch(new.select(*fresh.columns), f"{root}/filings", batch_id)
+        bus.write_keys(keys, f"{root}/filing_keys", "key", batch_id)
+        fresh.unpersist()
 
     bus.consume(entries, "ingest", f"{root}/_ck_ingest", handle)
 

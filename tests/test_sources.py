@@ -51,7 +51,7 @@ def test_price_files(spark, tmp_path):
 def test_flow_files(spark, tmp_path):
     f = put(tmp_path / "f.json", json.dumps([{"category": "FII/FPI *long name", "date": "05-Aug-2026", "buyValue": "1,234.5", "netValue": "-"}, {"category": "DII", "date": "bad"}]))
     rows = flows.read_market_flow(spark, f).collect()
-    assert [(r["category"], r["buy_value"], r["net_value"]) for r in rows] == [("FII/FPI ", 1234.5, None)]
+    assert [(r["category"], r["buy_value"], r["net_value"]) for r in rows] == [("FII/FPI *long name", 1234.5, None)]
     head = "Date,Symbol,Security Name,Client Name,Buy/Sell,Quantity Traded,Trade Price / Wght. Avg. Price\n"
     bulk = put(tmp_path / "bulk.csv", head + '05-AUG-2026,ACME,Acme,Fund,BUY,"1,000",10.5\n05-AUG-2026,ACME,Acme,Fund,BUY,"1,000",10.5\n')
     block = put(tmp_path / "block.csv", head + "05-AUG-2026,ACME,Acme,Fund,SELL,500,10\n")
@@ -168,8 +168,17 @@ def test_document_catalogue(spark, tmp_path):
     for name, text in (("a.pdf", "same"), ("b.pdf", "same"), ("c.xml", "other"), ("big.bin", "x" * 100)):
         put(tmp_path / name, text)
     rows = documents.catalogue(documents.read_binary(spark, str(tmp_path)), cap=50).collect()
-    assert sorted((r["copies"], r["bytes"]) for r in rows) == [(1, 5), (2, 4)]
-    assert all(r["path"].startswith(r["sha256"][:2] + "/" + r["sha256"]) for r in rows)
+    assert sorted((r["copies"], r["bytes"], r["fetch_status"]) for r in rows) == [(1, 5, "fetched"), (1, 100, "failed"), (2, 4, "fetched")]
+    assert all(r["path"].startswith(r["sha256"][:2] + "/" + r["sha256"]) for r in rows if r["fetch_status"] == "fetched")
+    large = next(r for r in rows if r["fetch_status"] == "failed")
+    assert large["url"].endswith("big.bin") and large["fetch_error"] == "too large: 100 bytes" and large["sha256"] is None and large["path"] is None
+
+
+def test_clients_with_a_long_common_beginning_stay_apart(spark):
+    name = "C" * 2000
+    rows = spark.createDataFrame([("01-Jan-2026", "X", name + end, "BUY", "10", "5") for end in "ab"], "DATE string, SYMBOL string, `CLIENT NAME` string, `BUY/SELL` string, `QUANTITY TRADED` string, `TRADE PRICE / WGHT. AVG. PRICE` string")
+    got = flows.large_deals(rows, "bulk").dropDuplicates(["day", "symbol", "client", "side", "qty", "kind"])
+    assert sorted(r["client"][-1] for r in got.collect()) == ["a", "b"]
 
 
 def test_sinks(spark, tmp_path):

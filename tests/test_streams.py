@@ -97,3 +97,30 @@ def test_watermark_dedup(spark, tmp_path):
     spark.createDataFrame([("h1", NOW), ("h1", NOW + dt.timedelta(hours=1)), ("h2", NOW)], schema).write.parquet(path)
     rows = drain(bus.dedup_stream(spark.readStream.schema(schema).parquet(path)), tmp_path, "dd")
     assert sorted(r["content_hash"] for r in rows) == ["h1", "h2"]
+
+
+def test_redelivery_in_a_later_batch_gives_nothing_more(spark, tmp_path):
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for event in (1, 50):
+        emit(spark, inbox, [(event, payload(1, "Resignation of statutory auditor"))])
+        pipelines.run_classifier(spark, inbox, root)
+        pipelines.run_alerts(spark, root)
+    assert spark.read.parquet(f"{root}/classified").count() == 1 and spark.read.parquet(f"{root}/alerts").count() == 1
+
+
+def test_only_the_buckets_of_the_batch_are_read(spark, tmp_path):
+    root = str(tmp_path / "keys")
+    keys = spark.range(1000).withColumnRenamed("id", "k")
+    bus.write_keys(keys, root, "k", 0)
+    mine = keys.where("k = 7")
+    before = bus.keyed_before(spark, root, mine, "k", 1)
+    assert mine.join(before, "k").count() == 1 and before.select("bucket").distinct().count() == 1
+    filters = before._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in filters and "batch" in filters
+
+
+def test_broken_classified_events_are_kept(spark, tmp_path):
+    root = str(tmp_path / "out")
+    emit(spark, f"{root}/classified/batch=0", [(1, "{broken"), (2, '{"category": "x"}')], topic="filing.classified")
+    pipelines.run_alerts(spark, root)
+    assert {r["id"]: r["error"] for r in spark.read.parquet(f"{root}/alerts_dead").collect()} == {1: "malformed payload", 2: "missing field"}

@@ -172,11 +172,13 @@ def test_alert_budget_matches_a_plain_loop(spark):
 
 
 def test_feed_state_streak_and_health(spark):
-    rows = [("a", NOW - dt.timedelta(minutes=9 - i), s, 2, i % 2) for i, s in enumerate(["error", "ok", "error", "error", "error"])]
-    rows += [("b", NOW - 2 * DAY, "ok", 1, 1)]
-    polls = spark.createDataFrame(rows, "feed string, moment timestamp, status string, seen int, new int")
+    rows = [("a", i, NOW - dt.timedelta(minutes=9 - i), s, 2, i % 2) for i, s in enumerate(["error", "ok", "error", "error", "error"])]
+    rows += [("b", 9, NOW - 2 * DAY, "ok", 1, 1), ("b", 8, NOW - 2 * DAY, "not_modified", 1, 0)]
+    polls = spark.createDataFrame(rows, "feed string, poll_id int, moment timestamp, status string, seen int, new int")
     state = views.feed_state(polls)
     got = {r["feed"]: r for r in state.collect()}
+    # a failed poll changes nothing, and of two polls at one moment the later id stands
+    assert got["a"]["last_changed_at"] == (NOW - dt.timedelta(minutes=8)).replace(tzinfo=None) and got["b"]["last_status"] == "ok"
     assert got["a"]["consecutive_errors"] == 3 and got["a"]["entries_seen"] == 2 and got["b"]["consecutive_errors"] == 0
     feeds = spark.createDataFrame([("a", "P0"), ("b", "P1"), ("c", "P2")], "feed string, priority string")
     problems = sorted((r["feed"], r["problem"]) for r in views.health(feeds, state, F.lit(NOW)).collect())
