@@ -126,10 +126,11 @@ def listed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, version, removed): the places of the lines to delete, for documents that lose any."""
     ship_package(df.sparkSession)
-    docs = stage(listed(df, id_col, text_col), "lines")
-    # exact copies: one version is one text
-    first = docs.groupBy("version").agg(F.min("id").alias("id"))
-    heads = stage(docs.join(first, ["version", "id"]).dropDuplicates(["version", "id"]), "line-heads")
+    docs = stage(listed(df, id_col, text_col).dropDuplicates(["id", "version"]), "lines")
+    # exact copies: one version is one text; nothing is grouped after the joins on it, so Spark can split a text with many copies
+    first = docs.groupBy("version").agg(F.min("id").alias("head"))
+    placed = stage(docs.join(first, "version"), "placed-lines")
+    heads = placed.where("id = head")
     doc = F.struct("id", "version").alias("doc")
     lines = heads.select(doc, F.explode(F.arrays_zip("hashes", "sizes", "first")).alias("l"))
     held = lines.where("l.first").select("doc", F.col("l.hashes").alias("h"), F.col("l.sizes").alias("n"))
@@ -158,9 +159,9 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
 
     lost = by_pair.union(by_line).groupBy("id", "version").agg(F.array_sort(F.collect_set("place")).alias("removed"))
     # later copies lose every line with a word
-    copies = docs.join(first.withColumnRenamed("id", "head"), "version").where("id > head").select(
+    copies = placed.where("id > head").select(
         "id", "version", F.filter(F.transform("sizes", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull()).alias("removed")).where(F.size("removed") > 0)
-    return lost.where(F.size("removed") > 0).unionByName(copies.dropDuplicates(["id", "version"]))
+    return lost.where(F.size("removed") > 0).unionByName(copies)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
