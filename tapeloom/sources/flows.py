@@ -17,7 +17,7 @@ ASM_SCHEMA = f"longterm struct<data:array<struct<{MEMBER.replace(' string', ':st
 def market_flow(rows: DataFrame) -> DataFrame:
     """Category flow rows; unparsable days are dropped, unparsable numbers are null."""
     return rows.select(
-        published_at(F.col("date")).cast("date").alias("day"), F.coalesce("category", F.lit("")).alias("category"),
+        F.from_utc_timestamp(published_at(F.col("date")), "Asia/Kolkata").cast("date").alias("day"), F.coalesce("category", F.lit("")).alias("category"),
         clean_number(F.col("buyValue")).alias("buy_value"), clean_number(F.col("sellValue")).alias("sell_value"),
         clean_number(F.col("netValue")).alias("net_value"),
     ).where(F.col("day").isNotNull())
