@@ -10,6 +10,7 @@ from tapeloom.driver.queries import query, ts
 from tapeloom.driver.tables import Tables
 from tapeloom.sources.sinks import shared_dir
 from tapeloom.streaming import bus, pipelines
+from tapeloom.streaming.stateful import issue_stream
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -108,3 +109,62 @@ def stream_alert_budget(t):
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/alerts")
         pipelines.run_budget(t.spark, stream, root)
     return t.spark.read.parquet(f"{root}/decisions").select("alert_id", "sent")
+
+
+def _outbox_files(t: Tables, name: str) -> str:
+    """The outbox in several files, older events first."""
+    root = scratch(t, name)
+    rows = t.outbox.select("id", "topic", F.to_json(F.struct("id")).alias("payload"), "created_at")
+    for wave in range(4):
+        rows.where(F.col("id") % 4 == wave).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    return root
+
+
+def _drained(t: Tables, root: str, **options) -> DataFrame:
+    handle = lambda batch, batch_id: bus.write_batch(batch.select("id", "topic"), f"{root}/seen", batch_id)
+    bus.consume(bus.read_topic(t.spark, f"{root}/inbox", "filing.received", **options), "drain", f"{root}/_ck", handle)
+    return t.spark.read.parquet(f"{root}/seen")
+
+
+@query
+def stream_bounded_drain(t):
+    """One file for each cycle: every event once, in four micro-batches."""
+    rows = _drained(t, _outbox_files(t, "bounded"), max_files=1)
+    return rows.select("id", "topic", F.col("batch").cast("bigint").alias("cycle")).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("cycle").alias("cycles"))
+
+
+@query
+def stream_replay(t):
+    """A consumer that starts after an offset."""
+    return _drained(t, _outbox_files(t, "replay"), after_id=100).select("id", "topic")
+
+
+@query
+def stream_redelivery(t):
+    """Every filing arrives in two micro-batches under two event ids and is classified and alerted once."""
+    root = scratch(t, "redelivery")
+    body = F.to_json(F.struct("filing_id", "feed", "symbol", "subject", "description"))
+    for wave in range(2):
+        t.filings.select((F.col("filing_id") * 2 + wave).alias("id"), F.lit("filing.received").alias("topic"), body.alias("payload"), F.col("observed_at").alias("created_at")).write.mode("append").parquet(f"{root}/inbox")
+        pipelines.run_classifier(t.spark, f"{root}/inbox", root)
+        pipelines.run_alerts(t.spark, root)
+    events = t.spark.read.parquet(f"{root}/classified").select(F.get_json_object("payload", "$.filing_id").cast("bigint").alias("filing_id"))
+    alerts = t.spark.read.parquet(f"{root}/alerts").select(F.col("evidence_ref").cast("bigint").alias("filing_id")).groupBy("filing_id").agg(F.count(F.lit(1)).alias("alerts"))
+    counts = events.groupBy("filing_id").agg(F.count(F.lit(1)).alias("classified"))
+    return counts.join(alerts, "filing_id", "left").select("filing_id", "classified", F.coalesce("alerts", F.lit(0)).alias("alerts"))
+
+
+@query
+def stream_hysteresis(t):
+    """Stored signals as a stream of candidates: the ones that the keyed state issues."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root = scratch(t, "hysteresis")
+    rows = t.signals.withColumn("conviction", F.floor(F.col("conviction") / 10).cast("double")).select(
+        "symbol", "profile", F.when(F.col("conviction") >= 40, "hold").otherwise("exit").alias("stance"), "conviction", "model_version", "as_of")
+    # each key in one file, in time order
+    rows.repartition("symbol", "profile").sortWithinPartitions("as_of").write.parquet(f"{root}/candidates")
+    issued = issue_stream(t.spark.readStream.schema(rows.schema).parquet(f"{root}/candidates"))
+    handle = lambda batch, batch_id: bus.write_batch(batch, f"{root}/issued", batch_id)
+    bus.consume(issued, "hysteresis", f"{root}/_ck", handle)
+    return t.spark.read.parquet(f"{root}/issued").select("symbol", "profile", ts("as_of"))
