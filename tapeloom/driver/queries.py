@@ -70,6 +70,11 @@ def live_filings(t):
     return pit.pit(t.filings, now())
 
 
+def live_heads(t):
+    """Filings without their texts."""
+    return pit.pit(t.filing_heads, now())
+
+
 def live_classes(t):
     return pit.pit(t.classifications, now())
 
@@ -152,6 +157,7 @@ def technical_score(t):
 @query
 def technical_leaderboard(t):
     """Symbols that traded on the market's newest date, best score first."""
+    t.store("bars", "index_bars")
     rows = technical.technical_scores(t.bars, t.index_bars, latest_only=True)
     return rows.select("symbol", "as_of", "score", "label", *r6("confidence", "trend", "range_pos")).orderBy(F.col("score").desc(), "symbol")
 
@@ -191,6 +197,7 @@ def forward_returns(t):
 
 
 def measured(t):
+    t.store("bars", "index_bars", "signals")
     return performance.measure(t.signals, t.bars, t.index_bars)
 
 
@@ -212,11 +219,12 @@ def performance_summary(t):
 
 
 def live_events(t):
-    return fusion.classified_events(t.filings, t.classifications)
+    return fusion.classified_events(t.filing_heads, t.classifications)
 
 
 @query
 def walk_forward(t):
+    t.store("bars", "index_bars", "quarters")
     obs = backtest.observations(t.bars, t.index_bars, t.quarters, live_events(t))
     return obs.select("symbol", "d", "stance", "conviction", "confidence",
                       *r6("ret_1w", "ret_4w", "ret_12w", "excess_1w", "excess_4w", "excess_12w"))
@@ -224,6 +232,7 @@ def walk_forward(t):
 
 @query
 def walk_forward_summary(t):
+    t.store("bars", "index_bars", "quarters")
     obs = backtest.observations(t.bars, t.index_bars, t.quarters, live_events(t), profile="momentum")
     return backtest.summarize(obs).select("stance", "window", "observations", *r6("avg_excess", "hit_rate", "avg_ret"))
 
@@ -290,13 +299,13 @@ def shp_facts(t):
 @query
 def pit_filings(t):
     since = datetime(2001, 6, 1, tzinfo=timezone.utc)
-    rows = pit.pit_filings(t.filings, NOW, feed="announcements", since=since, limit=None)
+    rows = pit.pit_filings(t.filing_heads, NOW, feed="announcements", since=since, limit=None)
     return rows.select("filing_id", "symbol", "subject", ts("event_at"), ts("observed_at"))
 
 
 @query
 def pit_classified(t):
-    rows = pit.pit_classified(t.filings, t.classifications, NOW, model_version=K.CLASSIFIER_VERSION, min_materiality=5,
+    rows = pit.pit_classified(t.filing_heads, t.classifications, NOW, model_version=K.CLASSIFIER_VERSION, min_materiality=5,
                               since=datetime(2000, 1, 1, tzinfo=timezone.utc), limit=200)
     return rows.select("filing_id", "symbol", "category", *big("materiality"), ts("event_at"))
 
@@ -304,8 +313,8 @@ def pit_classified(t):
 @query
 def poison_check(t):
     """Counts per feed with future observations mixed in: they must not show."""
-    late = t.filings.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 4000 DAYS"))
-    both = t.filings.unionByName(late)
+    late = t.filing_heads.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 4000 DAYS"))
+    both = t.filing_heads.unionByName(late)
     return pit.pit(both, now()).groupBy("feed").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -407,7 +416,7 @@ def rename_aliases(t):
 
 @query
 def industry_accretion(t):
-    stated = resolve.industry_by_symbol(t.filings, F.col("stated_industry"))
+    stated = resolve.industry_by_symbol(t.filing_heads, F.col("stated_industry"))
     return master.accrete_industry(t.securities, stated).select("security_id", "symbol", "old_industry", "industry")
 
 
@@ -426,7 +435,7 @@ def due_documents(t):
 @query
 def pledge_worklist(t):
     held = t.pledge.where(F.col("record_id") == "R2")
-    return master.pledge_worklist(live_filings(t), held, t.stored_scores, 200).select("symbol", *big("tier"))
+    return master.pledge_worklist(live_heads(t), held, t.stored_scores, 200).select("symbol", *big("tier"))
 
 
 # ---------------------------------------------------------------- events, flow, risk
@@ -465,7 +474,7 @@ def flow_score(t):
 def risk_all(t):
     known = t.surveillance.where(F.col("as_of") <= now().cast("date"))
     universe = t.securities.select("symbol").union(known.select("symbol")).distinct()
-    return risk.risk_verdicts(universe, live_bars(t), live_filings(t), live_classes(t), t.surveillance, t.pledge, live_quarters(t), now())
+    return risk.risk_verdicts(universe, live_bars(t), live_heads(t), live_classes(t), t.surveillance, t.pledge, live_quarters(t), now())
 
 
 @query
@@ -484,7 +493,7 @@ def risk_universe(t):
 # ---------------------------------------------------------------- fusion
 
 def fused(t):
-    t.store("bars", "quarters")
+    t.store("bars", "index_bars", "quarters", "filing_heads", "classifications", "securities", "deals")
     events = fusion.fold_peers(
         fusion.event_scores(live_events(t), now()), fusion.peer_event_scores(live_events(t), t.securities, now())
     )
@@ -599,14 +608,14 @@ def eval_misses(t):
 @query
 def stratified_sample(t):
     c = t.classifications.where(F.col("model_version") == K.CLASSIFIER_VERSION).drop("event_at", "observed_at")
-    rows = t.filings.select("filing_id", "feed", "symbol", "subject").join(c, "filing_id")
+    rows = t.filing_heads.select("filing_id", "feed", "symbol", "subject").join(c, "filing_id")
     return evaluate.stratified_sample(rows).select("stratum", "filing_id", "feed", "subject", *big("rn"))
 
 
 @query
 def coverage_diff(t):
-    expected = t.filings.where(F.col("feed") == "announcements").select("filing_id", F.col("event_at").cast("date").alias("day"), "link")
-    held = t.filings.where((F.col("feed") == "announcements") & (F.col("source") == "rss")).select("link")
+    expected = t.filing_heads.where(F.col("feed") == "announcements").select("filing_id", F.col("event_at").cast("date").alias("day"), "link")
+    held = t.filing_heads.where((F.col("feed") == "announcements") & (F.col("source") == "rss")).select("link")
     covered = evaluate.coverage(held, expected, ["link"])
     return evaluate.coverage_report(covered, ["day"]).select("day", "expected", "held", *r6("coverage_pct"))
 
@@ -676,26 +685,26 @@ def view_health(t):
 
 @query
 def view_filings(t):
-    rows = views.symbol_filings(t.filings, t.classifications, NOW, since=datetime(2001, 1, 1, tzinfo=timezone.utc), limit=None)
+    rows = views.symbol_filings(t.filing_heads, t.classifications, NOW, since=datetime(2001, 1, 1, tzinfo=timezone.utc), limit=None)
     return rows.select("filing_id", "symbol", "feed", "subject", "category", *big("materiality"), ts("event_at"))
 
 
 @query
 def view_pulse(t):
-    rows = views.pulse(t.filings, t.classifications, NOW, datetime(2001, 7, 1, tzinfo=timezone.utc), limit=None)
+    rows = views.pulse(t.filing_heads, t.classifications, NOW, datetime(2001, 7, 1, tzinfo=timezone.utc), limit=None)
     return rows.select("filing_id", "symbol", "category", *big("materiality"), "sentiment", "confidence", "summary", "engine", ts("event_at"))
 
 
 @query
 def view_signals(t):
-    news = views.adverse_news(live_filings(t), live_classes(t), now())
+    news = views.adverse_news(live_heads(t), live_classes(t), now())
     rows = views.signals_view(_issued(t), news, profile="default", min_conviction=20.0, limit=25)
     return rows.select("symbol", "signal_id", "stance", "conviction", "upside_pct", "reco", "news_category", *big("news_materiality", "news_days_ago"))
 
 
 @query
 def view_signals_any_profile(t):
-    news = views.adverse_news(live_filings(t), live_classes(t), now())
+    news = views.adverse_news(live_heads(t), live_classes(t), now())
     rows = views.signals_view(_issued(t), news, profile=None, limit=None)
     return rows.select("symbol", "signal_id", "profile", "reco", views.stance_sort_key().cast("bigint").alias("stance_key"))
 
@@ -717,6 +726,7 @@ def quarter_sheet(t):
 
 @query
 def peer_board(t):
+    t.store("bars", "index_bars", "quarters", "signals")
     return views.peer_board(t.securities, technical_all(t), fundamentals(t), _issued(t)).select(
         "symbol", "peer", "industry", "a4", "a3", "stance", "conviction")
 
@@ -724,7 +734,7 @@ def peer_board(t):
 @query
 def view_stats(t):
     docs = master.document_state(t.attempts.select("doc_id").distinct(), t.attempts)
-    return views.stats(t.filings, docs, t.outbox).select("name", "label", *r6("value"))
+    return views.stats(t.filing_heads, docs, t.outbox).select("name", "label", *r6("value"))
 
 
 @query
@@ -736,7 +746,7 @@ def audit_histogram(t):
 def view_metrics(t):
     acked = t.outbox.where(F.col("id") % 2 == 0).groupBy("topic").agg(F.max("id").alias("last_acked_id")).withColumn("consumer", F.lit("a2"))
     acked = acked.withColumn("last_acked_id", F.floor(F.col("last_acked_id") / 2))
-    return views.metrics(t.filings, t.outbox, views.feed_table(t.spark), views.feed_state(t.polls), t.classifications, t.audit, acked, poll_now())
+    return views.metrics(t.filing_heads, t.outbox, views.feed_table(t.spark), views.feed_state(t.polls), t.classifications, t.audit, acked, poll_now())
 
 
 @query
@@ -755,7 +765,7 @@ def alert_routing(t):
 @query
 def alert_messages(t):
     c = t.classifications.where(F.col("model_version") == K.CLASSIFIER_VERSION).drop("event_at", "observed_at")
-    routed = alerts.route_classified(t.filings.select("filing_id", "symbol").join(c, "filing_id"))
+    routed = alerts.route_classified(t.filing_heads.select("filing_id", "symbol").join(c, "filing_id"))
     standing = keyed.latest_per_key(_issued(t).where(F.col("profile") == "default"), ["symbol"], "as_of", "signal_id")
     return alerts.render_event_alerts(routed, standing, t.securities).select("filing_id", "severity", "message")
 

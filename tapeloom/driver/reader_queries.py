@@ -197,7 +197,7 @@ def muhurat_days(t):
 
 @query
 def freshness_split(t):
-    return t.filings.groupBy("feed", rules.fresh(F.col("observed_at"), now()).alias("fresh")).agg(F.count(F.lit(1)).alias("n"))
+    return t.filing_heads.groupBy("feed", rules.fresh(F.col("observed_at"), now()).alias("fresh")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

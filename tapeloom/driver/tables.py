@@ -137,19 +137,21 @@ VIEWS = {
                CASE WHEN event_type IN ('click', 'view') THEN 'announcements'
                     ELSE {pick('event_id % 23', FEED_NAMES)} END AS feed
         FROM {{events}}""",
-    "filings": f"""
+    "filing_heads": f"""
         SELECT e.event_id AS filing_id, e.feed, CASE WHEN e.event_id % 7 <> 3 THEN 'S' || cast(e.user_id as string) END AS symbol,
                CASE WHEN e.feed = 'shareholding_pattern'
                     THEN 'PR_AND_PRGRP: ' || cast(20 + e.k % 60 as string) || '.' || lpad(cast(e.event_id % 100 as string), 2, '0')
                          || ' | PUBLIC_VAL: ' || cast(80 - e.k % 60 as string) || '.00'
                     ELSE {pick('e.event_id % 40', PHRASES)} END AS subject,
-               d.text AS description,
                'https://files.example/x/' || cast(e.event_id as string) || '.pdf' AS link,
                CASE WHEN e.event_id % 3 = 0 THEN 'api_backfill' ELSE 'rss' END AS source,
                CASE WHEN e.event_id % 7 <> 3 THEN e.user_id END AS security_id,
                CASE WHEN e.event_id % 4 = 0 THEN 'IND' || cast(e.k % 12 as string) WHEN e.event_id % 4 = 1 THEN '-' END AS stated_industry,
                e.event_at, e.observed_at
-        FROM {{event_base}} e LEFT JOIN {{documents}} d ON d.doc_id = e.event_id""",
+        FROM {{event_base}} e""",
+    "filings": """
+        SELECT h.filing_id, h.feed, h.symbol, h.subject, d.text AS description, h.link, h.source, h.security_id, h.stated_industry, h.event_at, h.observed_at
+        FROM {filing_heads} h LEFT JOIN {documents} d ON d.doc_id = h.filing_id""",
     "classifications": f"""
         SELECT event_id AS filing_id, {pick('(event_id * 13) % 21', K.CATEGORIES)} AS category,
                cast((event_id * 7 + k) % 11 as int) AS materiality, ((event_id * 37) % 201 - 100) / 100e0 AS sentiment,
