@@ -154,8 +154,9 @@ PLEDGE_PENALTY_PCT = 10.0
 RISK_UNAVAILABLE = [
     "going_concern (needs audit-report text)",
     "free_float (needs full shareholding parse)",
-    "portfolio_caps (needs a holdings source)",
+    "portfolio_caps (needs holdings source — Phase 5)",
 ]
+RISK_UNAVAILABLE_PLEDGE = "pledge_pct (SHP XBRL not yet fetched)"
 
 # ---- Fixed values: fusion ---------------------------------------------------------------
 # profile: (fundamental, technical, flow, event, horizon, stop in ATR, target low R, target high R)

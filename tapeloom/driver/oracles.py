@@ -207,7 +207,6 @@ part("book_states", "SELECT c.*, s.st FROM cons c JOIN (SELECT DISTINCT symbol,
 part("fund_states", fund("book_states"))
 oracle("quarterly_growth", f"SELECT symbol, as_of, {r6('rev_yoy', 'pat_yoy', 'rev_qoq', 'pat_qoq', 'growth_pts')} FROM fund_live")
 oracle("margin_trajectory", f"SELECT symbol, as_of, {r6('op_margin', 'margin_pts')} FROM fund_live")
-oracle("quality_flags", f"SELECT symbol, as_of, n_flags, {r6('quality_pts')} FROM fund_live")
 oracle("fundamental_score", "SELECT symbol, as_of, basis, score, label, confidence, weight_covered, n_quarters FROM fund_live")
 oracle("fundamental_states", "SELECT symbol, st AS visible_on, score, label, confidence, n_quarters FROM fund_states")
 
@@ -322,7 +321,7 @@ oracle("pledge_worklist", "SELECT symbol, cast(min(tier) as bigint) AS tier FROM
 # ---------------------------------------------------------------- events, flow, risk
 
 _AGE = lambda at, now=NOW: f"greatest(0e0, (epoch_us({now}) - epoch_us({at})) / 86400e6)"
-part("ev_rows", f"SELECT f.filing_id, f.symbol, f.event_at, c.category, c.materiality, c.sentiment, c.confidence, c.observed_at AS classified_at FROM filings f JOIN classifications c ON c.filing_id = f.filing_id WHERE f.symbol IS NOT NULL AND c.model_version = '{V5}' AND NOT c.routine AND c.materiality >= 3")
+part("ev_rows", f"SELECT f.filing_id, f.symbol, f.subject, f.event_at, c.category, c.materiality, c.sentiment, c.confidence, c.observed_at AS classified_at FROM filings f JOIN classifications c ON c.filing_id = f.filing_id WHERE f.symbol IS NOT NULL AND c.model_version = '{V5}' AND NOT c.routine AND c.materiality >= 3")
 part("ev_live", f"SELECT *, 50e0 * pow(0.5e0, {_AGE('classified_at')} / 10e0) * (materiality / 10e0) * confidence * sentiment AS push FROM ev_rows WHERE classified_at <= {NOW} AND classified_at >= {NOW} - INTERVAL 30 DAY")
 part("ev_own", "SELECT symbol, greatest(0e0, least(100e0, 50e0 + sum(push))) AS event_score, least(1e0, max(confidence)) AS event_conf, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY materiality DESC, filing_id) AS r FROM ev_live) WHERE r <= 10 GROUP BY symbol")
 part("ev_peer", """SELECT symbol, greatest(0e0, least(100e0, 50e0 + sum(push * 0.35e0))) AS peer_score, least(1e0, max(confidence)) * 0.35e0 AS peer_conf, count(*) AS n
@@ -353,7 +352,7 @@ part("px", "SELECT symbol, list_sort(list(turnover) FILTER (back <= 20)) AS tl,
 part("gov", f"""SELECT f.symbol, sum(CASE WHEN c.category = 'auditor_resignation' AND c.materiality >= 9 AND c.observed_at >= {NOW} - INTERVAL 365 DAY THEN 1 ELSE 0 END) AS aud,
     sum(CASE WHEN c.category = 'regulatory_action' AND c.observed_at >= {NOW} - INTERVAL 180 DAY THEN 1 ELSE 0 END) AS reg FROM live_f f JOIN live_c c ON c.filing_id = f.filing_id WHERE f.symbol IS NOT NULL GROUP BY 1""")
 part("enc", f"SELECT symbol, count(*) AS n_enc FROM live_f WHERE feed = 'encumbrance' AND symbol IS NOT NULL AND observed_at >= {NOW} - INTERVAL 180 DAY GROUP BY 1")
-part("plg", f"SELECT DISTINCT ON (symbol) symbol, promoter_pct, encumbered_pct FROM pledge WHERE encumbered_pct IS NOT NULL AND observed_at <= {NOW} ORDER BY symbol, observed_at DESC, record_id DESC")
+part("plg", f"SELECT DISTINCT ON (symbol) symbol, promoter_pct, encumbered_pct, shp_date FROM pledge WHERE encumbered_pct IS NOT NULL AND observed_at <= {NOW} ORDER BY symbol, observed_at DESC, record_id DESC")
 part("sv", f"SELECT symbol, sum(CASE WHEN framework = 'gsm' OR (framework = 'asm_lt' AND stage <> 'Stage I') THEN 1 ELSE 0 END) AS sh, sum(CASE WHEN framework = 'gsm' OR (framework = 'asm_lt' AND stage <> 'Stage I') THEN 0 ELSE 1 END) AS ss FROM (SELECT DISTINCT symbol, framework, stage FROM surveillance WHERE as_of <= {TODAY}) GROUP BY 1")
 part("fin0", "SELECT DISTINCT ON (symbol) symbol, paidup, face FROM quarters_live ORDER BY symbol, period_end DESC, basis")
 part("risk0", f"""SELECT u.symbol, p.tl[len(p.tl) // 2 + 1] AS median_turnover, p.last_close, p.last_series, p.lock_ratio, coalesce(s.sh, 0) AS sh, coalesce(s.ss, 0) AS ss, coalesce(g.aud, 0) AS aud, coalesce(g.reg, 0) AS reg,

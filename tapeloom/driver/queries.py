@@ -260,7 +260,7 @@ def margin_trajectory(t):
 
 @query
 def quality_flags(t):
-    return fundamentals(t).select("symbol", "as_of", F.size("flags").cast("bigint").alias("n_flags"), *r6("quality_pts"))
+    return fundamentals(t).select("symbol", "as_of", F.size("flags").cast("bigint").alias("n_flags"), F.array_join("flags", "\n").alias("flags"), *r6("quality_pts"))
 
 
 @query
@@ -485,6 +485,12 @@ def risk_verdict(t):
         *r6("median_turnover", "lock_ratio", "mcap_cr"))
 
 
+@query
+def risk_reasons(t):
+    line = lambda c: F.array_join(c, "\n").alias(c)
+    return risk_all(t).select("symbol", "verdict", line("hard_blocks"), line("penalties"), line("unavailable"))
+
+
 @query
 def risk_universe(t):
     return risk.risk_universe(t.stored_scores, t.surveillance, now())
@@ -512,11 +518,16 @@ def stance_levels(t):
         "symbol", "profile", "stance", "entry_low", "entry_high", "target_low", "target_high", "invalidation", "size_pct")
 
 
+def unnumbered(c: str):
+    """Lines without the ids of scores, which are hashes."""
+    return F.transform(c, lambda x: F.regexp_replace(x, r"score#-?\d+", "score#"))
+
+
 @query
 def thesis_bullets(t):
     rows = fusion.with_thesis(fused(t))
-    return rows.select("symbol", "profile", F.array_join("thesis_for", "\n").alias("thesis_for"),
-                       F.array_join("thesis_against", "\n").alias("thesis_against"), "view_changer",
+    return rows.select("symbol", "profile", F.array_join(unnumbered("thesis_for"), "\n").alias("thesis_for"),
+                       F.array_join(unnumbered("thesis_against"), "\n").alias("thesis_against"), "view_changer",
                        F.array_join("event_filings", ",").alias("event_filings"))
 
 
@@ -773,7 +784,7 @@ def alert_messages(t):
 @query
 def signal_messages(t):
     routed = alerts.route_signals(fusion.with_thesis(fused(t)).where(F.col("profile") == "default")
-                                  .withColumn("signal_id", F.abs(F.xxhash64("symbol", "profile"))))
+                                  .withColumns({"signal_id": F.substring("symbol", 2, 20).cast("bigint"), "thesis_for": unnumbered("thesis_for")}))
     return alerts.render_signal_alerts(routed, t.securities).select("symbol", "severity", "message")
 
 

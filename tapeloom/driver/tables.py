@@ -202,7 +202,7 @@ VIEWS = {
         SELECT 'S' || cast(s_suppkey as string) AS symbol, 'R' || cast(r.n as string) AS record_id,
                CASE WHEN s_suppkey % 21 = 1 THEN 0e0 ELSE 30e0 + s_suppkey % 50 END AS promoter_pct,
                CASE WHEN NOT (s_suppkey % 10 = 4 AND r.n = 2) THEN cast((s_suppkey * 7 + r.n * 5) % 45 as double) END AS encumbered_pct,
-               cast(r.day as timestamp) AS observed_at
+               cast(r.day as timestamp) AS observed_at, CASE WHEN s_suppkey % 4 <> 1 THEN r.day END AS shp_date
         FROM {supplier} CROSS JOIN (VALUES (1, DATE '2001-01-15'), (2, DATE '2001-06-15')) AS r(n, day)
         WHERE s_suppkey % 3 <> 2""",
     "signals": f"""

@@ -13,16 +13,20 @@ def py_round(x: Column, digits: int) -> Column:
     ``x * 10**digits`` is held as a head and an exact remainder (a Dekker product; powers of
     ten up to 1e6 are exact), and the remainder decides the tie.
     """
-    scale = float(10**digits)
+    return round_at(x, F.lit(float(10**digits)))
+
+
+def round_at(x: Column, scale: Column) -> Column:
+    """:func:`py_round` with a power of ten, at most 1e9, for the digits."""
     head = x * F.lit(134217729.0)
     hi = head - (head - x)
     lo = x - hi
-    product = x * F.lit(scale)
-    err = (hi * F.lit(scale) - product) + lo * F.lit(scale)
+    product = x * scale
+    err = (hi * scale - product) + lo * scale
     low = F.floor(product).cast("double")
     over = (product - low) - F.lit(0.5) + err
     up = (over > 0) | ((over == 0) & (low % 2 != 0))
-    return F.when(x.isNotNull(), (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale))
+    return F.when(x.isNotNull(), (low + F.when(up, 1.0).otherwise(0.0)) / scale)
 
 
 def with_rounded(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tapeloom.constants import ATTACHMENT_EXTENSIONS, MARKET_ZONE
+from tapeloom.functions.numeric import py_round, round_at
 
 
 def blank_to_null(x: Column) -> Column:
@@ -113,14 +114,33 @@ def html_escape(x: Column) -> Column:
     return F.replace(out, F.lit(">"), F.lit("&gt;"))
 
 
+def fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """``digits`` decimals, rounded half to even on the exact binary value; null stays null."""
+    if digits == 0:
+        r = F.rint(x)  # half to even, and keeps the sign of a zero
+    else:
+        r = py_round(x, digits)
+        r = F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+    return F.when(x.isNotNull(), F.format_string(f"%{'+' if plus else ''}.{digits}f", r))
+
+
+def shortest(x: Column) -> Column:
+    """The shortest decimal text that reads back as the same double, without an exponent."""
+    small = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7) | (x == 0)
+    wide = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"0+$", "")
+    return F.when(small, x.cast("string")).otherwise(F.regexp_replace(wide, r"\.$", ".0"))
+
+
 def general(x: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    out = F.format_string("%.6f", x)
-    for digits, bound in enumerate((1.0, 10.0, 100.0, 1e3, 1e4, 1e5)):
-        out = F.when(F.abs(x) >= bound, F.format_string(f"%.{5 - digits}f", x)).otherwise(out)
-    return F.when(
-        out.contains("."), F.regexp_replace(F.regexp_replace(out, r"0+$", ""), r"\.$", "")
-    ).otherwise(out)
+    """Six significant digits without trailing zeros; an exponent from one million up and below 0.0001."""
+    scale = F.lit(1e9)
+    for k in range(-3, 6):
+        # a value that rounds up to the next power of ten takes one digit less
+        scale = F.when(F.abs(x) >= 10.0**k * (1 - 0.5e-6), 10.0 ** (5 - k)).otherwise(scale)
+    out = F.format_string("%.9f", round_at(x, scale))
+    plain = F.regexp_replace(F.regexp_replace(out, r"0+$", ""), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", x), r"0+e", "e"), r"\.e", "e")
+    return F.when(x == 0, "0").when((F.abs(x) >= 1e6 * (1 - 0.5e-6)) | (F.abs(x) < 1e-4), power).otherwise(plain)
 
 
 def value_range(lo: Column, hi: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeloom.functions.text import general, html_escape, value_range
+from tapeloom.functions.text import fixed, general, html_escape, shortest, value_range
 from tapeloom.operators.pit import trailing
 
 
@@ -24,8 +24,10 @@ def route_signals(signals: DataFrame) -> DataFrame:
 
 
 def classified_message(materiality: Column, category: Column, sentiment: Column) -> Column:
-    return F.concat(F.lit("materiality "), materiality.cast("string"), F.lit(" filing ("), category,
-                    F.lit("), sentiment "), sentiment.cast("string"))
+    """Short text of a classified filing; unknown parts read ``None``."""
+    text = lambda c: F.coalesce(c, F.lit("None"))
+    return F.concat(F.lit("materiality "), F.coalesce(materiality, F.lit(0)).cast("string"), F.lit(" filing ("), text(category),
+                    F.lit("), sentiment "), text(shortest(sentiment)))
 
 
 def render_event_alerts(routed: DataFrame, standing: DataFrame, securities: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def render_event_alerts(routed: DataFrame, standing: DataFrame, securities: Data
         F.concat(F.lit("<b>Expected impact:</b> "), impact),
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("<b>What happened:</b> "), html_escape(F.substring("summary", 1, 180)))),
         F.when(has, F.concat(F.lit("<b>Standing view:</b> "), F.initcap("_stance"), F.lit(" (conviction "), general(F.col("_conviction")),
-                             F.lit(", confidence "), F.format_string("%.0f", 100.0 * F.coalesce("_confidence", F.lit(0.0))), F.lit("%)")))
+                             F.lit(", confidence "), fixed(100.0 * F.coalesce("_confidence", F.lit(0.0)), 0), F.lit("%)")))
         .otherwise("<i>No standing signal for this symbol yet</i>"),
         caution,
         F.when(F.col("_stop").isNotNull(), F.concat(F.lit("<b>Stop:</b> "), general(F.col("_stop")))),
@@ -74,7 +76,7 @@ def render_signal_alerts(routed: DataFrame, securities: DataFrame) -> DataFrame:
                  F.when(F.coalesce("_name", F.lit("")) != "", F.concat(F.lit(" · "), html_escape(F.substring("_name", 1, 40)))).otherwise("")),
         bold("Horizon", F.concat(F.col("horizon"), F.lit(" ("), F.col("profile"), F.lit(")"))),
         F.concat(bold("Conviction", general(F.col("conviction"))), F.lit("/100 · "),
-                 bold("Confidence", F.format_string("%.0f", 100.0 * F.coalesce("confidence", F.lit(0.0)))), F.lit("%")),
+                 bold("Confidence", fixed(100.0 * F.coalesce("confidence", F.lit(0.0)), 0)), F.lit("%")),
         bold("Risk check", F.col("risk_verdict")),
         F.when(F.col("entry_low").isNotNull(), bold("Entry zone", value_range(F.col("entry_low"), F.col("entry_high")))),
         F.when(F.col("target_low").isNotNull(), bold("Target zone", value_range(F.col("target_low"), F.col("target_high")))),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom import constants as K
 from tapeloom.functions.numeric import clamp, with_rounded
+from tapeloom.functions.text import fixed
 
 QUARTER_COLUMNS = [
     "period_end", "visible_on", "basis", "revenue", "other_income", "expenses", "finance_costs",
@@ -79,7 +80,7 @@ def score_quarters(df: DataFrame) -> DataFrame:
     burden = F.when(q["revenue"] > 0, q["finance_costs"] / F.nullif(q["revenue"], F.lit(0.0)))
     unusual = (q["pbt"] != 0) & (F.abs(q["exceptional"]) > 0.25 * F.abs(q["pbt"]))
     odd_tax = (rate < 0.10) | (rate > 0.45)
-    pct = lambda x: F.format_string("%.0f%%", x * 100.0)
+    pct = lambda x: F.concat(fixed(x * 100.0, 0), F.lit("%"))
     flags = F.array_compact(
         F.array(
             F.when(oi > 0.5, F.concat(F.lit("other_income "), pct(oi), F.lit(" of PBT")))

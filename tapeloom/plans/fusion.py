@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType
 
 from tapeloom import constants as K
-from tapeloom.functions.numeric import clamp, days_between, decay, with_rounded
+from tapeloom.functions.numeric import clamp, days_between, decay, py_round, with_rounded
+from tapeloom.functions.text import fixed, shortest
 from tapeloom.operators.fold import ordered_fold
 from tapeloom.operators.keyed import latest_per_key, top_per_key
 
 AXES = ("fundamental", "technical", "flow", "event")
-EVIDENCE = "array<struct<materiality:int,filing_id:bigint,category:string,sentiment:double,peer:string,subject:string>>"
+EVIDENCE = "array<struct<materiality:int,filing_id:bigint,category:string,sentiment:double,peer:string,industry:string,subject:string>>"
 
 
 def profile_table(spark: SparkSession, profiles: dict | None = None) -> DataFrame:
@@ -46,10 +47,10 @@ def _push(now: Column, ts: Column) -> Column:
     return 50.0 * w * F.col("sentiment")
 
 
-def _evidence(peer: Column, width: int = 80) -> Column:
+def _evidence(peer: Column, industry: Column, width: int = 80) -> Column:
     item = F.struct(
         F.col("materiality"), F.col("filing_id"), F.col("category"), F.col("sentiment"),
-        peer.cast("string").alias("peer"), F.substring(F.coalesce("subject", F.lit("")), 1, width).alias("subject"),
+        peer.cast("string").alias("peer"), industry.cast("string").alias("industry"), F.substring(F.coalesce("subject", F.lit("")), 1, width).alias("subject"),
     )
     # at most EVENT_TOP_K items reach this aggregate
     return F.reverse(F.array_sort(F.collect_list(item)))
@@ -70,7 +71,7 @@ def event_scores(
     )
     agg = top.groupBy(*keys).agg(
         F.sum(_push(now, age_from)).alias("_push"), F.max("confidence").alias("_conf"),
-        _evidence(F.lit(None)).alias("evidence"),
+        _evidence(F.lit(None), F.lit(None)).alias("evidence"),
     )
     return agg.select(
         *keys, clamp(0.0, 100.0, 50.0 + F.col("_push")).alias("event_score"),
@@ -98,7 +99,7 @@ def peer_event_scores(events: DataFrame, securities: DataFrame, now: Column, *,
     top = top_per_key(pairs, ["symbol"], order, K.PEER_TOP_K)
     agg = top.groupBy("symbol").agg(
         F.sum(_push(now, F.col("classified_at")) * K.PEER_DAMPING).alias("_push"), F.max("confidence").alias("_conf"),
-        _evidence(F.col("peer"), 70).alias("peer_evidence"),
+        _evidence(F.col("peer"), F.col("industry"), 70).alias("peer_evidence"),
     )
     return agg.select(
         "symbol", clamp(0.0, 100.0, 50.0 + F.col("_push")).alias("peer_score"),
@@ -234,20 +235,24 @@ def with_thesis(df: DataFrame) -> DataFrame:
     Every line is built from stored numbers; an axis without weight is not cited.
     """
     counts = lambda a: F.col(f"{a}_score").isNotNull() & (F.col(f"w_{a}") > 0)
-    text = lambda c: F.coalesce(c.cast("string"), F.lit("n/a"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    number = lambda c: F.coalesce(shortest(c), F.lit("None"))
     say = F.format_string
-    tech = say("technical %.0f/100 (%s); close %s vs SMA200 %s, RSI %s [score#%s]", F.col("technical_score"),
-               F.col("technical_label"), text(F.col("close")), text(F.round("sma200", 1)), text(F.col("rsi14")),
+    tech = say("technical %s/100 (%s); close %s vs SMA200 %s, RSI %s [score#%s]", fixed(F.col("technical_score"), 0),
+               F.col("technical_label"), number(F.col("close")), number(py_round(F.col("sma200"), 1)), number(F.col("rsi14")),
                text(F.col("technical_score_id")))
-    yoy = F.when(F.col("rev_yoy").isNotNull(), say("%.0f%%", F.col("rev_yoy") * 100.0)).otherwise("n/a")
-    fund = say("fundamentals %.0f/100 over %sq (%s); rev YoY %s [score#%s]", F.col("fundamental_score"),
+    yoy = F.coalesce(F.concat(fixed(F.col("rev_yoy") * 100.0, 0), F.lit("%")), F.lit("n/a"))
+    fund = say("fundamentals %s/100 over %sq (%s); rev YoY %s [score#%s]", fixed(F.col("fundamental_score"), 0),
                text(F.col("n_quarters")), text(F.col("basis")), yoy, text(F.col("fundamental_score_id")))
     flow = F.concat(
-        say("flow %.0f/100 (%s) [score#%s]", F.col("flow_score"), F.col("flow_label"), text(F.col("flow_score_id"))),
-        F.coalesce(F.when(F.col("deal_ratio").isNotNull(), say("; 20d large-deal net ratio %+.1f%%", F.col("deal_ratio") * 100.0)), F.lit("")),
-        F.coalesce(F.when(F.col("promoter_delta").isNotNull(), say("; promoter Δ %+.2fpp", F.col("promoter_delta"))), F.lit("")),
+        say("flow %s/100 (%s) [score#%s]", fixed(F.col("flow_score"), 0), F.col("flow_label"), text(F.col("flow_score_id"))),
+        F.coalesce(F.concat(F.lit("; 20d large-deal net ratio "), fixed(py_round(F.col("deal_ratio"), 4) * 100.0, 1, plus=True), F.lit("%")), F.lit("")),
+        F.coalesce(F.concat(F.lit("; promoter Δ "), fixed(py_round(F.col("promoter_delta"), 2), 2, plus=True), F.lit("pp")), F.lit("")),
     )
     one = lambda cond, line: F.array_compact(F.array(F.when(cond, line)))
+    # columns of their own, so that each text is made once
+    df = df.withColumns({"_technical": tech, "_fundamental": fund, "_flow": flow})
+    tech, fund, flow = F.col("_technical"), F.col("_fundamental"), F.col("_flow")
     lines = {"technical": tech, "fundamental": fund, "flow": flow}
     none = F.array().cast("array<string>")
     flags = F.when(
@@ -256,7 +261,7 @@ def with_thesis(df: DataFrame) -> DataFrame:
                     lambda x: F.concat(F.lit("forensic flag: "), x, F.lit(" [score#"), text(F.col("fundamental_score_id")), F.lit("]"))),
     ).otherwise(none)
     event_line = lambda e: F.concat(
-        F.when(e["peer"].isNotNull(), F.concat(F.lit("peer event ("), e["peer"], F.lit("): "))).otherwise(""),
+        F.when(e["peer"].isNotNull(), F.concat(F.lit("peer event ("), e["peer"], F.lit(", "), F.coalesce(e["industry"], F.lit("")), F.lit("): "))).otherwise(""),
         e["category"], F.lit(" m"), e["materiality"].cast("string"), F.lit(" ("), e["subject"],
         F.lit(") [filing#"), e["filing_id"].cast("string"), F.lit("]"),
     )
@@ -265,7 +270,7 @@ def with_thesis(df: DataFrame) -> DataFrame:
     bad = F.transform(F.filter(cited, lambda e: e["sentiment"] <= 0), event_line)
     risk_lines = lambda col, word: F.transform(
         F.slice(F.coalesce(col, none), 1, 3),
-        lambda x: F.concat(F.lit(f"risk {word}: "), x, F.lit(" [score#"), text(F.col("risk_score_id")), F.lit("]")),
+        lambda x: F.concat(F.lit(f"A6 {word}: "), x, F.lit(" [score#"), text(F.col("risk_score_id")), F.lit("]")),
     )
     pro = F.concat(*[one(counts(a) & (F.col(f"{a}_score") >= 55), l) for a, l in lines.items()], good)
     con = F.concat(
@@ -276,9 +281,9 @@ def with_thesis(df: DataFrame) -> DataFrame:
     )
     blocks = F.coalesce("hard_blocks", none)
     changer = (
-        F.when(F.size(blocks) > 0, F.concat(F.lit("the risk block lifting would restore scoring (currently: "), F.get(blocks, F.lit(0)), F.lit(")")))
+        F.when(F.size(blocks) > 0, F.concat(F.lit("A6 clearing its block would restore scoring (currently: "), F.get(blocks, F.lit(0)), F.lit(")")))
         .when(counts("technical") & F.col("invalidation").isNotNull(),
-              F.concat(F.lit("a close below "), F.col("invalidation").cast("string"), F.lit(" (this profile's ATR stop) invalidates the technical basis")))
+              F.concat(F.lit("a close below "), shortest(F.col("invalidation")), F.lit(" (this profile's ATR stop) invalidates the technical basis")))
         .when(counts("fundamental"), "next quarterly result reversing the fundamental trend")
         .otherwise("any high-materiality filing (event coverage is the only input)")
     )
@@ -287,7 +292,7 @@ def with_thesis(df: DataFrame) -> DataFrame:
             "thesis_for": F.slice(pro, 1, 3), "thesis_against": F.slice(con, 1, 3), "view_changer": changer,
             "event_filings": F.transform("evidence", lambda e: e["filing_id"]),
         }
-    )
+    ).drop("_technical", "_fundamental", "_flow")
 
 
 # ---------------------------------------------------------------- issuing

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapeloom import constants as K
+from tapeloom.functions.text import fixed, shortest
 from tapeloom.operators.keyed import top_per_key
 from tapeloom.operators.pit import trailing
 
@@ -70,8 +71,9 @@ def governance_counts(filings: DataFrame, classifications: DataFrame, as_of: Col
 
 def latest_pledge(pledge: DataFrame, as_of: Column) -> DataFrame:
     known = pledge.where(F.col("encumbered_pct").isNotNull() & (F.col("observed_at") <= as_of))
+    shp = (F.col("shp_date") if "shp_date" in pledge.columns else F.lit(None)).cast("date").alias("shp_date")
     return top_per_key(known, ["symbol"], [F.col("observed_at").desc(), F.col("record_id").desc()]).select(
-        "symbol", "promoter_pct", "encumbered_pct"
+        "symbol", "promoter_pct", "encumbered_pct", shp
     )
 
 
@@ -113,13 +115,13 @@ def risk_verdicts(
         F.array_compact(
             F.array(
                 F.when(F.col("median_turnover") < K.MIN_MEDIAN_TURNOVER_LAKH,
-                       say("illiquid (median 20d turnover ₹%.0fL < ₹10L)", F.col("median_turnover"))),
-                F.when(F.col("close") < K.PENNY_CLOSE, say("penny stock (close ₹%s)", F.col("close").cast("string"))),
+                       say("illiquid (median 20d turnover ₹%sL < ₹10L)", fixed(F.col("median_turnover"), 0))),
+                F.when(F.col("close") < K.PENNY_CLOSE, say("penny stock (close ₹%s)", shortest(F.col("close")))),
                 F.when(F.col("lock_ratio") > K.LOCK_RATIO_HARD,
-                       say("circuit-locked %.0f%% of last 60 sessions", F.col("lock_ratio") * 100.0)),
+                       say("circuit-locked %s%% of last 60 sessions", fixed(F.col("lock_ratio") * 100.0, 0))),
                 F.when(n("auditor_n") > 0,
                        say("statutory auditor resignation in last 12m (%d filing(s))", n("auditor_n"))),
-                F.when(heavy, say("promoter pledge %.1f%% of promoter holding (> 25%%)", enc)),
+                F.when(heavy, say("promoter pledge %s%% of promoter holding (> 25%%, SHP %s)", fixed(enc, 1), F.coalesce(F.col("shp_date").cast("string"), F.lit("None")))),
             )
         ),
     )
@@ -130,22 +132,22 @@ def risk_verdicts(
                 F.when(F.col("series").isin("BE", "BZ"), say("trade-for-trade series (%s)", F.col("series"))),
                 F.when(n("regulatory_n") > 0, say("regulatory action filings in last 180d (%d)", n("regulatory_n"))),
                 F.when(~F.coalesce(heavy, F.lit(False)) & (enc > K.PLEDGE_PENALTY_PCT),
-                       say("promoter pledge %.1f%% of promoter holding", enc)),
+                       say("promoter pledge %s%% of promoter holding", fixed(enc, 1))),
                 F.when(n("encumbrance_n") > 0,
                        say("pledge/encumbrance activity in last 180d (%d)%s", n("encumbrance_n"),
                            F.when(enc.isNull(), F.lit("; pledge % unavailable")).otherwise(F.lit("")))),
-                F.when(F.col("mcap_cr") < K.MICROCAP_CRORE, say("microcap (₹%.0f Cr)", F.col("mcap_cr"))),
+                F.when(F.col("mcap_cr") < K.MICROCAP_CRORE, say("microcap (₹%s Cr)", fixed(F.col("mcap_cr"), 0))),
             )
         ),
     )
     df = df.withColumns({"hard_blocks": hard, "penalties": soft})
     blocked = F.size("hard_blocks") > 0
-    fixed = F.array(*[F.lit(u) for u in K.RISK_UNAVAILABLE])
+    always = F.array(*[F.lit(u) for u in K.RISK_UNAVAILABLE])
     return df.withColumns(
         {
             "verdict": F.when(blocked, "hard_block").when(F.size("penalties") > 0, "penalty").otherwise("clear"),
             "score": F.when(blocked, 0.0).otherwise(F.greatest(F.lit(0.0), 100.0 - 15.0 * F.size("penalties"))),
-            "unavailable": F.when(enc.isNull(), F.concat(fixed, F.array(F.lit("pledge_pct (shareholding file not parsed)")))).otherwise(fixed),
+            "unavailable": F.when(enc.isNull(), F.concat(always, F.array(F.lit(K.RISK_UNAVAILABLE_PLEDGE)))).otherwise(always),
             "as_of": as_of,
         }
     )

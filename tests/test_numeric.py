@@ -78,3 +78,17 @@ def test_general_format(spark):
 def test_py_round_property(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[1] == round(r[0], 2) for r in df.select("x", N.py_round(F.col("x"), 2)).collect()] == [True] * len(values)
+
+
+def test_number_texts_equal_plain_formatting(spark):
+    from tapeloom.functions import text as X
+
+    rng = random.Random(11)
+    values = [0.0, 62.5, 63.5, 0.5, 1.5, 2.675, -0.2, 1e6, 999999.5, 999999.4, 9.999995, 12345678.9, 1234567.0, 0.0001234567, 0.001, 100.0, 1e-5, -4.25, 0.15, 99.95]
+    values += [round(rng.uniform(-2000, 2000), rng.randrange(0, 5)) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", X.fixed(F.col("x"), 0).alias("f0"), X.fixed(F.col("x"), 1, plus=True).alias("f1"), X.general(F.col("x")).alias("g"), X.shortest(F.col("x")).alias("s")).collect()
+    for r in rows:
+        assert (r.f0, r.f1, r.g) == (f"{r.x:.0f}", f"{r.x:+.1f}", f"{r.x:g}"), r
+        assert r.s == repr(r.x) or abs(r.x) < 1e-4
+    assert spark.range(1).select(X.fixed(F.lit(None).cast("double"), 1).alias("n")).first().n is None
