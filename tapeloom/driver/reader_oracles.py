@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapeloom import constants as K
-from tapeloom.driver.oracles import NOW, oracle, part
+from tapeloom.driver.oracles import MID, NOW, oracle, part, pyr
 
 
 def grouped(n: str) -> str:
@@ -48,3 +48,27 @@ oracle("freshness_split", f"SELECT feed, observed_at >= {NOW} - INTERVAL {K.FRES
 oracle("score_events", """SELECT CASE agent WHEN 'a3' THEN 'fundamental.scored' WHEN 'a4' THEN 'technical.scored' WHEN 'a5' THEN 'flow.scored' ELSE 'risk.assessed' END AS topic,
     '{"symbol":"' || symbol || '"' || (CASE WHEN score IS NOT NULL THEN ',"score":' || cast(score as string) ELSE '' END) || ',"score_id":' || score_id || '}' AS payload FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5', 'a6')""")
 oracle("report_sink", "SELECT 'event_counts' AS name, event_type, count(*) AS n FROM events GROUP BY 2")
+
+# ---------------------------------------------------------------- chained views
+
+_list = lambda line, order: f"coalesce(string_agg({line}, chr(10) ORDER BY {order}), '')"
+part("cd_sig", f"SELECT symbol, {_list('concat_ws(chr(32), profile, stance, cast(conviction as varchar), signal_id)', 'profile')} AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol, profile ORDER BY as_of DESC, signal_id DESC) AS r FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY as_of DESC, signal_id DESC) AS top FROM signals WHERE as_of <= {NOW}) WHERE top <= 20) WHERE r = 1 GROUP BY 1")
+part("cd_sco", f"SELECT symbol, {_list('''concat_ws(chr(32), agent, cast(score as varchar), strftime(as_of, '%Y-%m-%d'))''', 'agent')} AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol, agent ORDER BY as_of DESC, score_id DESC) AS r FROM stored_scores WHERE as_of <= {NOW}) WHERE r = 1 GROUP BY 1")
+_cr = lambda c: f"CASE WHEN {c} <> 0 THEN cast({pyr(f'({c} / 1e7)', 1)} as varchar) END"
+part("cd_qua", f"SELECT symbol, {_list(f'concat_ws(chr(32), cast(period_end as varchar), basis, {_cr('revenue')}, {_cr('pat')})', 'r')} AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC, basis) AS r FROM quarters_live) WHERE r <= 12 GROUP BY 1")
+part("cd_fil", f"SELECT symbol, {_list('concat_ws(chr(32), filing_id, feed)', 'r')} AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_at DESC, filing_id) AS r FROM filing_heads WHERE observed_at <= {NOW} AND event_at >= {NOW} - INTERVAL 90 DAY) WHERE r <= 15 GROUP BY 1")
+part("cd_clo", f"SELECT symbol, {_list('concat_ws(chr(32), cast(trade_date as varchar), cast(floor(close * 1e6 + 0.5e0) / 1e6 as varchar))', 'trade_date')} AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS r FROM bars WHERE trade_date <= cast({NOW} as date)) WHERE r <= 90 GROUP BY 1")
+oracle("company_detail", "SELECT s.symbol, s.company_name, s.industry, a.x AS signals, b.x AS scores, q.x AS quarters, f.x AS filings, c.x AS closes FROM securities s LEFT JOIN cd_sig a ON a.symbol = s.symbol LEFT JOIN cd_sco b ON b.symbol = s.symbol LEFT JOIN cd_qua q ON q.symbol = s.symbol LEFT JOIN cd_fil f ON f.symbol = s.symbol LEFT JOIN cd_clo c ON c.symbol = s.symbol")
+oracle("health_status", """SELECT CASE WHEN n > 0 THEN 'degraded' ELSE 'ok' END AS status, (SELECT strftime(max(moment) + INTERVAL 3 SECOND, '%Y-%m-%d %H:%M:%S') FROM polls) AS last_pass, n AS problems FROM (
+    SELECT sum((CASE WHEN last_polled_at IS NULL THEN 1 ELSE 0 END) + (CASE WHEN age > CASE priority WHEN 'P0' THEN 300 WHEN 'P1' THEN 1800 ELSE 7200 END THEN 1 ELSE 0 END) + (CASE WHEN consecutive_errors >= 3 THEN 1 ELSE 0 END)) AS n FROM ages)""")
+_ctx = lambda rest, name: f"(SELECT cast(sum(o_custkey) as double) FROM orders WHERE o_custkey % 2 = {rest} AND o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_custkey % 2 = {rest} AND {MID('o_orderdate')} <= {NOW})) AS {name}"
+oracle("flow_context", f"SELECT symbol, score, {_ctx(0, 'fii')}, {_ctx(1, 'dii')} FROM flow_live")
+part("asked_days", "SELECT DISTINCT cast(l_shipdate as date) AS day FROM lineitem UNION SELECT cast(l_shipdate + INTERVAL 1200 MONTH as date) FROM lineitem")
+part("open_days", "SELECT d.day FROM (SELECT cast(unnest(generate_series(DATE '1990-01-01', DATE '2101-12-31', INTERVAL 1 DAY)) as date) AS day) d WHERE isodow(d.day) < 6 AND d.day NOT IN (SELECT day FROM holiday_days)")
+oracle("adjacent_trading_days", "SELECT a.day, n.day AS next_trading_day, p.day AS prev_trading_day FROM asked_days a ASOF LEFT JOIN open_days n ON n.day > a.day ASOF LEFT JOIN open_days p ON p.day < a.day")
+part("parsed_q", "SELECT i.doc, q.filing_id, coalesce(i.own_symbol, q.symbol) AS symbol, i.period_end, i.basis, i.revenue FROM instances i JOIN quarters q ON i.doc = 'd' || cast(q.filing_id as string) WHERE i.period_end - i.period_start BETWEEN 80 AND 100")
+part("old_q", "SELECT symbol, period_end, basis, 's' || filing_id AS doc FROM quarters WHERE filing_id % 2 = 0 UNION ALL SELECT 'Z' || symbol, period_end, basis, 's' || filing_id FROM quarters WHERE filing_id % 2 = 0")
+part("raw_n", "SELECT doc, count(DISTINCT fact) AS n, any_value(text) FILTER (fact = 'DateOfEndOfReportingPeriod') AS e FROM (SELECT r.* FROM result_facts r JOIN (SELECT doc, arg_min(context, seq) AS context FROM result_facts WHERE fact = 'DateOfEndOfReportingPeriod' GROUP BY 1) m ON m.doc = r.doc AND m.context = r.context) GROUP BY 1")
+oracle("financials_upsert", """SELECT coalesce(p.symbol, o.symbol) AS symbol, coalesce(p.period_end, o.period_end) AS period_end, coalesce(p.basis, o.basis) AS basis, coalesce(p.doc, o.doc) AS doc, s.security_id,
+    CASE WHEN p.doc IS NULL THEN -1e0 ELSE floor(p.revenue * 1e6 + 0.5e0) / 1e6 END AS revenue, CASE WHEN p.doc IS NULL THEN 1 ELSE r.n END AS n_raw, r.e AS raw_end
+    FROM parsed_q p FULL JOIN old_q o ON o.symbol = p.symbol AND o.period_end = p.period_end AND o.basis = p.basis LEFT JOIN securities s ON s.symbol = p.symbol LEFT JOIN raw_n r ON r.doc = p.doc""")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeloom import constants as K
-from tapeloom.driver.queries import QUERIES, big, now, query, r6, ts
+from tapeloom.driver.queries import big, learned, live_bars, live_filings, live_quarters, more_feeds, now, poll_now, q6, query, r6, ts
 from tapeloom.driver.tables import Tables
 from tapeloom.functions import calendar as cal, text as X
-from tapeloom.plans import rules
+from tapeloom.plans import flow, rules, views
 from tapeloom.sources import feeds, flows, masters, prices, sinks, xbrl
 
 
@@ -219,4 +219,57 @@ def report_sink(t):
     return back.select("name", F.get_json_object("body", "$.event_type").alias("event_type"), F.get_json_object("body", "$.n").cast("bigint").alias("n"))
 
 
-__all__ = ["QUERIES"]
+
+# ---------------------------------------------------------------- chained views
+
+def lines(array: str, line) -> Column:
+    return F.array_join(F.transform(array, line), "\n").alias(array)
+
+
+@query
+def company_detail(t):
+    t.store("bars", "quarters")
+    rows = views.company_detail(t.securities, t.signals, t.stored_scores, live_quarters(t), t.filing_heads, t.bars, now())
+    cat = lambda *parts: F.concat_ws(" ", *parts)
+    return rows.select(
+        "symbol", "company_name", "industry",
+        lines("signals", lambda x: cat(x["profile"], x["stance"], X.shortest(x["conviction"]), txt(x["signal_id"]))),
+        lines("scores", lambda x: cat(x["agent"], X.shortest(x["score"]), F.date_format(x["as_of"], "yyyy-MM-dd"))),
+        lines("quarters", lambda x: cat(txt(x["period_end"]), x["basis"], X.shortest(x["revenue_cr"]), X.shortest(x["pat_cr"]))),
+        lines("filings", lambda x: cat(txt(x["filing_id"]), x["feed"])), lines("closes", lambda x: cat(txt(x["trade_date"]), X.shortest(q6(x["close"])))))
+
+
+@query
+def health_status(t):
+    problems = views.health(more_feeds(t), views.feed_state(t.polls), poll_now())
+    runs = t.polls.select(F.lit("a1_poller").alias("agent"), (F.col("moment") + F.expr("INTERVAL 3 SECONDS")).alias("finished_at"))
+    return views.health_status(problems, runs).select("status", ts("last_pass"), "problems")
+
+
+@query
+def flow_context(t):
+    """Flow scores with the newest net value of each investor category."""
+    market = t.orders.groupBy(F.col("o_orderdate").alias("day"), F.when(F.col("o_custkey") % 2 == 0, "FII/FPI").otherwise("DII").alias("category")).agg(F.sum(F.col("o_custkey").cast("double")).alias("net_value"))
+    rows = flow.flow_scores(live_bars(t), t.deals, live_filings(t), t.surveillance, now(), market)
+    return rows.select("symbol", "score", F.element_at("market_context", "FII/FPI").alias("fii"), F.element_at("market_context", "DII").alias("dii"))
+
+
+@query
+def adjacent_trading_days(t):
+    """Every ship date and its neighbours, moved a century past the calendar table as well."""
+    dates = t.lineitem.select(F.col("l_shipdate").alias("d")).union(t.lineitem.select(F.add_months("l_shipdate", 1200)))
+    return cal.adjacent_trading_days(dates, "d", cal.overlay_holidays(cal.seed_holidays(t.spark), learned(t)))
+
+
+@query
+def financials_upsert(t):
+    """Parsed results laid over stored quarters: half of these are older figures of the same keys."""
+    t.store("quarters")
+    docs = t.quarters.select(F.concat(F.lit("d"), txt("filing_id")).alias("doc"), F.col("filing_id").alias("doc_no"), "filing_id", "symbol", "event_at")
+    new = xbrl.load_financials(t.result_facts, docs)
+    old = t.quarters.where("filing_id % 2 = 0").select(
+        "symbol", "period_end", "basis", F.concat(F.lit("s"), txt("filing_id")).alias("doc"), F.lit(-1).cast("bigint").alias("doc_no"), F.lit(-1.0).alias("revenue"),
+        F.lit(None).cast("bigint").alias("security_id"), F.create_map(F.lit("k"), F.lit("v")).alias("raw"))
+    old = old.union(old.where("doc_no < 0").select(F.concat(F.lit("Z"), F.col("symbol")), *old.columns[1:]))
+    rows = xbrl.store_financials(new, old, t.securities)
+    return rows.select("symbol", "period_end", "basis", "doc", "security_id", *r6("revenue"), F.size("raw").cast("bigint").alias("n_raw"), F.element_at("raw", "DateOfEndOfReportingPeriod").alias("raw_end"))

@@ -74,3 +74,18 @@ def muhurat_date(year: Column) -> Column:
     for y, d in MUHURAT_DATES.items():
         out = F.when(year == y, F.lit(d).cast("date")).otherwise(out)
     return out
+
+
+def adjacent_trading_days(days: DataFrame, day: str, holidays: DataFrame, reach: int = 30) -> DataFrame:
+    """(day, next_trading_day, prev_trading_day) for any dates, inside the calendar table or not.
+
+    ``reach`` is longer than any closure of the market. It works on the distinct dates, with
+    ``2 * reach`` candidates for each.
+    """
+    asked = days.select(F.col(day).cast("date").alias("day")).where(F.col("day").isNotNull()).distinct()
+    near = asked.select("day", F.explode(F.sequence(F.date_sub("day", reach), F.date_add("day", reach))).alias("near")).where("near <> day")
+    open_days = near.where(F.weekday("near") < 5).join(F.broadcast(holidays.select(F.col("day").alias("near"))), "near", "left_anti")
+    return asked.join(
+        open_days.groupBy("day").agg(
+            F.min(F.when(F.col("near") > F.col("day"), F.col("near"))).alias("next_trading_day"), F.max(F.when(F.col("near") < F.col("day"), F.col("near"))).alias("prev_trading_day")),
+        "day", "left")

@@ -306,3 +306,51 @@ def sparkline(bars: DataFrame, keep: int = 90) -> DataFrame:
     lo, hi = F.min("close").over(all_), F.max("close").over(all_)
     pos = F.when(hi == lo, 0.5).otherwise((F.col("close") - lo) / F.nullif(hi - lo, F.lit(0.0)))
     return rows.select("symbol", "trade_date", "close", pos.alias("position"))
+
+
+def _newest(df: DataFrame, key: str, order: list[Column], n: int, item: Column, name: str) -> DataFrame:
+    """(key, name): the first ``n`` rows of every key in order, as an array of ``item``."""
+    w = Window.partitionBy(key).orderBy(*order)
+    top = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("item")))), lambda x: x["item"])
+    return top.groupBy(key).agg(rows.alias(name))
+
+
+def company_detail(
+    securities: DataFrame, signals: DataFrame, scores: DataFrame, quarters: DataFrame, filings: DataFrame, bars: DataFrame, now: Column,
+    *, n_signals: int = 20, n_quarters: int = 12, n_filings: int = 15, n_closes: int = 90,
+) -> DataFrame:
+    """One row per symbol: what the detail pane shows, as known at ``now``.
+
+    ``signals`` holds the newest signal of each profile among the newest ``n_signals``, ``scores``
+    the newest score of each agent, ``quarters`` and ``filings`` (90 days) newest first, ``closes``
+    oldest first. Every array is bounded by its parameter.
+    """
+    crore = lambda c: F.when(F.col(c) != 0, py_round(F.col(c) / K.CRORE, 1))
+    issued = signals.where(F.col("as_of") <= now)
+    recent = top_per_key(issued, ["symbol"], [F.col("as_of").desc(), F.col("signal_id").desc()], n_signals)
+    newest = latest_per_key(recent, ["symbol", "profile"], "as_of", "signal_id")
+    marks = latest_per_key(scores.where((F.col("as_of") <= now) & F.col("agent").isin("a3", "a4", "a5", "a6")), ["symbol", "agent"], "as_of", "score_id")
+    seen = filings.where((F.col("observed_at") <= now) & (F.col("event_at") >= now - F.expr("INTERVAL 90 DAYS")))
+    optional = lambda df, c: F.col(c) if c in df.columns else F.lit(None)
+    parts = [
+        _newest(newest, "symbol", [F.col("profile")], len(K.PROFILES), F.struct(
+            "profile", "stance", "conviction", "confidence", "horizon", "entry_low", "entry_high", "target_low", "target_high", "invalidation", "risk_verdict", "signal_id", "as_of"), "signals"),
+        _newest(marks, "symbol", [F.col("agent")], 4, F.struct(
+            "agent", "score", optional(marks, "label").alias("label"), optional(marks, "confidence").alias("confidence"), "as_of"), "scores"),
+        _newest(quarters, "symbol", [F.col("period_end").desc(), F.col("basis")], n_quarters, F.struct(
+            "period_end", "basis", crore("revenue").alias("revenue_cr"), crore("pat").alias("pat_cr"), "filing_id"), "quarters"),
+        _newest(seen, "symbol", [F.col("event_at").desc(), F.col("filing_id")], n_filings, F.struct("filing_id", "feed", "subject", "event_at"), "filings"),
+        _newest(bars.where(F.col("trade_date") <= now.cast("date")), "symbol", [F.col("trade_date").desc()], n_closes, F.struct("trade_date", "close"), "_closes"),
+    ]
+    df = securities.select("symbol", "company_name", "industry")
+    for side in parts:
+        df = df.join(side, "symbol", "left")
+    return df.withColumn("closes", F.reverse("_closes")).drop("_closes")
+
+
+def health_status(problems: DataFrame, runs: DataFrame, agent: str = "a1_poller") -> DataFrame:
+    """One row: overall status, last finished pass of the agent and the number of problems."""
+    n = problems.agg(F.count(F.lit(1)).alias("problems"))
+    last = runs.where(F.col("agent") == agent).agg(F.max("finished_at").alias("last_pass"))
+    return n.crossJoin(F.broadcast(last)).select(F.when(F.col("problems") > 0, "degraded").otherwise("ok").alias("status"), "last_pass", "problems")

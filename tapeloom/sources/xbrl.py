@@ -16,7 +16,7 @@ from tapeloom import constants as K
 from tapeloom.functions.numeric import scale_percent, with_rounded
 from tapeloom.functions.text import published_at
 from tapeloom.operators.fold import ordered_fold
-from tapeloom.operators.keyed import top_per_key
+from tapeloom.operators.keyed import top_per_key, upsert_last_wins
 from tapeloom.sources.sinks import stage
 
 FACT_SCHEMA = "doc string, seq int, fact string, context string, text string, promoter boolean"
@@ -87,6 +87,8 @@ def result_instances(facts: DataFrame) -> DataFrame:
         pick("FaceValueOfEquityShareCapital").try_cast("double").alias("face"),
         pick("ExceptionalItemsBeforeTax").try_cast("double").alias("exceptional"),
         F.max(F.col("fact").isin(K.RESULT_GATE_FACTS)).alias("_gate"),
+        # the facts of one document, bounded by its form
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("fact", "text")))).alias("raw"),
         *values,
     )
     days = F.datediff(_iso(F.col("_end")), _iso(F.col("_start")))
@@ -94,7 +96,7 @@ def result_instances(facts: DataFrame) -> DataFrame:
     return out.where("_gate").select(
         "doc", F.nullif("_symbol", F.lit("")).alias("symbol"), _iso(F.col("_start")).alias("period_start"),
         _iso(F.col("_end")).alias("period_end"), F.when(consolidated, "consolidated").otherwise("standalone").alias("basis"),
-        "audited", F.coalesce(days.between(80, 100), F.lit(False)).alias("quarterly"), *columns, "paidup", "face", "exceptional",
+        "audited", F.coalesce(days.between(80, 100), F.lit(False)).alias("quarterly"), *columns, "paidup", "face", "exceptional", "raw",
     )
 
 
@@ -189,6 +191,17 @@ def load_financials(facts: DataFrame, filings: DataFrame) -> DataFrame:
     return keep_revision(stage(quarter_rows(result_instances(facts), filings), "quarter-rows"))
 
 
+def store_financials(quarters: DataFrame, stored: DataFrame, securities: DataFrame) -> DataFrame:
+    """Settled quarters with their ``security_id``, laid over the stored ones: the last document wins.
+
+    Keys are (symbol, period_end, basis); every other column is taken from the new row. Symbols that
+    no security has keep a null id.
+    """
+    ids = securities.select("symbol", "security_id").dropDuplicates(["symbol"])
+    new = quarters.join(ids, "symbol", "left").select(*stored.columns)
+    return upsert_last_wins(stored, new, ["symbol", "period_end", "basis"], ["doc_no", "doc"])
+
+
 def results_index(classic: DataFrame, integrated: DataFrame) -> DataFrame:
     """Both listing layouts to (xbrl, to_date, broadcast, subject)."""
     c = classic.select(
