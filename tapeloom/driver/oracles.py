@@ -242,6 +242,7 @@ part("live_f", f"SELECT * FROM filings WHERE observed_at <= {NOW}")
 part("live_c", f"SELECT * FROM classifications WHERE observed_at <= {NOW}")
 oracle("pit_filings", f"SELECT filing_id, symbol, subject, {ts('event_at')}, {ts('observed_at')} FROM live_f WHERE feed = 'announcements' AND event_at >= TIMESTAMP '2001-06-01'")
 oracle("pit_classified", f"SELECT f.filing_id, f.symbol, c.category, cast(c.materiality as bigint) AS materiality, {ts('f.event_at', 'event_at')} FROM live_f f JOIN live_c c ON c.filing_id = f.filing_id WHERE c.model_version = '{V5}' AND c.materiality >= 5 AND NOT c.routine AND f.event_at >= TIMESTAMP '2000-01-01' ORDER BY c.materiality DESC, f.event_at DESC NULLS LAST, f.filing_id LIMIT 200")
+oracle("pit_classified_all", f"SELECT f.filing_id, f.symbol, c.category, cast(c.materiality as bigint) AS materiality, {ts('f.event_at', 'event_at')} FROM live_f f JOIN live_c c ON c.filing_id = f.filing_id WHERE c.model_version = '{V5}' AND c.materiality >= 5 AND NOT c.routine AND f.event_at >= TIMESTAMP '2000-01-01'")
 oracle("poison_check", "SELECT feed, count(*) AS n FROM live_f GROUP BY feed")
 
 _T = "trim(coalesce(title, ''))"
@@ -312,11 +313,13 @@ part("doc_states", """SELECT e.doc_id, CASE WHEN e.stop IS NULL THEN 'pending' W
 part("doc_next", "SELECT *, last_try + to_minutes(CASE attempts WHEN 1 THEN 5 WHEN 2 THEN 15 ELSE 45 END) AS next_attempt_at FROM doc_states")
 oracle("document_state", f"SELECT doc_id, fetch_status, attempts, {ts('next_attempt_at')} FROM doc_next")
 oracle("due_documents", "SELECT doc_id, attempts FROM doc_next WHERE fetch_status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-20') ORDER BY doc_id LIMIT 100")
+oracle("due_documents_all", "SELECT doc_id, attempts FROM doc_next WHERE fetch_status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-20')")
 part("pl_held", "SELECT symbol, max(observed_at) AS t FROM pledge WHERE record_id = 'R2' GROUP BY 1")
 part("tiers", """SELECT symbol, 0 AS tier FROM live_f WHERE feed IN ('encumbrance', 'sast_reg31') AND symbol IS NOT NULL AND symbol NOT IN (SELECT symbol FROM pl_held)
     UNION ALL SELECT f.symbol, 1 FROM live_f f LEFT JOIN pl_held h ON h.symbol = f.symbol WHERE feed = 'shareholding_pattern' AND f.symbol IS NOT NULL GROUP BY f.symbol HAVING max(h.t) IS NULL OR max(f.observed_at) > max(h.t)
     UNION ALL SELECT symbol, 2 FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5') AND symbol NOT IN (SELECT symbol FROM pl_held)""")
 oracle("pledge_worklist", "SELECT symbol, cast(min(tier) as bigint) AS tier FROM tiers GROUP BY 1 ORDER BY 2, 1 LIMIT 200")
+oracle("pledge_worklist_all", "SELECT symbol, cast(min(tier) as bigint) AS tier FROM tiers GROUP BY 1")
 
 # ---------------------------------------------------------------- events, flow, risk
 

@@ -310,6 +310,13 @@ def pit_classified(t):
     return rows.select("filing_id", "symbol", "category", *big("materiality"), ts("event_at"))
 
 
+@query
+def pit_classified_all(t):
+    rows = pit.pit_classified(t.filing_heads, t.classifications, NOW, model_version=K.CLASSIFIER_VERSION, min_materiality=5,
+                              since=datetime(2000, 1, 1, tzinfo=timezone.utc), limit=None)
+    return rows.select("filing_id", "symbol", "category", *big("materiality"), ts("event_at"))
+
+
 @query
 def poison_check(t):
     """Counts per feed with future observations mixed in: they must not show."""
@@ -432,6 +439,18 @@ def due_documents(t):
     return master.due_documents(state, F.lit("2024-01-20").cast("timestamp"), 100).select("doc_id", *big("attempts"))
 
 
+@query
+def due_documents_all(t):
+    state = master.document_state(t.attempts.select("doc_id").distinct(), t.attempts)
+    return master.due_documents(state, F.lit("2024-01-20").cast("timestamp"), None).select("doc_id", *big("attempts"))
+
+
+@query
+def pledge_worklist_all(t):
+    held = t.pledge.where(F.col("record_id") == "R2")
+    return master.pledge_worklist(live_heads(t), held, t.stored_scores, None).select("symbol", *big("tier"))
+
+
 @query
 def pledge_worklist(t):
     held = t.pledge.where(F.col("record_id") == "R2")

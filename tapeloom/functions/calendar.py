@@ -14,13 +14,19 @@ def seed_holidays(spark: SparkSession) -> DataFrame:
 
 
 def overlay_holidays(seed: DataFrame, learned: DataFrame) -> DataFrame:
-    """Seed and learned holidays together; a learned name replaces the seed's."""
-    if learned.isEmpty():
-        raise ValueError("refusing to overlay an empty holiday table")
+    """Seed and learned holidays together; a learned name replaces the seed's.
+
+    The result fails when it is computed if ``learned`` is empty: an empty table is a broken
+    download, not a year without holidays.
+    """
     both = seed.select("day", "name", F.lit(1).alias("tier")).unionByName(
         learned.select("day", "name", F.lit(0).alias("tier"))
     )
-    return both.groupBy("day").agg(F.min_by("name", "tier").alias("name"))
+    book = both.groupBy("day").agg(F.min_by("name", "tier").alias("name"), F.min("tier").alias("_tier"))
+    # as many rows as the calendar has holidays
+    known = F.count_if(F.col("_tier") == 0).over(Window.partitionBy(F.lit(0)))
+    checked = book.withColumn("_ok", F.when(known > 0, True).otherwise(F.raise_error(F.lit("refusing to overlay an empty holiday table")).cast("boolean")))
+    return checked.where("_ok").select("day", "name")
 
 
 def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame) -> DataFrame:

@@ -82,10 +82,11 @@ def missing_from(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(done.select(*keys), list(keys), "left_anti")
 
 
-def priority_worklist(tiers: Sequence[DataFrame], key: str, limit: int) -> DataFrame:
-    """First tier of every key wins; ordered by tier then key."""
+def priority_worklist(tiers: Sequence[DataFrame], key: str, limit: int | None) -> DataFrame:
+    """First tier of every key wins; ordered by tier then key and cut there, or all without a limit."""
     ranked = [t.select(key).distinct().withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)]
     both = ranked[0]
     for r in ranked[1:]:
         both = both.unionByName(r)
-    return both.groupBy(key).agg(F.min("tier").alias("tier")).orderBy("tier", key).limit(limit)
+    first = both.groupBy(key).agg(F.min("tier").alias("tier"))
+    return first if limit is None else first.orderBy("tier", key).limit(limit)

@@ -95,12 +95,13 @@ def document_state(documents: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
-def due_documents(state: DataFrame, now: Column, limit: int) -> DataFrame:
+def due_documents(state: DataFrame, now: Column, limit: int | None) -> DataFrame:
+    """Documents whose next attempt is due; the first ``limit`` by id, or all."""
     due = (F.col("fetch_status") == "pending") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
-    return state.where(due).orderBy("doc_id").limit(limit)
+    return state.where(due) if limit is None else state.where(due).orderBy("doc_id").limit(limit)
 
 
-def pledge_worklist(filings: DataFrame, pledge: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
+def pledge_worklist(filings: DataFrame, pledge: DataFrame, scores: DataFrame, limit: int | None) -> DataFrame:
     """Symbols needing a pledge fetch: activity, then fresh shareholding, then scored ones."""
     held = pledge.groupBy("symbol").agg(F.max("observed_at").alias("_held"))
     named = filings.where(F.col("symbol").isNotNull())

@@ -14,11 +14,15 @@ ANNOUNCEMENT_SCHEMA = (
 
 
 def read_rss(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """RSS files to raw entries of one feed."""
-    return (
-        spark.read.format("xml").schema(RSS_SCHEMA).option("rowTag", "item").load(path)
-        .select(F.lit(feed).alias("feed"), "title", "link", F.col("pubDate").alias("pub"), "description")
-    )
+    """RSS files to raw entries of one feed; ``corrupt`` holds the text of an item that does not parse."""
+    reader = spark.read.format("xml").schema(RSS_SCHEMA + ", corrupt string").option("rowTag", "item").option("columnNameOfCorruptRecord", "corrupt")
+    return reader.load(path).select(F.lit(feed).alias("feed"), "title", "link", F.col("pubDate").alias("pub"), "description", "corrupt")
+
+
+def split_corrupt(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable entries and the texts of those that do not parse."""
+    good = entries.where(F.col("corrupt").isNull()).drop("corrupt")
+    return good, entries.where(F.col("corrupt").isNotNull()).select("feed", "corrupt")
 
 
 def entries_to_filings(entries: DataFrame, keep: list[str] = ()) -> DataFrame:

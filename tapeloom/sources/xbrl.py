@@ -19,14 +19,15 @@ from tapeloom.operators.fold import ordered_fold
 from tapeloom.operators.keyed import top_per_key, upsert_last_wins
 from tapeloom.sources.sinks import stage
 
-FACT_SCHEMA = "doc string, seq int, fact string, context string, text string, promoter boolean"
+FACT_SCHEMA = "doc string, seq int, fact string, context string, text string, promoter boolean, error string"
 
 
 def _facts_of(content: bytes):
-    """(seq, fact, context, text, promoter) of one instance; nothing for unreadable files."""
+    """(seq, fact, context, text, promoter, error) of one instance; an unreadable file gives its error alone."""
     try:
         root = ET.fromstring(content)
-    except ET.ParseError:
+    except ET.ParseError as error:
+        yield -1, None, None, None, None, f"unreadable: {error}"
         return
     name = lambda el: el.tag.rsplit("}", 1)[-1]
     members = {
@@ -43,17 +44,17 @@ def _facts_of(content: bytes):
     for seq, el in enumerate(root.iter()):
         text, context = (el.text or "").strip(), el.get("contextRef")
         if text and context:
-            yield seq, name(el), context, text, context in promoter
+            yield seq, name(el), context, text, context in promoter, None
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Fact rows of every instance file under ``path``."""
+    """Fact rows of every instance file under ``path``; files that do not parse have one row with ``error``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
 
     def run(batches):
         for pdf in batches:
             rows = [(p, *f) for p, c in zip(pdf["path"], pdf["content"]) for f in _facts_of(c)]
-            yield pd.DataFrame(rows, columns=["doc", "seq", "fact", "context", "text", "promoter"])
+            yield pd.DataFrame(rows, columns=["doc", "seq", "fact", "context", "text", "promoter", "error"])
 
     return files.select("path", "content").mapInPandas(run, FACT_SCHEMA)
 

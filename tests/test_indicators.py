@@ -120,3 +120,38 @@ def test_latest_only_gate(spark):
     both = old.unionByName(new)
     names = lambda flag: {r["symbol"] for r in technical.technical_scores(both, bars(spark, [1.0] * 90, symbol="IDX"), latest_only=flag).collect()}
     assert names(True) == {"NEW"} and names(False) == {"OLD", "NEW"}
+
+
+def long_bars(spark, n):
+    rng = random.Random(5)
+    c, rows = 1000.0, []
+    for i in range(n):
+        c = max(5.0, c + rng.uniform(-3, 3))
+        rows.append(("X", dt.date(1901, 1, 1) + dt.timedelta(days=i), c, c + rng.uniform(0, 3), c - rng.uniform(0, 3), c, 1.0, 1.0, 1.0, "EQ"))
+    return spark.createDataFrame(rows, BAR), [r[5] for r in rows]
+
+
+def test_both_forms_of_the_averages_agree(spark):
+    df = number_bars(long_bars(spark, 600)[0]).persist()
+    for add, names in ((ind.with_rsi, ["rsi"]), (ind.with_atr, ["atr"]), (ind.with_adx, ["adx", "plus_di", "minus_di"])):
+        a, b = (add(df, any_length=long).orderBy("trade_date").select(*names).collect() for long in (False, True))
+        for x, y in zip(a, b):
+            assert all((p is None) == (q is None) and (p is None or p == pytest.approx(q, rel=1e-9, abs=1e-9)) for p, q in zip(x, y))
+
+
+def test_series_of_any_length(spark):
+    df, closes = long_bars(spark, 40_000)
+    assert last(ind.with_rsi(number_bars(df), any_length=True), "rsi")[0] == pytest.approx(fold_rsi(closes), rel=1e-9)
+    with pytest.raises(Exception, match="any_length"):
+        ind.with_rsi(number_bars(df)).collect()
+
+
+def test_rebalance_dates_skip_index_bars_without_a_close(spark):
+    from tapeloom.plans import backtest
+
+    day = lambda i: DAY + dt.timedelta(days=i)
+    full = [("IDX:ALL", day(i), 100.0 + i) for i in range(260)]
+    gaps = full + [("IDX:ALL", day(1000 + i), None) for i in range(5)]
+    schema = "symbol string, trade_date date, close double"
+    a, b = (sorted(tuple(r) for r in backtest.rebalances(spark.createDataFrame(rows, schema)).collect()) for rows in (full, gaps))
+    assert a == b and len(a) == 24

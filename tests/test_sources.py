@@ -96,7 +96,9 @@ def test_result_files(spark, tmp_path):
     put(tmp_path / "b.xml", RESULT.format(basis="Non-Consolidated", rev="InterestEarned"))
     put(tmp_path / "c.xml", "<xbrl><Other contextRef='x'>1</Other></xbrl>")
     put(tmp_path / "d.xml", "not xml")
-    rows = {r["doc"][-5]: r for r in xbrl.result_instances(xbrl.read_facts(spark, str(tmp_path))).collect()}
+    facts = xbrl.read_facts(spark, str(tmp_path))
+    assert [(r["doc"][-5], r["error"].split(":")[0]) for r in facts.where("error IS NOT NULL").collect()] == [("d", "unreadable")]
+    rows = {r["doc"][-5]: r for r in xbrl.result_instances(facts).collect()}
     assert set(rows) == {"a", "b"}
     a = rows["a"]
     assert (a["symbol"], a["revenue"], a["pat"], a["basis"], a["audited"], a["quarterly"]) == ("ACME", 1e6, 150000.0, "consolidated", False, True)
