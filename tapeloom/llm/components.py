@@ -16,7 +16,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Edges may repeat and may be loops; an empty table gives an empty table.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    # written before both directions are read from it, so that every link has its reverse
+    pairs = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "pairs")
     links = stage(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     roots = stage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "roots")
     while roots.where("moved").limit(1).count():

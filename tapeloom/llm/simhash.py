@@ -134,7 +134,8 @@ def bucket_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     ship_package(prints.sparkSession)
     keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])).alias("k"))
     rows = keyed.select(F.col("k.t").cast("int").alias("t"), F.col("k.key").alias("key"), "fp")
-    sorted_rows = rows.repartition("t", "key").sortWithinPartitions("t", "key")
+    # sorted by fingerprint as well: whoever computes a bucket again gets the same forest
+    sorted_rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.zeros(0, dtype=np.int32)

@@ -113,6 +113,23 @@ def test_components_of_a_chain(spark):
     assert found == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_components_of_edges_that_change_when_computed_again(spark):
+    # a star around a random member: each evaluation gives other edges of the same component
+    def star(batches):
+        import random
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            hub = random.choice(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([hub] * len(ids))], names=["a", "b"])
+
+    for _ in range(3):
+        edges = spark.range(0, 40, 1, 1).mapInArrow(star, "a long, b long")
+        assert {r.root for r in components.components(edges, "a", "b").collect()} == {0}
+
+
 def test_line_dedup_keeps_short_and_first_lines(spark):
     passage = "this passage of many words stands in several documents and goes from the later ones"
     rows = [(1, f"first\n{passage}\nend", "en"), (2, f"second\n{passage}\nend of it", "en"), (3, "yes\nown words of three", "en"), (4, "yes\nother words of four", "en"), (5, passage, "en")]
