@@ -62,9 +62,10 @@ def collect_updates(counts: DataFrame, name: str, root: str, mode: str = "update
     writer.foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, root: str, batch_id: int, by: str | None = None) -> None:
     """One folder per micro-batch, replaced as a whole when the batch is retried."""
-    df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    writer = df.write.mode("overwrite")
+    (writer if by is None else writer.partitionBy(by)).parquet(f"{root}/batch={batch_id}")
 
 
 def written(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:

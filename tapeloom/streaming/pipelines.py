@@ -8,7 +8,7 @@ from tapeloom.operators.keyed import dedup_filings
 from tapeloom.plans import alerts, rules
 from tapeloom.sources import feeds
 from tapeloom.streaming import bus
-from tapeloom.streaming.stateful import limit_alerts
+from tapeloom.streaming.stateful import HOUR_US, limit_alerts
 
 FILING = "filing_id bigint, feed string, symbol string, subject string, description string"
 CLASSIFIED = "filing_id bigint, symbol string, category string, materiality int, sentiment double, confidence double, routine boolean"
@@ -105,19 +105,21 @@ def run_budget(spark: SparkSession, high: DataFrame, root: str) -> None:
     """Stream of alerts -> root/decisions (alert_id, observed_at, sent) under the hourly budget.
 
     Alerts sent in the hour before a batch join its fold: they were admitted once and are
-    admitted again, so the batch starts from the right budget.
+    admitted again, so the batch starts from the right budget. An alert that arrives late, after
+    later ones were sent, is decided by the alerts sent in the hour before its own time alone; what
+    was sent stays sent, so an hour that contains it may end above the budget by late alerts.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         columns = ["alert_id", "severity", "observed_at"]
         rows = batch.select(*columns)
         stored = bus.written(spark, f"{root}/decisions", before=batch_id)
-        if stored is not None:
-            first = rows.agg(F.min("observed_at").alias("_first"))
-            recent = stored.where(F.col("sent")).select(*columns).crossJoin(F.broadcast(first))
-            recent = recent.where(F.col("observed_at") >= F.col("_first") - F.expr("INTERVAL 1 HOUR")).drop("_first")
+        first = rows.agg(F.min(F.unix_micros("observed_at")).alias("us")).first()["us"]
+        if stored is not None and first is not None:
+            # decisions lie in folders by hour: only those of the hour before are read
+            recent = stored.where((F.col("hour") >= first // HOUR_US - 1) & F.col("sent") & (F.unix_micros("observed_at") >= first - HOUR_US)).select(*columns)
             decided = limit_alerts(rows.unionByName(recent)).join(recent.select("alert_id"), "alert_id", "left_anti")
         else:
             decided = limit_alerts(rows)
-        bus.write_batch(decided.select(*columns, "sent"), f"{root}/decisions", batch_id)
+        bus.write_batch(decided.select(*columns, "sent", F.floor(F.unix_micros("observed_at") / HOUR_US).alias("hour")), f"{root}/decisions", batch_id, by="hour")
 
     bus.consume(high, "budget", f"{root}/_ck_budget", handle)
