@@ -127,8 +127,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     """(id, version, removed): the places of the lines to delete, for documents that lose any."""
     ship_package(df.sparkSession)
     docs = stage(listed(df, id_col, text_col).dropDuplicates(["id", "version"]), "lines")
-    # exact copies: one version is one text; nothing is grouped after the joins on it, so Spark can split a text with many copies
-    first = docs.groupBy("version").agg(F.min("id").alias("head"))
+    # exact copies: one version is one text; nothing is grouped in the stage of this join, so Spark can split a text with many copies
+    first = stage(docs.groupBy("version").agg(F.min("id").alias("head")), "first-copies")
     placed = stage(docs.join(first, "version"), "placed-lines")
     heads = placed.where("id = head")
     doc = F.struct("id", "version").alias("doc")
