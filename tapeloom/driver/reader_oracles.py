@@ -46,7 +46,8 @@ oracle("text_markers", """SELECT event_id, CASE WHEN s > 0.15e0 THEN '+' WHEN s
 oracle("muhurat_days", "SELECT year, count(*) AS n, CASE year WHEN 2024 THEN DATE '2024-11-01' WHEN 2025 THEN DATE '2025-10-21' WHEN 2026 THEN DATE '2026-11-08' END AS muhurat FROM (SELECT year(o_orderdate) % 4 + 2023 AS year FROM orders) GROUP BY 1")
 oracle("freshness_split", f"SELECT feed, observed_at >= {NOW} - INTERVAL {K.FRESH_HOURS} HOUR AS fresh, count(*) AS n FROM filings GROUP BY 1, 2")
 oracle("score_events", """SELECT CASE agent WHEN 'a3' THEN 'fundamental.scored' WHEN 'a4' THEN 'technical.scored' WHEN 'a5' THEN 'flow.scored' ELSE 'risk.assessed' END AS topic,
-    '{"symbol":"' || symbol || '"' || (CASE WHEN score IS NOT NULL THEN ',"score":' || cast(score as string) ELSE '' END) || ',"score_id":' || score_id || '}' AS payload FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5', 'a6')""")
+    '{"symbol":"' || symbol || '"' || (CASE WHEN score IS NOT NULL THEN ',"score":' || cast(score as string) ELSE '' END) || ',"score_id":' || score_id || '}' AS payload FROM stored_scores WHERE agent IN ('a3', 'a4', 'a5', 'a6')
+    UNION ALL SELECT 'signal.issued', '{"symbol":"' || symbol || '","profile":"' || profile || '","stance":"' || stance || '","signal_id":' || signal_id || '}' FROM signals""")
 oracle("report_sink", "SELECT 'event_counts' AS name, event_type, count(*) AS n FROM events GROUP BY 2")
 
 # ---------------------------------------------------------------- chained views

@@ -202,11 +202,11 @@ def freshness_split(t):
 
 @query
 def score_events(t):
-    """Topic rows beside the stored scores, one topic for each family."""
-    out = None
+    """Topic rows beside the stored scores and signals, one topic for each family."""
+    out = feeds.outbox_rows(t.signals, "signal.issued", "symbol", "profile", "stance", "signal_id")
     for agent, topic in (("a3", "fundamental.scored"), ("a4", "technical.scored"), ("a5", "flow.scored"), ("a6", "risk.assessed")):
         rows = feeds.outbox_rows(t.stored_scores.where(F.col("agent") == agent), topic, "symbol", "score", "score_id")
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(rows)
     return out
 
 

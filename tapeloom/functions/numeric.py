@@ -65,10 +65,6 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)
 
 
-def in_list(x: Column, values) -> Column:
-    return x.isin(list(values))
-
-
 def scale_percent(x: Column) -> Column:
     """Shareholding percent: fractions up to 1 become percent, larger values are percent."""
     return F.when(x <= 1.0, py_round(x * 100.0, 2)).otherwise(py_round(x, 2))
@@ -76,8 +72,3 @@ def scale_percent(x: Column) -> Column:
 
 def within_tolerance(ours: Column, theirs: Column, pct: float, absolute: float) -> Column:
     return F.abs(ours - theirs) <= F.greatest(F.abs(theirs) * pct, F.lit(absolute))
-
-
-def min_max(x: Column, lo: Column, hi: Column) -> Column:
-    """Min-max position of ``x``; one half when the range is empty."""
-    return F.when(hi == lo, F.lit(0.5)).otherwise((x - lo) / (hi - lo))

@@ -77,11 +77,6 @@ def uniqueness_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
-def missing_from(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work not done yet."""
-    return df.join(done.select(*keys), list(keys), "left_anti")
-
-
 def priority_worklist(tiers: Sequence[DataFrame], key: str, limit: int | None) -> DataFrame:
     """First tier of every key wins; ordered by tier then key and cut there, or all without a limit."""
     ranked = [t.select(key).distinct().withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)]

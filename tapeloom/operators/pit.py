@@ -74,11 +74,6 @@ def pit_classified(
     ).limit(limit)
 
 
-def event_visible(day: Column, event_at: Column, period_end: Column, lag_days: int) -> Column:
-    """Reconstructed visibility: the broadcast time, else period end plus a fixed lag."""
-    return F.coalesce(event_at, F.date_add(period_end, lag_days)) <= day
-
-
 def trailing(ts: Column, as_of: Column | datetime | date, interval: str) -> Column:
     """``as_of - interval <= ts <= as_of``; both bounds, so replays cannot see ahead."""
     end = as_of if isinstance(as_of, Column) else F.lit(as_of)

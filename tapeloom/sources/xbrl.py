@@ -132,9 +132,10 @@ def keep_revision(rows: DataFrame) -> DataFrame:
         rows.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max(order).alias("_last")), "revision-keys"
     )
     conflict = F.coalesce(F.col("_hi") > 5 * F.col("_lo"), F.lit(False))
-    clash = spread.where(conflict).select(*key)
+    clash = stage(spread.where(conflict).select(*key), "clashing-keys")
     medians = other_period_medians(rows, clash.select("symbol", "period_end").distinct())
-    contested = rows.join(clash, key, "left_semi").join(medians, ["symbol", "period_end"], "left")
+    # few rows that two steps read
+    contested = stage(rows.join(clash, key, "left_semi").join(medians, ["symbol", "period_end"], "left"), "contested")
     distance = F.coalesce(F.abs(value - F.col("_median")), F.lit(float("inf")))
     nearest = contested.withColumn("_d", distance).groupBy(*key).agg(
         F.max_by(order, F.struct(-F.col("_d"), order)).alias("_from")

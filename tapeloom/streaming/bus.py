@@ -120,7 +120,3 @@ def session_counts(stream: DataFrame, time: str, key: str, *, delay: str = "1 ho
         stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n")
     )
-
-
-def lag(head: Column, acked: Column) -> Column:
-    return F.coalesce(head, F.lit(0)) - F.coalesce(acked, F.lit(0))
