@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -30,6 +32,24 @@ def schema(*fields: tuple[str, DataType]) -> StructType:
     return StructType([StructField(name, kind, True) for name, kind in fields])
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a text column, one row at least.
+
+    What a task holds as Python objects then depends on its longest text, not on the number of long ones.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def per_row(
     df: DataFrame,
     text_col: str,
@@ -55,7 +75,7 @@ def per_row(
 
         arrow = to_arrow_schema(out)
         score = make()
-        for batch in batches:
+        for batch in portions(batches, width):
             rows = [score(t) for t in batch.column(width).to_pylist()]
             columns = list(zip(*rows)) if rows else [[] for _ in outputs]
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(width)]

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tapeloom.llm.common import ship_package
+from tapeloom.llm.common import portions, ship_package
 from tapeloom.sources.sinks import stage
 
 #: Tokens of the shortest repeat that counts as boilerplate.
@@ -202,7 +202,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
         arrow = to_arrow_schema(out)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in portions(batches, 2):
             texts, opens, streams, hosts = [], [], [], []
             urls = batch.column(1).to_pylist()
             for url, page in zip(urls, batch.column(2).to_pylist()):

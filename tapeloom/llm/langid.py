@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType, StructField
 
-from tapeloom.llm.common import Memo, schema, ship_package
+from tapeloom.llm.common import Memo, portions, schema, ship_package
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -80,16 +80,18 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         memo = alphabet()
-        for batch in batches:
+        for batch in portions(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = counts.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
                 own[BUCKETS] += 1
                 points = letters_only(text, memo)
                 if points.size > 1:
                     for piece in windows(points):
-                        own[:BUCKETS] += np.bincount(grams(piece), minlength=BUCKETS) if piece.size > 4000 else 0
-                        if piece.size <= 4000:
-                            np.add.at(own, grams(piece), 1)
+                        found = grams(piece)
+                        if found.size > 4 * BUCKETS:
+                            own[:BUCKETS] += np.bincount(found, minlength=BUCKETS)
+                        else:
+                            np.add.at(own, found, 1)
         for lang, own in counts.items():
             there = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +123,7 @@ def predict(df: DataFrame, model, id_cols: list[str], text_col: str = "text") ->
         log_prob, prior = sent.value
         arrow = to_arrow_schema(out)
         memo = alphabet()
-        for batch in batches:
+        for batch in portions(batches, width):
             texts = batch.column(width).to_pylist()
             total = np.zeros((len(texts), len(langs)))
             sizes = np.zeros(len(texts))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
 
-from tapeloom.llm.common import Memo, per_row, schema, ship_package
+from tapeloom.llm.common import Memo, per_row, portions, schema, ship_package
 from tapeloom.sources.sinks import stage
 
 SAMPLE = 10_000
@@ -104,7 +104,7 @@ def count_features(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
         memo = Memo(word_features, 200_000)
-        for batch in batches:
+        for batch in portions(batches, 0):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 there = {b for w in set(WORD.findall(text.lower())) for b in memo[w]}
                 counts[y, np.fromiter(there, dtype=np.int64, count=len(there))] += 1
@@ -130,7 +130,7 @@ def sentence_rows(sample: DataFrame, buckets: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(lambda w: [place[b] for b in word_features(w) if b in place], 200_000)
         table = swaps()
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, ys, own, other, nth = [], [], [], [], []
             for i, text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = [([], None)]

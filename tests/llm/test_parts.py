@@ -171,3 +171,15 @@ def test_html_zones():
     assert [t for z, t in htmltext.blocks(page) if z == "main"] == ["A & B", "one two <x>", "three"]
     for odd in ["", "<", "<!--", "<script>", "a<b", "<p title='x>y", "&am &amp &#0;", "</div></p>"]:
         htmltext.blocks(odd)
+
+
+def test_portions_keep_every_row_in_order():
+    import pyarrow as pa
+
+    from tapeloom.llm.common import portions
+
+    texts = ["a" * n for n in (0, 5, 50, 3, 3, 3, 200, 0, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["i", "t"])
+    parts = list(portions(iter([batch, batch.slice(0, 0)]), 1, 10))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10))
+    assert all(p.num_rows <= 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10 for p in parts)
