@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-import pytest
-from pyspark.sql import functions as F
 
 from tapeloom.streaming import bus, pipelines, stateful
 
