@@ -180,14 +180,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(label, "fp").select(id_col, "fp", "component_id")
 
 
-def first_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row with the least id stays.
+def keep_first(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates, ``found`` being (id, component_id) of each row with an id.
 
-    Rows that share an id are one document: they stay if one of them is the least of its component,
-    and equal rows among them stay once. Rows with a null id have no place in the order of ids and
-    all stay.
+    Of each component the row with the least id stays. Rows that share an id are one document: they
+    stay if one of them is the least of its component, and equal rows among them stay once. Rows with
+    a null id have no place in the order of ids and all stay.
     """
-    found = stage(near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, radius), "near-duplicates")
+    found = stage(found, "near-duplicates")
     ids = found.groupBy(id_col).agg(F.max("component_id").alias("component_id"), F.count("*").alias("n"))
     gone = ids.where(F.col(id_col) != F.col("component_id")).select(id_col)
     stays = df.join(gone, id_col, "left_anti")
@@ -196,3 +196,8 @@ def first_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return stays.select(*df.columns)
     again = stays.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
     return stays.join(repeated, id_col, "left_anti").select(*df.columns).unionByName(again.select(*df.columns))
+
+
+def first_of_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df`` without near-duplicates by fingerprint, see ``keep_first``."""
+    return keep_first(df, near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, radius), id_col, text_col)
