@@ -4,13 +4,15 @@ A page is parsed into blocks of text. Markup settles most of them: what stands i
 ``main`` is main text; menus, headers, footers, sidebars, notices, adverts, forms and comments are
 not. All blocks outside the main text go into their host's token stream. Each task sorts the suffixes
 of the streams it holds (a suffix array by prefix doubling, up to ``RUN`` tokens), which groups equal
-runs, and hands on each run once with the streams it stands in; Spark merges these groups over all
-tasks. A run that stands in ``PAGES`` or more distinct streams of the host is boilerplate. Since any
-longer repeat consists of repeated runs, what these runs cover is what repeats of ``RUN`` tokens or
-more cover, and no host has to be gathered in one place.
-
-Pages without main markup keep, of their open blocks, the tokens that no boilerplate run covers. If
-nothing is left, as for a page whose text is repeated as a whole, the open blocks stay. Copies of a
+runs, and hands on each run once with the streams it stands in, and each block as a whole likewise;
+Spark merges these groups over all tasks. A run or a whole block that stands in ``PAGES`` or more
+distinct streams of the host is boilerplate. Since any longer repeat consists of repeated runs, what
+these runs cover is what repeats of ``RUN`` tokens or more cover, and no host has to be gathered in
+one place. Shorter repeats within blocks are ordinary phrases, which a large host has many of; words
+that stand beside boilerplate on a few of its pages are no part of it.
+
+Pages without main markup keep, of their open blocks, those that are no boilerplate as a whole, and of
+these the tokens that no boilerplate run covers. If nothing is left, as for a page whose text is repeated as a whole, the open blocks stay. Copies of a
 page have equal streams and count once, so they do not make each other boilerplate.
 
 Null or empty html and pages without text give an empty text. A null url is a host of its own.
@@ -27,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tapeloom.llm.common import portions, ship_package
 from tapeloom.sources.sinks import stage
 
-#: Tokens of the shortest repeat that counts as boilerplate.
-RUN = 4
-#: Distinct streams of a host that a boilerplate run stands in.
+#: Tokens of the shortest repeat that counts as boilerplate within a block or across blocks.
+RUN = 20
+#: Distinct streams of a host that a boilerplate run or block stands in.
 PAGES = 3
 
 #: Element names and the words in class, id and role that mark page furniture.
@@ -189,13 +191,13 @@ def run_hash(tokens: list[str]) -> int:
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Per page: (row, id, url, host, text or null, open blocks if there is no main text, stream, run hashes)."""
+    """Per page: (row, id, url, host, text or null, open blocks if there is no main text, stream, run hashes, block hashes)."""
     ship_package(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     longs = ArrayType(LongType())
     out = StructType([
         StructField("row", LongType()), source.schema["id"], source.schema["url"], StructField("host", StringType()), StructField("text", StringType()),
-        StructField("open", ArrayType(StringType())), StructField("stream", LongType()), StructField("runs", longs)])
+        StructField("open", ArrayType(StringType())), StructField("stream", LongType()), StructField("runs", longs), StructField("whole", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -203,7 +205,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
         arrow = to_arrow_schema(out)
         row = TaskContext.get().partitionId() << 33
         for batch in portions(batches, 2):
-            texts, opens, streams, hosts = [], [], [], []
+            texts, opens, streams, whole, hosts = [], [], [], [], []
             urls = batch.column(1).to_pylist()
             for url, page in zip(urls, batch.column(2).to_pylist()):
                 found = blocks(page)
@@ -212,7 +214,9 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                 texts.append("\n".join(main) if main or not rest else None)
                 opens.append(None if main or not rest else rest)
                 # undecided pages are judged by their open blocks, the others give all that is not main text
-                streams.append([w for z, t in found if z == "open" or (main and z == "furniture") for w in t.split(" ")])
+                judged = [t.split(" ") for z, t in found if z == "open" or (main and z == "furniture")]
+                streams.append([w for b in judged for w in b])
+                whole.append([run_hash([""] + b) for b in judged])  # no token is empty, so no run has such a hash
                 hosts.append(host_of(url))
             hashes: list = [None] * len(streams)
             for host in set(hosts):
@@ -227,7 +231,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                             own.append(known[r])
                     hashes[i] = own
             arrays = [pa.array(range(row, row + len(texts)), pa.int64()), batch.column(0).cast(arrow.field(1).type), batch.column(1).cast(arrow.field(2).type)]
-            arrays += [pa.array(v, arrow.field(3 + k).type) for k, v in enumerate((hosts, texts, opens, [run_hash(s) for s in streams], hashes))]
+            arrays += [pa.array(v, arrow.field(3 + k).type) for k, v in enumerate((hosts, texts, opens, [run_hash(s) for s in streams], hashes, whole))]
             row += len(texts)
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
@@ -235,19 +239,32 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def boilerplate(parsed: DataFrame, pages: int = PAGES) -> DataFrame:
-    """(host, run): runs that stand in ``pages`` or more distinct streams of a host."""
-    each = parsed.select("host", "stream", F.explode(F.array_distinct("runs")).alias("run")).distinct()
-    return each.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= pages).select("host", "run")
-
-
-def unique_runs(open_blocks: list[str], covered: list[int]) -> str:
-    """The open blocks without the tokens that runs beginning at the covered places take up."""
-    gone = {p + k for p in covered for k in range(RUN)}
-    kept, place = [], 0
-    for block in open_blocks:
-        words = block.split(" ")
-        rest = [w for k, w in enumerate(words) if place + k not in gone]
-        place += len(words)
+    """(host, run, n): runs and whole blocks that stand in ``pages`` or more distinct streams of a host."""
+    each = parsed.select("host", "stream", F.explode(F.array_union("runs", "whole")).alias("run")).distinct()
+    return each.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
+
+
+def unique_runs(open_blocks: list[str], covered: list[tuple[int, int]]) -> str:
+    """The open blocks without whole blocks and runs that are boilerplate.
+
+    ``covered`` has (place, streams): a run of tokens begins at the place, or block k as a whole has
+    the place -1 - k. A run that overlaps one of more than twice its streams is that one with words
+    that happen to stand beside it on some pages; those words stay.
+    """
+    listed = [block.split(" ") for block in open_blocks]
+    starts = [0]
+    for words in listed:
+        starts.append(starts[-1] + len(words))
+    spans = [((p, p + RUN) if p >= 0 else (starts[-1 - p], starts[-p])) + (n, p < 0) for p, n in covered]
+    peak, gone = np.zeros(starts[-1], dtype=np.int64), np.zeros(starts[-1], dtype=bool)
+    for a, b, n, _ in spans:
+        np.maximum(peak[a:b], n, out=peak[a:b])
+    for a, b, n, whole in spans:
+        if whole or 2 * n >= peak[a:b].max():
+            gone[a:b] = True
+    kept = []
+    for words, a in zip(listed, starts):
+        rest = [w for k, w in enumerate(words) if not gone[a + k]]
         if rest:
             kept.append(" ".join(rest))
     return "\n".join(kept or open_blocks)
@@ -258,9 +275,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = stage(parse(pages, id_col, url_col, html_col), "pages")
     decided = parsed.where(F.col("text").isNotNull()).select("id", "url", "text")
     undecided = parsed.where(F.col("text").isNull())
-    places = undecided.select("row", "host", F.posexplode("runs").alias("place", "run"))
-    covered = places.join(boilerplate(parsed), ["host", "run"]).groupBy("row").agg(F.collect_list("place").alias("covered"))
-    joined = undecided.select("row", "id", "url", "open").join(covered, "row", "left").select("id", "url", "open", F.coalesce("covered", F.array().cast(ArrayType(IntegerType()))).alias("covered"))
+    runs = undecided.select("row", "host", F.posexplode("runs").alias("place", "run"))
+    whole = undecided.select("row", "host", F.posexplode("whole").alias("block", "run"))
+    places = runs.unionByName(whole.select("row", "host", (-1 - F.col("block")).alias("place"), "run"))
+    covered = places.join(boilerplate(parsed), ["host", "run"]).groupBy("row").agg(F.collect_list(F.struct("place", "n")).alias("covered"))
+    joined = undecided.select("row", "id", "url", "open").join(covered, "row", "left").select("id", "url", "open", "covered")
     out = StructType([joined.schema["id"], joined.schema["url"], StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +287,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            texts = [unique_runs(b, c) for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [unique_runs(b, [(x["place"], x["n"]) for x in c or []]) for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), batch.column(1).cast(arrow.field(1).type), pa.array(texts, pa.string())], schema=arrow)
 
     every = decided.unionByName(joined.mapInArrow(run, out))
