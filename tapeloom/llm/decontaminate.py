@@ -5,7 +5,8 @@ matter: of each window the rarest term by corpus count, with every position of i
 and the words around that position. Windows then meet the posting lists of their rarest term; the
 offset moves a posting to where the window would begin, the list is intersected with the second
 rarest term at its own offset, and what is left is compared with the whole window. Windows without an
-exact match whose two rarest terms stand close together are proximity matches.
+exact match whose two rarest terms stand close together are proximity matches; terms that the corpus
+lacks are passed over there.
 
 All steps are DataFrame operations. The terms and windows of the test items are broadcast where their
 written size is small (``BROADCAST_MB``); beyond that Spark joins them by shuffle, with the same result.
@@ -69,13 +70,15 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchored(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows with their rarest and second rarest terms and the offsets of these; windows with a term
-    that the corpus lacks can't occur and are left out."""
+    """Windows with their rarest and second rarest terms of the corpus and the offsets of these.
+
+    Windows with a term that the corpus lacks can't occur as a whole, but their two rarest known terms
+    may stand close together; with less than two they are left out."""
     places = wins.select("window", F.size("terms").alias("len"), F.posexplode("terms").alias("offset", "word"))
     known = places.join(small(counts), F.lower("word") == F.col("term"))
     ranked = known.groupBy("window", "len").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term", "word"))).alias("by"))
     second = F.try_element_at("by", F.lit(2))
-    return ranked.where(F.size("by") == F.col("len")).select(
+    return ranked.where((F.size("by") == F.col("len")) | (F.size("by") > 1)).select(
         "window", "len", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["offset"].alias("offset"),
         second["word"].alias("word2"), second["offset"].alias("offset2"))
 
@@ -100,7 +103,7 @@ def matches(index: DataFrame, anchors: DataFrame, wins: DataFrame) -> DataFrame:
     agrees = F.col("word2").isNull() | (lower(F.try_element_at("around", at + F.col("offset2") + 1)) == F.col("word2"))
     phrase = lower(F.array_join(F.slice("around", F.greatest(F.lit(1), at + 1), F.col("len")), " "))
     exact = F.coalesce((at >= 0) & agrees & (phrase == F.col("window")), F.lit(False))
-    close = F.coalesce(F.array_contains("around", F.col("word2")), F.lit(False))
+    close = F.coalesce(F.exists("around", lambda w: lower(w) == F.col("word2")), F.lit(False))
     judged = met.select("id", "version", (F.col("pos") - F.col("offset")).alias("start"), "len", "window", exact.alias("exact"), close.alias("close"))
     return judged.where("exact or close").join(small(texts), "window")
 
