@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import centroids, decontaminate, filteraudit, htmltext, langid, linededup, lm, pieces, pii, quality, simhash, toxicity
+from tapeloom.llm import centroids, decontaminate, filteraudit, htmltext, langid, linededup, lm, pieces, pii, quality, simhash, subword, toxicity
 from tapeloom.llm.common import remainder_is, table
 
 
@@ -56,11 +56,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_subwordquality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder_is("doc_id", 4, 2))
+
+
 def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op3_html, op4_sentencepiece, op5_langid, op6_linededup, op7_lm, op8_simhash, op9_quality, op10_decontaminate, op11_centroids, op13_filteraudit)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op3_html, op4_sentencepiece, op5_langid, op6_linededup, op7_lm, op8_simhash, op9_quality, op10_decontaminate, op11_centroids, op12_subwordquality, op13_filteraudit)
 }
 ORACLES: dict[str, str] = {"op11_centroids": centroids.cluster_sql(), "op13_filteraudit": filteraudit.audit_sql()}
