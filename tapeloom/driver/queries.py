@@ -377,7 +377,7 @@ def uniqueness_check(t):
 def exact_document_dedup(t):
     files = t.documents.select(F.concat(F.lit("https://files.example/"), F.col("doc_id"), F.lit(".txt")).alias("url"),
                                F.encode("text", "utf-8").alias("content"))
-    return documents.catalogue(files, cap=20_000).select("sha256", F.col("bytes").cast("bigint").alias("bytes"), "copies", "url", "path", "fetch_status", "fetch_error")
+    return documents.catalogue(files).select("sha256", F.col("bytes").cast("bigint").alias("bytes"), "copies", "url", "path", "fetch_status", "fetch_error")
 
 
 @query

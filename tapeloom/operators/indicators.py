@@ -1,23 +1,15 @@
 """Series indicators at every bar, as windows over (symbol, trade_date).
 
 All columns share one partitioning and one order, so a chain of them costs one shuffle and
-one sort. Wilder averages are a first-order recursion ``a = q*a + x/n`` with ``q = (n-1)/n``;
-their closed form is a running sum of ``x * q**-i`` scaled back by ``q**i``, which Spark
-evaluates incrementally. The newest terms dominate that sum, so it loses no precision, and
-the shifted exponent keeps it in range for 18,000 bars (about 70 years of sessions). Longer series
-take ``any_length=True``: the recursion itself, streamed over sorted bars with a state of one number
-per average. The closed form refuses such a series instead of returning a wrong number.
+one sort. Wilder averages are a first-order recursion ``a = q*a + x/n`` with ``q = (n-1)/n``. Spark's
+exponentially weighted window function is that recursion with another seed; the seed's difference fades
+by ``q`` a bar, so both are evaluated incrementally, in the plan, for series of any length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
-
-from tapeloom.operators.fold import ordered_fold
-
-_SHIFT = 9000
-_LIMIT = 18000
+from pyspark.sql.internal import InternalFunction
 
 
 def by_date(symbol: str = "symbol", time: str = "trade_date"):
@@ -42,48 +34,35 @@ def wilder(x: Column, i: Column, n: int, w, average: bool = True) -> Column:
     """Wilder smoothing of ``x`` numbered ``i`` = 1, 2, …; null before ``i = n``.
 
     ``average=True`` smooths means (seed: mean of the first n); otherwise sums
-    (seed: sum of the first n, then ``s - s/n + x``).
+    (seed: sum of the first n, then ``s - s/n + x``). Null values count as nothing.
     """
     q = (n - 1) / n
-    e = F.greatest(i, F.lit(n)) - _SHIFT
-    # one base for both powers: its rounding cancels and only the distance i - j remains
-    term = F.when(i >= 1, x * F.pow(F.lit(q), -e))
-    total = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    value = total * F.pow(F.lit(q), i - _SHIFT) / (n if average else 1)
-    guarded = F.when(i > _LIMIT, F.raise_error(F.lit("series longer than 18000 bars: use any_length=True"))).otherwise(value)
-    return F.when(i >= n, guarded)
-
-
-def smoothed(df: DataFrame, averages: dict[str, tuple[Column, Column]], n: int, symbol: str, average: bool = True, any_length: bool = False) -> DataFrame:
-    """Adds Wilder averages, each of (values, their number), by the closed form or by the recursion."""
-    if not any_length:
-        w = by_date(symbol)
-        return df.withColumns({name: wilder(x, i, n, w, average) for name, (x, i) in averages.items()})
-    inputs = {f"_x_{name}": F.when(i >= 1, x).cast("double") for name, (x, i) in averages.items()}
-    out = df.withColumns(inputs | {f"_i_{name}": i.cast("long") for name, (_, i) in averages.items()})
-    for name in averages:
-        step = lambda state, x, i: _wilder_step(state, x, i, n, average)
-        out = ordered_fold(out, [symbol], ["trade_date"], [f"_x_{name}", f"_i_{name}"], lambda: 0.0, step, name, DoubleType())
-    return out.drop(*inputs, *[f"_i_{name}" for name in averages])
-
-
-def _wilder_step(state: float, x: float, i: int, n: int, average: bool) -> tuple[float, float | None]:
-    """Sum of the first ``n`` values, then the recursion; null values count as nothing."""
-    x = 0.0 if x is None or x != x else x
-    if i < 1:
-        return 0.0, None
-    state = state + x if i <= n else state - state / n + x
-    return state, (state / n if average else state) if i >= n else None
-
-
-def with_rsi(df: DataFrame, n: int = 14, symbol: str = "symbol", any_length: bool = False) -> DataFrame:
+    frame = w.rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(i >= 1, F.coalesce(F.nanvl(x, F.lit(None)), F.lit(0.0))).otherwise(0.0).cast("double")
+    # Spark's weighted mean of all rows so far, times its weights: the sum of x * q**age
+    rows = F.row_number().over(w)
+    weights = (1.0 - F.pow(F.lit(q), rows)) / (1.0 - q)
+    decayed = InternalFunction.ewm(value, 1.0 - q, False).over(frame) * weights
+    # the first n values count in full at i = n
+    missing = F.sum(F.when(i <= n, value * (1.0 - F.pow(F.lit(q), n - i)))).over(frame)
+    total = decayed + missing * F.pow(F.lit(q), i - n)
+    return F.when(i >= n, total / (n if average else 1))
+
+
+def smoothed(df: DataFrame, averages: dict[str, tuple[Column, Column]], n: int, symbol: str, average: bool = True) -> DataFrame:
+    """Adds Wilder averages, each of (values, their number)."""
+    w = by_date(symbol)
+    return df.withColumns({name: wilder(x, i, n, w, average) for name, (x, i) in averages.items()})
+
+
+def with_rsi(df: DataFrame, n: int = 14, symbol: str = "symbol") -> DataFrame:
     """Adds ``rsi``; needs ``bar_no``, ``close``."""
     w = by_date(symbol)
     move = F.col("close") - F.lag("close").over(w)
     df = df.withColumn("_move", move)
     i = F.col("bar_no") - 1
     gain, loss = F.greatest(F.col("_move"), F.lit(0.0)), F.greatest(-F.col("_move"), F.lit(0.0))
-    df = smoothed(df, {"_gain": (gain, i), "_loss": (loss, i)}, n, symbol, any_length=any_length)
+    df = smoothed(df, {"_gain": (gain, i), "_loss": (loss, i)}, n, symbol)
     rsi = F.when(F.col("_loss") == 0, 100.0).otherwise(
         100.0 - 100.0 / (1.0 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0)))
     )
@@ -98,12 +77,12 @@ def with_true_range(df: DataFrame, symbol: str = "symbol") -> DataFrame:
     return df.withColumn("_tr", tr)
 
 
-def with_atr(df: DataFrame, n: int = 14, symbol: str = "symbol", any_length: bool = False) -> DataFrame:
+def with_atr(df: DataFrame, n: int = 14, symbol: str = "symbol") -> DataFrame:
     df = with_true_range(df, symbol)
-    return smoothed(df, {"atr": (F.col("_tr"), F.col("bar_no") - 1)}, n, symbol, any_length=any_length).drop("_tr")
+    return smoothed(df, {"atr": (F.col("_tr"), F.col("bar_no") - 1)}, n, symbol).drop("_tr")
 
 
-def with_adx(df: DataFrame, n: int = 14, symbol: str = "symbol", any_length: bool = False) -> DataFrame:
+def with_adx(df: DataFrame, n: int = 14, symbol: str = "symbol") -> DataFrame:
     """Adds ``adx``, ``plus_di``, ``minus_di``; null below 2n+1 bars."""
     w = by_date(symbol)
     up = F.col("high") - F.lag("high").over(w)
@@ -112,13 +91,13 @@ def with_adx(df: DataFrame, n: int = 14, symbol: str = "symbol", any_length: boo
     plus = F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)
     minus = F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)
     i = F.col("bar_no") - 1
-    df = smoothed(df, {"_trs": (F.col("_tr"), i), "_ps": (plus, i), "_ms": (minus, i)}, n, symbol, average=False, any_length=any_length)
+    df = smoothed(df, {"_trs": (F.col("_tr"), i), "_ps": (plus, i), "_ms": (minus, i)}, n, symbol, average=False)
     di = lambda s: F.when(F.col("_trs") != 0, 100.0 * F.col(s) / F.nullif(F.col("_trs"), F.lit(0.0))).otherwise(0.0)
     df = df.withColumns({"_pdi": F.when(i > n, di("_ps")), "_mdi": F.when(i > n, di("_ms"))})
     both = F.col("_pdi") + F.col("_mdi")
     dx = F.when(both == 0, 0.0).otherwise(100.0 * F.abs(F.col("_pdi") - F.col("_mdi")) / F.nullif(both, F.lit(0.0)))
     df = df.withColumn("_dx", dx)
-    df = smoothed(df, {"adx": (F.col("_dx"), F.col("bar_no") - 1 - n)}, n, symbol, any_length=any_length)
+    df = smoothed(df, {"adx": (F.col("_dx"), F.col("bar_no") - 1 - n)}, n, symbol)
     ready = F.col("adx").isNotNull()
     return df.withColumns(
         {"plus_di": F.when(ready, F.col("_pdi")), "minus_di": F.when(ready, F.col("_mdi"))}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType
 
 from tapeloom.constants import ALERT_MAX_HIGH_PER_HOUR, HYSTERESIS
-from tapeloom.operators.fold import ordered_fold
+from tapeloom.sources.sinks import ship_package, stage
 
 HOUR_US = 3_600_000_000
 
@@ -21,34 +22,103 @@ def admit(sent: list, at_us: int, budget: int) -> tuple[list, bool]:
     return live + [at_us], True
 
 
-def limit_alerts(alerts: DataFrame, budget: int = ALERT_MAX_HIGH_PER_HOUR) -> DataFrame:
+#: Candidate rows of a block of the budget's time line.
+BLOCK_ROWS = 1_000_000
+
+
+def admitted(times: np.ndarray, sent: list[int], budget: int) -> np.ndarray:
+    """Places of the ``times`` (sorted) that the budget admits, ``sent`` being the last times sent before.
+
+    One step for each alert sent, not for each alert: the next one is the first after the last that is
+    more than an hour later than the alert sent ``budget`` places before.
+    """
+    last, places, place = list(sent[-budget:]), [], 0
+    while True:
+        if len(last) >= budget:
+            place = max(place, int(np.searchsorted(times, last[-budget] + HOUR_US, side="right")))
+        if place >= times.size:
+            return np.array(places, dtype=np.int64)
+        places.append(place)
+        last.append(int(times[place]))
+        place += 1
+
+
+def time_blocks(candidates: DataFrame, block_rows: int) -> DataFrame:
+    """(block, us, alert_id): the candidates in blocks of about ``block_rows`` that follow each other in time.
+
+    Written once, so the borders stay where they are. Ties at an instant are few, so a dense hour is
+    several blocks, not a large one.
+    """
+    rows = stage(candidates, "budget-rows")
+    n = rows.count()
+    if n <= block_rows:
+        return rows.select(F.lit(0).alias("block"), "us", "alert_id")
+    return stage(rows.repartitionByRange(-(-n // block_rows), "us").withColumn("block", F.spark_partition_id()), "budget-blocks")
+
+
+def run_blocks(blocks: DataFrame, entry: dict[int, list[int]], budget: int, with_ids: bool) -> DataFrame:
+    """Decides the blocks named in ``entry`` from the sent times each begins with.
+
+    Gives (block, sent) with the last sent times at the block's end, or (alert_id) of what is sent.
+    """
+    times = sorted(entry)
+    known = blocks.where(F.col("block").isin(times)) if len(times) < 1000 else blocks
+    out = "alert_id long" if with_ids else "block int, sent array<long>"
+
+    def decide(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        if block not in entry:
+            return pa.table({"alert_id": pa.array([], pa.int64())} if with_ids else {"block": pa.array([], pa.int32()), "sent": pa.array([], pa.list_(pa.int64()))})
+        table = table.select(["us", "alert_id"]).sort_by([("us", "ascending"), ("alert_id", "ascending")])
+        us = table.column("us").to_numpy()
+        places = admitted(us, entry[block], budget)
+        if with_ids:
+            return table.select(["alert_id"]).take(pa.array(places))
+        return pa.table({"block": pa.array([block], pa.int32()), "sent": pa.array([(entry[block] + us[places].tolist())[-budget:]], pa.list_(pa.int64()))})
+
+    return known.groupBy("block").applyInArrow(decide, out)
+
+
+def block_entries(blocks: DataFrame, budget: int) -> dict[int, list[int]]:
+    """The sent times of the last hour at the start of each block, as the decisions before it leave them.
+
+    All blocks are decided at once from a guess of these times (none), then those whose guess the
+    decisions of their predecessor change are decided again. A guess becomes right as soon as it agrees
+    with what went before, so the result is that of one run in order, and a task holds one block. Hours
+    without many alerts end the influence of what came before them, so few rounds are usual; alerts that
+    exceed the budget without a pause need one round for each block. The driver holds ``budget`` numbers a block.
+    """
+    first = {r["block"]: r["us"] for r in blocks.groupBy("block").agg(F.min("us").alias("us")).collect()}
+    order = sorted(first)
+    entry: dict[int, list[int]] = {b: [] for b in order}
+    if len(order) < 2:
+        return entry
+    leaves: dict[int, list[int]] = {}
+    todo = dict(entry)
+    while todo:
+        leaves |= {r["block"]: list(r["sent"]) for r in run_blocks(blocks, todo, budget, with_ids=False).collect()}
+        todo = {}
+        for before, block in zip(order, order[1:]):
+            live = [t for t in leaves[before] if t >= first[block] - HOUR_US]
+            if live != entry[block]:
+                todo[block] = entry[block] = live
+    return entry
+
+
+def limit_alerts(alerts: DataFrame, budget: int = ALERT_MAX_HIGH_PER_HOUR, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``sent``: whether a high alert fits the budget of the trailing hour.
 
-    The budget is shared by all symbols, so a decision needs the decisions before it. Three
-    exact cuts keep that chain short and spread: alerts beyond the budget at one instant can
-    never be sent and are answered without the fold; a silence longer than an hour empties
-    the budget, so the stretches between silences are independent folds; and a fold carries
-    at most ``budget`` times from row to row, never its rows.
+    The budget is shared by all symbols, so a decision needs the decisions before it. Alerts beyond the
+    budget at one instant can never be sent and are answered before any ordering; the others form blocks
+    of time that are decided side by side (see :func:`block_entries`).
     """
+    ship_package(alerts.sparkSession)
     high = alerts.where(F.col("severity") == "high").withColumn("_us", F.unix_micros("observed_at"))
-    # instants with their neighbours: silences are found on hour buckets, not on rows
-    hours = high.groupBy(F.floor(F.col("_us") / HOUR_US).alias("_hour")).agg(
-        F.min("_us").alias("_first"), F.max("_us").alias("_last")
-    )
-    # one row per hour of the calendar
-    w = Window.orderBy("_hour")
-    prev = F.lag("_last").over(w)
-    opens = prev.isNull() | (F.col("_first") - prev > HOUR_US)
-    spans = hours.withColumn("_start", F.when(opens, F.col("_hour"))).select(
-        "_hour", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_stretch")
-    )
     rank = F.row_number().over(Window.partitionBy("_us").orderBy("alert_id"))
-    near = high.withColumn("_rank", rank).where(F.col("_rank") <= budget).withColumn("_hour", F.floor(F.col("_us") / HOUR_US))
-    near = near.join(spans, "_hour").select("alert_id", "_us", "_stretch")
-    decided = ordered_fold(
-        near, ["_stretch"], ["_us", "alert_id"], ["_us"], list, lambda sent, at: admit(sent, at, budget), "sent", BooleanType()
-    )
-    return high.join(decided.select("alert_id", "sent"), "alert_id", "left").withColumn("sent", F.coalesce("sent", F.lit(False))).drop("_us")
+    near = high.select("alert_id", "_us").withColumn("_rank", rank).where(F.col("_rank") <= budget)
+    blocks = time_blocks(near.select(F.col("_us").alias("us"), F.col("alert_id").cast("long").alias("alert_id")), block_rows)
+    sent = run_blocks(blocks, block_entries(blocks, budget), budget, with_ids=True).select("alert_id", F.lit(True).alias("sent"))
+    return high.join(sent, "alert_id", "left").withColumn("sent", F.coalesce("sent", F.lit(False))).drop("_us")
 
 
 class AlertBudget(StatefulProcessor):

@@ -42,9 +42,32 @@ def test_sma_and_short_series(spark):
     assert last(out, "s", "t") == (20.5, None)
 
 
-@pytest.mark.parametrize("closes,check", [(range(1, 40), lambda r: r == 100.0), (range(40, 1, -1), lambda r: r < 1)])
-def test_rsi_extremes(spark, closes, check):
-    assert check(last(ind.with_rsi(number_bars(bars(spark, closes))), "rsi")[0])
+def wave(n, start=240.0):
+    """A series that drifts in a sawtooth: seven bars up by 1.5 %, four down by 2 %."""
+    closes = [start]
+    for i in range(n - 1):
+        closes.append(closes[-1] * (1.015 if i % 11 < 7 else 0.98))
+    return closes
+
+
+def fold_wilder(x, n, average=True):
+    """The recursion itself from the n-th value on."""
+    out, state = [], 0.0
+    for i, v in enumerate(x, 1):
+        state = state + v if i <= n else state - state / n + v
+        out.append(None if i < n else state / n if average else state)
+    return out
+
+
+@pytest.mark.parametrize("n", [15, 16, 47, 300])
+def test_rsi_follows_the_recursion(spark, n):
+    closes = wave(n)
+    assert last(ind.with_rsi(number_bars(bars(spark, closes))), "rsi")[0] == pytest.approx(fold_rsi(closes), rel=1e-11)
+
+
+def test_rsi_without_losses_is_full(spark):
+    closes = [75.0 * 1.01**i for i in range(33)]
+    assert last(ind.with_rsi(number_bars(bars(spark, closes))), "rsi")[0] == 100.0
 
 
 def test_rsi_needs_fifteen_bars(spark):
@@ -52,8 +75,12 @@ def test_rsi_needs_fifteen_bars(spark):
     assert [r[0] is None for r in out] == [True] * 14 + [False] * 6
 
 
-def test_atr_constant_range(spark):
-    assert last(ind.with_atr(number_bars(bars(spark, [100] * 30))), "atr")[0] == pytest.approx(4.0, abs=1e-12)
+def test_atr_follows_the_recursion(spark):
+    closes = wave(140)
+    ranges = [max(2 * 1.75, abs(c + 1.75 - p), abs(c - 1.75 - p)) for p, c in zip(closes, closes[1:])]
+    got = ind.with_atr(number_bars(bars(spark, closes, spread=1.75))).orderBy("trade_date").select("atr").collect()
+    want = [None] + fold_wilder(ranges, 14)
+    assert all((r[0] is None) == (w is None) and (w is None or r[0] == pytest.approx(w, rel=1e-11)) for r, w in zip(got, want))
 
 
 def test_adx_trend(spark):
@@ -67,7 +94,7 @@ def test_adx_needs_twenty_nine_bars(spark):
     assert [r[0] is None for r in out] == [True] * 28 + [False] * 2
 
 
-def test_closed_form_equals_fold_on_long_series(spark):
+def test_rsi_equals_fold_on_long_series(spark):
     rng = random.Random(5)
     closes = [1000.0]
     for _ in range(3000):
@@ -131,19 +158,35 @@ def long_bars(spark, n):
     return spark.createDataFrame(rows, BAR), [r[5] for r in rows]
 
 
-def test_both_forms_of_the_averages_agree(spark):
-    df = number_bars(long_bars(spark, 600)[0]).persist()
-    for add, names in ((ind.with_rsi, ["rsi"]), (ind.with_atr, ["atr"]), (ind.with_adx, ["adx", "plus_di", "minus_di"])):
-        a, b = (add(df, any_length=long).orderBy("trade_date").select(*names).collect() for long in (False, True))
-        for x, y in zip(a, b):
-            assert all((p is None) == (q is None) and (p is None or p == pytest.approx(q, rel=1e-9, abs=1e-9)) for p, q in zip(x, y))
+def fold_adx(rows, n=14):
+    """(adx, plus, minus) of each bar of (high, low, close)."""
+    tr, up, down = [], [], []
+    for (_, l0, c0), (h, l, _) in zip(rows, rows[1:]):
+        h0 = rows[len(tr)][0]
+        tr.append(max(h - l, abs(h - c0), abs(l - c0)))
+        u, d = h - h0, l0 - l
+        up.append(u if u > d and u > 0 else 0.0), down.append(d if d > u and d > 0 else 0.0)
+    t, p, m = (fold_wilder(x, n, average=False) for x in (tr, up, down))
+    plus = [100 * a / b if b else 0.0 for a, b in zip(p[n:], t[n:])]
+    minus = [100 * a / b if b else 0.0 for a, b in zip(m[n:], t[n:])]
+    dx = [100 * abs(a - b) / (a + b) if a + b else 0.0 for a, b in zip(plus, minus)]
+    return [(a, p, m) for a, p, m in zip(fold_wilder(dx, n), plus, minus)]
+
+
+def test_averages_follow_the_recursion_at_every_bar(spark):
+    df, _ = long_bars(spark, 600)
+    rows = [(r["high"], r["low"], r["close"]) for r in df.orderBy("trade_date").collect()]
+    got = ind.with_adx(number_bars(df)).orderBy("trade_date").select("adx", "plus_di", "minus_di").collect()
+    want = fold_adx(rows)
+    for g, w in zip(got[-len(want):], want):
+        assert (g[0] is None) == (w[0] is None) and (g[0] is None or tuple(g) == pytest.approx(w, rel=1e-9))
 
 
 def test_series_of_any_length(spark):
     df, closes = long_bars(spark, 40_000)
-    assert last(ind.with_rsi(number_bars(df), any_length=True), "rsi")[0] == pytest.approx(fold_rsi(closes), rel=1e-9)
-    with pytest.raises(Exception, match="any_length"):
-        ind.with_rsi(number_bars(df)).collect()
+    assert last(ind.with_rsi(number_bars(df)), "rsi")[0] == pytest.approx(fold_rsi(closes), rel=1e-9)
+    ranges = ind.with_true_range(number_bars(df)).orderBy("trade_date").select("_tr").collect()
+    assert last(ind.with_atr(number_bars(df)), "atr")[0] == pytest.approx(fold_wilder([r[0] for r in ranges[1:]], 14)[-1], rel=1e-9)
 
 
 def test_rebalance_dates_skip_index_bars_without_a_close(spark):

@@ -23,6 +23,8 @@ def duck():
 
 
 def plain(v):
+    if isinstance(v, list):
+        return tuple(plain(x) for x in v)
     if isinstance(v, float):
         return None if math.isnan(v) else v
     return float(v) if isinstance(v, int) and not isinstance(v, bool) else v

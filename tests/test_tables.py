@@ -148,9 +148,9 @@ def test_document_ladder(spark):
 ALERT = "alert_id bigint, severity string, observed_at timestamp"
 
 
-def sent_flags(spark, offsets, severity="high"):
+def sent_flags(spark, offsets, severity="high", **kw):
     rows = [(i, severity, NOW + dt.timedelta(seconds=s)) for i, s in enumerate(offsets)]
-    return [r["sent"] for r in stateful.limit_alerts(spark.createDataFrame(rows, ALERT)).orderBy("alert_id").collect()]
+    return [r["sent"] for r in stateful.limit_alerts(spark.createDataFrame(rows, ALERT).repartition(3), **kw).orderBy("alert_id").collect()]
 
 
 def test_alert_budget(spark):
@@ -159,16 +159,22 @@ def test_alert_budget(spark):
     assert sent_flags(spark, [*range(12), 3600, 3601.5, 7300]) == [True] * 12 + [False, True, True]
 
 
-def test_alert_budget_matches_a_plain_loop(spark):
+@pytest.mark.parametrize("span,block_rows", [(30_000, 1_000_000), (9_000, 60), (30_000, 40), (300_000, 40)])
+def test_alert_budget_matches_a_plain_loop(spark, span, block_rows):
+    """Overload without a pause, mixed, and mostly quiet; blocks longer and much shorter than the hour."""
     rng = random.Random(4)
-    offsets = sorted(rng.choice([rng.uniform(0, 30000), float(rng.randrange(40) * 500)]) for _ in range(600))
+    offsets = sorted(rng.choice([rng.uniform(0, span), float(rng.randrange(40) * 500)]) for _ in range(600))
     sent, expect = [], []
     for s in offsets:
         live = [x for x in sent if x >= round(s * 1e6) - 3_600_000_000]
         expect.append(len(live) < 12)
         if expect[-1]:
             sent.append(round(s * 1e6))
-    assert sent_flags(spark, offsets) == expect
+    assert sent_flags(spark, offsets, block_rows=block_rows) == expect
+
+
+def test_alert_budget_of_no_alerts(spark):
+    assert sent_flags(spark, []) == [] and sent_flags(spark, [1, 2], severity="low") == []
 
 
 def test_feed_state_streak_and_health(spark):
