@@ -5,6 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,17 +50,38 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("staged tables of open scopes", default=())
+
+
+def stage(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Writes an intermediate table to the shared folder and returns a reader of it.
 
     For results that several later steps read: they are computed once, and a lost executor
-    costs a re-read of files instead of the whole lineage.
+    costs a re-read of files instead of the whole lineage. Inside ``staging`` the table is deleted
+    when the block ends; with ``outlives`` it belongs to the block around that one.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()
+    if len(scopes) > outlives:
+        scopes[-1 - outlives].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is staged inside it. A result that is read later must be staged with ``outlives``."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
