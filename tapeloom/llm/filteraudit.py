@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType
 
 from tapeloom.llm.common import schema, ship_package
+from tapeloom.sources.sinks import stage
 
 COPY = "E"
 
@@ -60,9 +61,10 @@ def masks(docs: DataFrame, labels: DataFrame, filters: dict[str, Column], part:
     key = ["digest", "part", "mask", "good", "toxic"]
     first = F.min(F.when(F.col("id").isNotNull(), F.col("id")))
     same_id = labelled.groupBy(*key, "id").agg(F.sum("n").alias("n"))
-    by_text = same_id.groupBy(*key).agg(
+    # two steps read it, the texts are judged once
+    by_text = stage(same_id.groupBy(*key).agg(
         first.alias("least"), F.sum("n").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
-        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("head"))
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("head")), "counts-by-text")
     least = by_text.groupBy("digest").agg(F.min("least").alias("of_text"))
     heads = F.col("n_null") + F.when(F.col("least") == F.col("of_text"), F.col("head.n")).otherwise(0)
     counted = by_text.join(least, "digest").withColumn("heads", F.coalesce(heads, F.col("n_null")))
