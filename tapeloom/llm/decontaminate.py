@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeloom.sources.sinks import stage
+from tapeloom.sources.sinks import stage, staging
 
 WIDTH = 10
 #: Words between the two rarest terms of a window up to which they are a proximity match.
@@ -148,7 +148,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_only(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that hold no window of a test item."""
-    _, found = scan(docs, items, id_col, text_col, width=width)
-    bad = found.where("exact").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()
+    with staging(docs.sparkSession):
+        _, found = scan(docs, items, id_col, text_col, width=width)
+        bad = stage(found.where("exact").select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct(), "contaminated", outlives=True)
     version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left_anti")
+    # two numbers for each contaminated document; the texts stay where they are if these are few
+    return docs.join(small(bad), F.col(id_col).eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left_anti")

@@ -99,6 +99,35 @@ def components(prints, radius=3):
     return [(d, f"{f:016x}", least[find(f)]) for d, f in prints]
 
 
+def similar_groups(docs, share=0.8, width=5):
+    """doc_id -> least doc_id reachable over texts whose sets of word shingles are similar; equal sets count once."""
+    sets = {}
+    for d, t in docs:
+        words = low(t).split()
+        key = frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+        sets.setdefault(key, []).append(d)
+    keys = list(sets)
+    root = list(range(len(keys)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, k in enumerate(keys):
+        common = Counter(j for g in k for j in holders[g])
+        for j, n in common.items():
+            if n >= share * (len(k) + len(keys[j]) - n):
+                root[find(i)] = find(j)
+        for g in k:
+            holders[g].append(i)
+    least = {}
+    for i, k in enumerate(keys):
+        least[find(i)] = min([least.get(find(i)), *sets[k]] if find(i) in least else sets[k])
+    return {d: least[find(i)] for i, k in enumerate(keys) for d in sets[k]}
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
 
@@ -122,8 +151,36 @@ def contamination(docs, items, width=10):
     return out
 
 
-def line_removals(docs, blocks, rare=16, min_words=5):
-    """doc_id -> places of deleted lines; ``blocks(a, b, sizes)`` aligns two lists of lines."""
+def shared_lines(a, b, sizes, min_words):
+    """Places in ``b`` of lines of runs that stand in ``a`` as well and hold ``min_words`` words."""
+    at = defaultdict(list)
+    for i, line in enumerate(a):
+        at[line].append(i)
+    out = set()
+    for j, line in enumerate(b):
+        for i in at[line] if line else ():
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # inside a run that began earlier, or behind a blank line of it
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(sizes[j : j + n]) >= min_words:
+                out |= {k for k in range(j, j + n) if sizes[k]}
+    # runs that begin with blank lines
+    for j, line in enumerate(b):
+        if not line and j + 1 < len(b):
+            for i in at[""]:
+                if not (i and j and a[i - 1] == b[j - 1]):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if sum(sizes[j : j + n]) >= min_words:
+                        out |= {k for k in range(j, j + n) if sizes[k]}
+    return out
+
+
+def line_removals(docs, min_words=5):
+    """doc_id -> places of deleted lines: every document against every earlier one."""
     texts = {}
     for d, t in docs:
         texts.setdefault(t or "", set()).add(d)
@@ -138,12 +195,8 @@ def line_removals(docs, blocks, rare=16, min_words=5):
                 holders[l].add(d)
     removed = defaultdict(set)
     for d, ls in by_head.items():
-        partners = {min(holders[l]) for l in ls if l and 1 < len(holders[l]) <= rare} - {d}
-        for p in partners:
-            removed[d] |= set(blocks(by_head[p], ls, sizes[d]))
-        for i, l in enumerate(ls):
-            if l and len(holders[l]) > rare and min(holders[l]) != d and sizes[d][i] >= min_words:
-                removed[d].add(i)
+        for p in {p for l in ls if l for p in holders[l] if p < d}:
+            removed[d] |= shared_lines(by_head[p], ls, sizes[d], min_words)
     for t, ds in texts.items():
         for d in ds - {head[t]}:
             removed[d] = {i for i, l in enumerate(lines[t]) if l}

@@ -91,7 +91,7 @@ def test_hot_groups_of_copies(spark):
     base = "\n".join(" ".join(f"l{k}w{i}" for i in range(12)) for k in range(6))
     rows = [(i, base, "en") for i in range(300)] + [(1000 + i, base + f"\nown{i} line of this one document number {i}", "en") for i in range(300)]
     df = docs(spark, rows)
-    want = brute.line_removals([(d, t) for d, t, _ in rows], linededup.common_blocks)
+    want = brute.line_removals([(d, t) for d, t, _ in rows])
     got = {r.doc_id: list(r.removed) for r in linededup.line_dedup(df).collect() if r.n_removed}
     assert got == want
     prints = [(d, brute.fingerprint(t)) for d, t, _ in rows]
@@ -157,3 +157,51 @@ def test_stages_take_odd_rows(spark, odd, stage, tmp_path):
         assert empty.columns == corpus_pipeline.COLUMNS
     kept = {r.doc_id for r in rows}
     assert {0: 7 in kept and 1 not in kept, 1: 7 in kept and 8 not in kept, 2: 7 in kept and 8 not in kept, 3: 7 not in kept and 5 in kept, 4: len(rows) == odd.count()}[stage]
+
+
+def passage(holders):
+    """A passage of fifteen four-word lines in ``holders`` documents with lines of their own around it."""
+    block = "\n".join(f"line{k} of the passage" for k in range(15))
+    return [(i, f"own{i} first words here {i}\n{block}\nown{i} last words here {i}", "en") for i in range(1, holders + 1)]
+
+
+@pytest.mark.parametrize("holders", [2, 16, 17, 60])
+def test_line_dedup_is_the_same_for_any_number_of_holders(spark, holders):
+    found = {r.doc_id: r.n_removed for r in linededup.line_dedup(docs(spark, passage(holders))).collect()}
+    assert found == {i: 15 * (i > 1) for i in range(1, holders + 1)}
+
+
+def test_line_dedup_finds_blocks_of_any_earlier_document(spark):
+    """B and C share a block whose lines have three other owners; repeated, moved and interleaved blocks."""
+    import random
+
+    rng = random.Random(3)
+    pool = [" ".join(f"w{k}{j}" for j in range(rng.randrange(1, 5))) for k in range(30)]
+    rows = [(1, "a b", "en"), (2, "c d", "en"), (3, "e f", "en"), (4, "x y z q r s\na b\nc d\ne f", "en"), (5, "a b\nc d\ne f", "en")]
+    for i in range(6, 60):
+        rows.append((i, "\n".join(rng.choice(pool + ["", "  "]) for _ in range(rng.randrange(1, 14))), "en"))
+    want = brute.line_removals([(d, t) for d, t, _ in rows])
+    for rare in (0, 2, 16):
+        got = {r.doc_id: list(r.removed) for r in linededup.line_dedup(docs(spark, rows), rare=rare).collect() if r.n_removed}
+        assert got == want
+    assert want[5] == [0, 1, 2]
+
+
+def test_aligned_blocks_are_among_the_shared_runs():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(1, 12) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        sizes = [1 + x % 3 for x in b]
+        assert set(linededup.common_blocks(a, b, sizes)) <= brute.shared_lines(a, b, sizes, 5)
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    import time
+
+    long = "\n".join(f"line number {i} of a very long text" for i in range(160_000))
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in linededup.line_dedup(docs(spark, [(1, long, "en"), (2, long, "en"), (3, long + "\nand one line of its own", "en")])).collect()}
+    assert found[2].text == "" and found[2].n_removed == 160_000 and found[3].text == "and one line of its own"
+    assert time.perf_counter() - start < 120

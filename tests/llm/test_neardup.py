@@ -44,3 +44,25 @@ def test_first_of_group_links_what_jaccard_links(spark):
     assert far > 10
     kept = {r.doc_id for r in neardup.first_of_group(df).collect()}
     assert kept == {d for d, c in want if d == c}
+
+
+def test_hot_group_around_the_threshold(spark):
+    """Hundreds of copies of one text with random edits: many pairs just above and just below the similarity."""
+    from tests.llm import brute
+
+    rng = random.Random(11)
+    text = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(text)
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 5, 6))):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    # a second text whose copies are all as far from each other as they can be and still linked by chains
+    chain = [f"c{k}" for k in range(150)]
+    for i in range(12):
+        rows.append((1000 + i, " ".join([f"d{k}" for k in range(2 * i)] + chain[2 * i :])))
+    want = brute.similar_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+    assert 5 < len(set(want.values())) < 300

@@ -25,7 +25,7 @@ def run(spark, name, sf=SF):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def test_toxicity_on_rows_not_learnt_from(spark):
@@ -73,7 +73,7 @@ def test_language_on_rows_not_learnt_from(spark):
 
 def test_line_dedup(spark):
     given = docs(spark)
-    want = brute.line_removals(given, linededup.common_blocks)
+    want = brute.line_removals(given)
     text = dict(given)
     for r in run(spark, "op6_linededup"):
         places = want.get(r.doc_id, [])
@@ -126,26 +126,27 @@ def test_decontamination_is_native(spark):
     assert not any(w in text for w in ("Python", "Pandas", "Arrow", "Cartesian"))
 
 
-def test_pipeline(spark):
+@pytest.mark.parametrize("sf", [SF, SF10])
+def test_pipeline(spark, sf):
     import sentencepiece
 
-    given = docs(spark)
+    given = docs(spark, sf)
     rules = quality.Rules()
     rows = []
     for d, t in given:
         j = quality.judge(t or "", rules)
         if j[6]:
             rows.append((d, j[8] if j[7] else t))
-    gone = brute.line_removals(rows, linededup.common_blocks)
+    gone = brute.line_removals(rows)
     rows = [(d, brute.without(t, gone[d]) if d in gone else t) for d, t in rows]
     rows = [(d, t) for d, t in rows if d not in gone or t]
-    head = {d: c for d, _, c in brute.components([(d, brute.fingerprint(t)) for d, t in rows])}
+    head = brute.similar_groups(rows)
     rows = [(d, t) for d, t in rows if head[d] == d]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bad = brute.contamination(rows, items)
     rows = [(d, t) for d, t in rows if not bad[d][4]]
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     want = {(d, *brute.pieces(model, t)) for d, t in rows}
-    got = run(spark, "pipeline")
+    got = run(spark, "pipeline", sf)
     assert len(got) == len(want) and {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
     assert all(len(r.ids) == r.n_tokens for r in got)
