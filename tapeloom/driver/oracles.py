@@ -594,7 +594,8 @@ part("st_final", "SELECT f.*, s.symbol AS sym FROM final_backlog f JOIN filings
 oracle("stream_classify_alert", "SELECT filing_id AS alert_id, CASE WHEN materiality >= 8 THEN 'high' ELSE 'medium' END AS severity, category, sym AS symbol, 'materiality ' || cast(materiality as string) || ' filing (' || category || '), sentiment ' || cast(sentiment as string) AS message FROM st_final WHERE materiality >= 6 AND NOT routine")
 oracle("stream_dead_letter", "SELECT event_id AS id, 'filing.received' AS topic, CASE WHEN event_id % 97 = 0 THEN 'malformed payload' ELSE 'missing field' END AS error FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 1")
 oracle("stream_alert_budget", "SELECT alert_id, sent FROM rec_sent")
-oracle("stream_bounded_drain", "SELECT topic, count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT id % 4) AS cycles FROM outbox WHERE topic = 'filing.received' GROUP BY 1")
+oracle("stream_bounded_drain", """SELECT topic, cycle, count(*) AS n, min(id) AS first_id, max(id) AS last_id
+    FROM (SELECT topic, id, cast(floor((row_number() OVER (ORDER BY id) - 1) / 500) as bigint) AS cycle FROM outbox WHERE topic = 'filing.received') GROUP BY 1, 2""")
 oracle("stream_replay", "SELECT id, topic FROM outbox WHERE topic = 'filing.received' AND id > 100")
 oracle("stream_redelivery", "SELECT filing_id, cast(1 as bigint) AS classified, cast(CASE WHEN materiality >= 6 AND NOT routine THEN 1 ELSE 0 END as bigint) AS alerts FROM final_backlog")
 oracle("stream_hysteresis", f"SELECT h.symbol, h.profile, {ts('s.as_of', 'as_of')} FROM rec_hyst h JOIN signals s ON s.signal_id = h.signal_id WHERE h.issued")

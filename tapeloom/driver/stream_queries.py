@@ -113,33 +113,29 @@ def stream_alert_budget(t):
     return t.spark.read.parquet(f"{root}/decisions").select("alert_id", "sent")
 
 
-def _outbox_files(t: Tables, name: str) -> str:
-    """The outbox in several files, older events first."""
+def _outbox(t: Tables, name: str, **options) -> str:
     root = scratch(t, name)
-    rows = t.outbox.select("id", "topic", F.to_json(F.struct("id")).alias("payload"), "created_at")
-    for wave in range(4):
-        rows.where(F.col("id") % 4 == wave).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    bus.append_events(t.outbox.select("id", "topic", F.to_json(F.struct("id")).alias("payload"), "created_at"), f"{root}/inbox", **options)
     return root
 
 
-def _drained(t: Tables, root: str, **options) -> DataFrame:
-    handle = lambda batch, batch_id: bus.write_batch(batch.select("id", "topic"), f"{root}/seen", batch_id)
-    bus.consume(bus.read_topic(t.spark, f"{root}/inbox", "filing.received", **options), "drain", f"{root}/_ck", handle)
-    return t.spark.read.parquet(f"{root}/seen")
-
-
 @query
 def stream_bounded_drain(t):
-    """One file for each cycle: every event once, in four micro-batches."""
-    rows = _drained(t, _outbox_files(t, "bounded"), max_files=1)
-    return rows.select("id", "topic", F.col("batch").cast("bigint").alias("cycle")).groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("cycle").alias("cycles"))
+    """At most 500 events a cycle, in the order of their ids: every event once, and the sizes of the cycles."""
+    root = _outbox(t, "bounded")
+    handle = lambda events, batch_id, cycle: events.select("id", "topic", F.lit(cycle).alias("cycle")).write.mode("overwrite").parquet(f"{root}/seen/part={batch_id}-{cycle}")
+    bus.drain(bus.read_topic(t.spark, f"{root}/inbox", "filing.received", span=bus.EVENT_SPAN), "drain", f"{root}/_ck", handle, 500)
+    return t.spark.read.parquet(f"{root}/seen").groupBy("topic", F.col("cycle").cast("bigint").alias("cycle")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query
 def stream_replay(t):
-    """A consumer that starts after an offset."""
-    return _drained(t, _outbox_files(t, "replay"), after_id=100).select("id", "topic")
+    """A consumer that starts after an offset and opens no folder before it."""
+    root = _outbox(t, "replay", span=50)
+    handle = lambda batch, batch_id: bus.write_batch(batch.select("id", "topic"), f"{root}/seen", batch_id)
+    bus.consume(bus.read_topic(t.spark, f"{root}/inbox", "filing.received", after_id=100, span=50), "replay", f"{root}/_ck", handle)
+    return t.spark.read.parquet(f"{root}/seen").select("id", "topic")
 
 
 @query

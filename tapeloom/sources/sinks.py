@@ -53,18 +53,19 @@ def ship_package(spark: SparkSession) -> None:
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("staged tables of open scopes", default=())
 
 
-def stage(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, outlives: bool = False, by: str | None = None) -> DataFrame:
     """Writes an intermediate table to the shared folder and returns a reader of it.
 
     For results that several later steps read: they are computed once, and a lost executor
     costs a re-read of files instead of the whole lineage. Inside ``staging`` the table is deleted
-    when the block ends; with ``outlives`` it belongs to the block around that one.
+    when the block ends; with ``outlives`` it belongs to the block around that one. ``by`` gives
+    each value of a column a folder.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     scopes = _SCOPES.get()
     if len(scopes) > outlives:
         scopes[-1 - outlives].append(path)
-    df.write.parquet(path)
+    (df.write if by is None else df.repartition(by).write.partitionBy(by)).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

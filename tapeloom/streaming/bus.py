@@ -6,32 +6,56 @@ with its own checkpoint, so consumers advance independently and replay by a fres
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tapeloom.schemas import DDL
+from tapeloom.sources.sinks import stage, staging
 
 EVENT_SCHEMA = DDL["outbox"]
+#: Event ids of one folder of the outbox.
+EVENT_SPAN = 1_000_000
 
 
-def read_topic(spark: SparkSession, path: str, topic: str, *, max_files: int | None = None, after_id: int | None = None) -> DataFrame:
-    """Stream of one topic; ``max_files`` bounds a cycle, ``after_id`` replays from an offset."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
+def append_events(events: DataFrame, path: str, span: int = EVENT_SPAN) -> None:
+    """Adds events in folders by range of ids, so that a replay opens none before its start."""
+    ranged = events.withColumn("span", F.floor(F.col("id") / span))
+    ranged.write.mode("append").partitionBy("span").parquet(path)
+
+
+def read_topic(spark: SparkSession, path: str, topic: str, *, max_files: int | None = None, after_id: int | None = None, span: int | None = None) -> DataFrame:
+    """Stream of one topic; ``max_files`` bounds what a micro-batch reads, ``after_id`` replays from an offset.
+
+    ``span`` is that of :func:`append_events`, if it wrote the folder: a replay then leaves out the
+    folders before its start.
+    """
+    reader = spark.readStream.schema(EVENT_SCHEMA if span is None else EVENT_SCHEMA + ", span bigint")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = reader.parquet(path).where(F.col("topic") == topic)
-    return rows if after_id is None else rows.where(F.col("id") > after_id)
+    if after_id is not None:
+        rows = rows.where(F.col("id") > after_id)
+        if span is not None:
+            rows = rows.where(F.col("span") >= after_id // span)
+    return rows if span is None else rows.drop("span")
 
 
-def split_poison(batch: DataFrame, payload_schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Parsed good events and dead letters of a batch; one bad event never stops the stream."""
-    parsed = batch.withColumn(
+def parsed_events(events: DataFrame, payload_schema: str, required: list[str]) -> DataFrame:
+    """Adds the parsed payload ``_p`` and ``_bad``: it is malformed or lacks a field."""
+    parsed = events.withColumn(
         "_p", F.from_json("payload", payload_schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     )
     bad = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull()
     for name in required:
         bad = bad | F.col(f"_p.{name}").isNull()
+    return parsed.withColumn("_bad", bad)
+
+
+def split_poison(batch: DataFrame, payload_schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Parsed good events and dead letters of a batch; one bad event never stops the stream."""
+    parsed = parsed_events(batch, payload_schema, required)
+    bad = F.col("_bad")
     error = F.when(F.col("_p._corrupt").isNotNull() | F.col("_p").isNull(), "malformed payload").otherwise("missing field")
     good = parsed.where(~bad).select("id", "created_at", "_p.*").drop("_corrupt")
     dead = parsed.where(bad).select("id", "topic", "payload", error.alias("error"))
@@ -53,6 +77,53 @@ def consume(
     return query
 
 
+def event_cycles(batch: DataFrame, max_events: int) -> Iterator[tuple[int, DataFrame]]:
+    """The events of a micro-batch in the order of their ids, ``max_events`` at a time.
+
+    Files of any size are sorted and numbered in ranges side by side; only the ranges' sizes pass
+    through the driver. Each cycle has a folder of its own, so a cycle reads its own events.
+    """
+    rows = stage(batch.repartitionByRange("id").withColumn("_range", F.spark_partition_id()), "drain-ranges")
+    before, offsets = 0, []
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    if not offsets:
+        return
+    starts = batch.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("id")) - 1
+    numbered = rows.join(F.broadcast(starts), "_range").withColumn("_cycle", F.floor(place / max_events)).select("_cycle", *batch.columns)
+    path = stage(numbered, "drain-cycles", by="_cycle")
+    for cycle in range(-(-before // max_events)):
+        yield cycle, path.where(F.col("_cycle") == cycle).select(*batch.columns)
+
+
+def drain(stream: DataFrame, name: str, checkpoint: str, handle: Callable[[DataFrame, int, int], None], max_events: int, *, once: bool = True):
+    """Runs ``handle(events, batch_id, cycle)`` for at most ``max_events`` events at a time, in the order of their ids.
+
+    A micro-batch is acknowledged when its last cycle is done; after a failure its cycles come again
+    under the same numbers, with the same events.
+    """
+    def cycles(batch: DataFrame, batch_id: int) -> None:
+        with staging(batch.sparkSession):
+            for cycle, events in event_cycles(batch, max_events):
+                handle(events, batch_id, cycle)
+
+    return consume(stream, name, checkpoint, cycles, once=once)
+
+
+def first_seen(stream: DataFrame, key: str) -> DataFrame:
+    """The first event of each key over the whole life of a stream.
+
+    Keys live in the stream's own state, kept on disk by RocksDB with a change log, so a micro-batch
+    looks up and adds its own keys and never reads those of earlier ones.
+    """
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return stream.dropDuplicates([key])
+
+
 def collect_updates(counts: DataFrame, name: str, root: str, mode: str = "update") -> None:
     """Runs an aggregation stream to the end of its input, one folder per micro-batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -78,29 +149,6 @@ def written(spark: SparkSession, root: str, before: int | None = None) -> DataFr
     return df if before is None else df.where(F.col("batch") < before)
 
 
-KEY_BUCKETS = 64
-
-
-def key_bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
-
-
-def write_keys(keys: DataFrame, root: str, key: str, batch_id: int) -> None:
-    """Keys of a micro-batch, in folders by bucket, replaced as a whole when the batch is retried."""
-    keys.withColumn("bucket", key_bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch_id}")
-
-
-def keyed_before(spark: SparkSession, root: str, keys: DataFrame, key: str, batch_id: int) -> DataFrame | None:
-    """Keys that earlier micro-batches wrote, read from the buckets of ``keys`` only."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
-    stored = spark.read.schema(f"{fields}, batch int, bucket int").parquet(root).where(F.col("batch") < batch_id)
-    buckets = [r["bucket"] for r in keys.select(key_bucket(key).alias("bucket")).distinct().collect()]  # KEY_BUCKETS at most
-    return stored.where(F.col("bucket").isin(buckets))
-
-
 def dedup_stream(stream: DataFrame, time: str = "observed_at", delay: str = "30 days") -> DataFrame:
     """First row per content hash inside the watermark; for feeds without late backfills."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])

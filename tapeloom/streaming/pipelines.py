@@ -14,17 +14,10 @@ FILING = "filing_id bigint, feed string, symbol string, subject string, descript
 CLASSIFIED = "filing_id bigint, symbol string, category string, materiality int, sentiment double, confidence double, routine boolean"
 
 
-def classify_events(batch: DataFrame, done_before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Classified events and dead letters of a ``filing.received`` batch.
-
-    Redelivered events collapse on the filing id before they are classified; filings that
-    ``done_before`` (filing_id) names were classified in an earlier batch and give no event.
-    """
+def classify_events(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classified events and dead letters of a ``filing.received`` batch; a filing is classified once."""
     good, dead = bus.split_poison(batch, FILING, ["filing_id", "feed"])
-    first = good.dropDuplicates(["filing_id"])
-    if done_before is not None:
-        first = first.join(done_before.select("filing_id"), "filing_id", "left_anti")
-    done = rules.finalize(rules.classify(first))
+    done = rules.finalize(rules.classify(good.dropDuplicates(["filing_id"])))
     body = F.to_json(F.struct(*[c.split(" ")[0] for c in CLASSIFIED.split(", ")]))
     events = done.select("id", F.lit("filing.classified").alias("topic"), body.alias("payload"), "created_at")
     return events, dead
@@ -45,60 +38,65 @@ def alert_events(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 def run_classifier(spark: SparkSession, inbox: str, root: str) -> None:
     """inbox events -> root/classified and root/dead, one folder per micro-batch.
 
-    The ids classified so far are kept in ``root/classified_ids`` by bucket, and a batch reads
-    the buckets of its own ids only.
+    The stream's state remembers the filings classified so far, so a filing that comes again under
+    another event id, in this batch or any later one, gives nothing more. Poison events remember
+    nothing but themselves: a good event of the same filing is still classified.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        ids = batch.select(F.get_json_object("payload", "$.filing_id").cast("bigint").alias("filing_id")).where("filing_id IS NOT NULL")
-        before = bus.keyed_before(spark, f"{root}/classified_ids", ids, "filing_id", batch_id)
-        events, dead = classify_events(batch, before)
+        events, dead = classify_events(batch)
         bus.write_batch(events, f"{root}/classified", batch_id)
-        done = spark.read.schema(bus.EVENT_SCHEMA).parquet(f"{root}/classified/batch={batch_id}")
-        bus.write_keys(done.select(F.get_json_object("payload", "$.filing_id").cast("bigint").alias("filing_id")), f"{root}/classified_ids", "filing_id", batch_id)
-        batch.unpersist()
         bus.write_batch(dead, f"{root}/dead", batch_id)
+        batch.unpersist()
 
-    bus.consume(bus.read_topic(spark, inbox, "filing.received"), "classify", f"{root}/_ck_classify", handle)
+    events = bus.read_topic(spark, inbox, "filing.received")
+    marked = bus.parsed_events(events, FILING, ["filing_id", "feed"])
+    poison = F.concat(F.lit("event "), F.col("id"), F.lit(" "), F.coalesce(F.xxhash64("payload"), F.lit(0)))
+    key = F.when(F.col("_bad"), poison).otherwise(F.concat(F.lit("filing "), F.col("_p.filing_id")))
+    keyed = marked.select(*events.columns, key.alias("_key"))
+    bus.consume(bus.first_seen(keyed, "_key").drop("_key"), "classify", f"{root}/_ck_classify", handle)
 
 
 def run_alerts(spark: SparkSession, root: str) -> None:
     """root/classified events -> root/alerts and root/alerts_dead; an event alerts once, also when it comes again."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        ids = batch.select("id")
-        before = bus.keyed_before(spark, f"{root}/alerted_ids", ids, "id", batch_id)
-        fresh = batch if before is None else batch.join(before.select("id"), "id", "left_anti").select(*batch.columns)
-        rows, dead = alert_events(fresh)
+        rows, dead = alert_events(batch)
         bus.write_batch(rows, f"{root}/alerts", batch_id)
-        bus.write_keys(ids.distinct(), f"{root}/alerted_ids", "id", batch_id)
         bus.write_batch(dead, f"{root}/alerts_dead", batch_id)
         batch.unpersist()
 
     stream = bus.read_topic(spark, f"{root}/classified/*", "filing.classified")
-    bus.consume(stream, "alerts", f"{root}/_ck_alerts", handle)
+    bus.consume(bus.first_seen(stream, "id"), "alerts", f"{root}/_ck_alerts", handle)
 
 
 def run_ingest(spark: SparkSession, entries: DataFrame, root: str, keep: list[str]) -> None:
     """Stream of raw entries -> root/filings, deduplicated against everything stored before.
 
-    Content hashes and natural keys of all filings are kept by bucket in ``root/filing_keys``, so
-    a backfill of any age meets its earlier copy and a batch reads the buckets of its keys only.
+    Every filing sends its two keys (content hash, natural key) through the stream's state beside
+    itself, and the keys that come out are those no earlier batch had. A backfill of any age meets
+    its earlier copy, and of several new copies in one batch the earliest stays.
     """
+    filings = feeds.entries_to_filings(entries, keep=keep)
+    natural = F.when(F.col("dedup_key").isNotNull(), F.concat_ws("\x1f", F.lit("natural"), F.col("feed"), F.col("dedup_key")))
+    body = F.struct(*filings.columns)
+    itself = F.concat_ws("\x1f", F.lit("row"), "content_hash", *[F.col(c).cast("string") for c in keep])
+    empty = F.lit(None).cast(filings.select(body.alias("b")).schema["b"].dataType)
+    sent = F.array(F.struct(itself.alias("key"), body.alias("filing")), F.struct(F.col("content_hash").alias("key"), empty.alias("filing")), F.struct(natural.alias("key"), empty.alias("filing")))
+    keyed = filings.select(F.explode(sent).alias("k")).select("k.*").where("key IS NOT NULL")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = dedup_filings(feeds.entries_to_filings(batch, keep=keep)).persist()
-        natural = F.concat_ws("\x1f", F.lit("natural"), F.col("feed"), F.col("dedup_key"))
-        keys = fresh.select(F.explode(F.array_compact(F.array("content_hash", F.when(F.col("dedup_key").isNotNull(), natural)))).alias("key")).distinct()
-        before = bus.keyed_before(spark, f"{root}/filing_keys", keys, "key", batch_id)
-        new = fresh
-        if before is not None:
-            new = new.join(before.select(F.col("key").alias("content_hash")), "content_hash", "left_anti")
-            new = new.join(before.select("key"), F.col("dedup_key").isNotNull() & (natural == F.col("key")), "left_anti")
-        bus.write_batch(new.select(*fresh.columns), f"{root}/filings", batch_id)
-        bus.write_keys(keys, f"{root}/filing_keys", "key", batch_id)
-        fresh.unpersist()
-
-    bus.consume(entries, "ingest", f"{root}/_ck_ingest", handle)
+        batch = batch.persist()
+        new = batch.where("filing IS NULL").select("key")
+        fresh = dedup_filings(batch.where("filing IS NOT NULL").select("filing.*"))
+        fresh = fresh.join(new.withColumnRenamed("key", "content_hash"), "content_hash", "left_semi")
+        fresh = fresh.withColumn("_natural", natural)
+        first = fresh.join(new.withColumnRenamed("key", "_natural"), "_natural", "left_semi")
+        kept = first.unionByName(fresh.where("_natural IS NULL"))
+        bus.write_batch(kept.select(*filings.columns), f"{root}/filings", batch_id)
+        batch.unpersist()
+
+    bus.consume(bus.first_seen(keyed, "key"), "ingest", f"{root}/_ck_ingest", handle)
 
 
 def run_budget(spark: SparkSession, high: DataFrame, root: str) -> None:

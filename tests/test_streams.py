@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 
 from tapeloom.streaming import bus, pipelines, stateful
 
@@ -106,15 +107,73 @@ def test_redelivery_in_a_later_batch_gives_nothing_more(spark, tmp_path):
     assert spark.read.parquet(f"{root}/classified").count() == 1 and spark.read.parquet(f"{root}/alerts").count() == 1
 
 
-def test_only_the_buckets_of_the_batch_are_read(spark, tmp_path):
-    root = str(tmp_path / "keys")
-    keys = spark.range(1000).withColumnRenamed("id", "k")
-    bus.write_keys(keys, root, "k", 0)
-    mine = keys.where("k = 7")
-    before = bus.keyed_before(spark, root, mine, "k", 1)
-    assert mine.join(before, "k").count() == 1 and before.select("bucket").distinct().count() == 1
-    filters = before._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
-    assert "bucket" in filters and "batch" in filters
+def test_a_batch_meets_every_earlier_key_without_reading_them(spark, tmp_path):
+    """Fifty batches of new and repeated keys: each is answered from the state, and reads its own rows only."""
+    path, schema = str(tmp_path / "in"), "id bigint, k string"
+    seen = []
+    for i in range(50):
+        spark.createDataFrame([(i * 10 + j, f"k{i * 10 + j}") for j in range(10)] + [(-i, f"k{i * 3}")], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = bus.first_seen(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), "k")
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda b, i: seen.append([r["k"] for r in b.collect()])).trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress]
+    assert sorted(k for b in seen for k in b) == sorted(f"k{i}" for i in range(500))
+    assert len(seen) == 50 and set(read) <= {0, 11, 22}
+
+
+@pytest.mark.parametrize("max_events", [1, 7, 40, 1000])
+def test_drain_bounds_events_and_keeps_their_order(spark, tmp_path, max_events):
+    inbox = str(tmp_path / "in")
+    emit(spark, inbox, [(i, payload(i, "x")) for i in range(100, 60, -1)])
+    emit(spark, inbox, [(1000, "{}")], topic="other")
+    emit(spark, inbox, [(i, payload(i, "x")) for i in range(1, 9)])
+    cycles = {}
+
+    def handle(events, batch_id, cycle):
+        cycles[batch_id, cycle] = [r["id"] for r in events.orderBy("id").collect()]
+
+    bus.drain(bus.read_topic(spark, inbox, "filing.received"), "d", str(tmp_path / "ck"), handle, max_events)
+    runs = [cycles[k] for k in sorted(cycles)]
+    assert all(len(r) <= max_events for r in runs) and [i for r in runs for i in r] == [*range(1, 9), *range(61, 101)]
+    emit(spark, inbox, [(2000, payload(1, "x"))])
+    bus.drain(bus.read_topic(spark, inbox, "filing.received"), "d", str(tmp_path / "ck"), handle, max_events)
+    assert cycles[1, 0] == [2000]
+
+
+def test_replay_opens_no_folder_before_its_start(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    bus.append_events(spark.createDataFrame([(i, "filing.received", payload(i, "x"), NOW) for i in range(1, 300)], bus.EVENT_SCHEMA), inbox, span=100)
+    rows, names = [], set()
+
+    def handle(batch, batch_id):
+        rows.extend(r["id"] for r in batch.collect())
+        names.update(f.split("span=")[1].split("/")[0] for f in batch.inputFiles())
+
+    bus.consume(bus.read_topic(spark, inbox, "filing.received", after_id=150, span=100), "r", str(tmp_path / "ck"), handle)
+    assert sorted(rows) == list(range(151, 300)) and "0" not in names
+
+
+def test_staged_tables_go_with_their_block(spark):
+    import os
+
+    from tapeloom.sources.sinks import shared_dir, stage, staging
+
+    there = lambda name: [f for f in os.listdir(shared_dir(spark)) if f.startswith(name)]
+    with staging(spark):
+        with staging(spark):
+            stage(spark.range(3), "inner-table")
+            kept = stage(spark.range(4), "outer-table", outlives=True)
+        assert not there("inner-table") and kept.count() == 4
+    assert not there("outer-table")
+
+
+def test_poison_does_not_block_its_filing(spark, tmp_path):
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
+    emit(spark, inbox, [(1, '{"filing_id": 1}')])
+    pipelines.run_classifier(spark, inbox, root)
+    emit(spark, inbox, [(2, payload(1, "Buyback of shares"))])
+    pipelines.run_classifier(spark, inbox, root)
+    assert spark.read.parquet(f"{root}/classified").count() == 1 and spark.read.parquet(f"{root}/dead").count() == 1
 
 
 def test_broken_classified_events_are_kept(spark, tmp_path):
