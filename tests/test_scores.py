@@ -21,39 +21,85 @@ def now():
     return F.lit(NOW)
 
 
+FIELDS = ("other_income", "expenses", "finance_costs", "depreciation", "pbt", "tax", "pat", "exceptional", "eps_basic", "paidup", "face", "filing_id", "event_at")
+
+
 def quarter(i, rev, symbol="X", basis="consolidated", **kw):
-    q = dict(other_income=0.01 * rev, expenses=0.8 * rev, finance_costs=0.0, depreciation=0.0, pbt=0.2 * rev, tax=0.05 * rev,
-             pat=0.15 * rev, exceptional=None, eps_basic=1.0, paidup=None, face=None, filing_id=i, event_at=None)
-    q.update(kw)
+    """Quarter ``i`` of a plain book: a third of revenue is profit before tax, a quarter of that is tax."""
+    q = dict.fromkeys(FIELDS) | dict(expenses=rev * 2 / 3, pbt=rev / 3, tax=rev / 12, pat=rev / 4, filing_id=i) | kw
     end = dt.date(2023 + i // 4, (i % 4) * 3 + 3, 28)
-    return (symbol, end, basis, float(rev), *[q[c] for c in ("other_income", "expenses", "finance_costs", "depreciation", "pbt", "tax", "pat",
-            "exceptional", "eps_basic", "paidup", "face", "filing_id", "event_at")])
+    return (symbol, end, basis, float(rev), *[q[c] for c in FIELDS])
 
 
 def funda(spark, rows):
     return fundamental.fundamental_scores(spark.createDataFrame(rows, QUARTER)).collect()
 
 
-def test_one_quarter_has_no_growth_and_little_confidence(spark):
-    r = funda(spark, [quarter(0, 1000)])[0]
-    assert r["growth_pts"] is None and r["weight_covered"] == 60 and r["confidence"] < 0.1 and r["label"] == "clean"
-
-
-def test_growers_beat_shrinkers(spark):
-    up = funda(spark, [quarter(i, 1000 * 1.08**i) for i in range(8)])[0]
-    down = funda(spark, [quarter(i, 1000 * 0.92**i) for i in range(8)])[0]
-    assert up["score"] > down["score"] and up["confidence"] > 0.5
-
-
-def test_four_flags(spark):
-    bad = quarter(0, 1000, expenses=1100.0, other_income=300.0, finance_costs=200.0, pbt=100.0, tax=1.0, pat=-50.0)
-    r = funda(spark, [bad])[0]
-    assert len(r["flags"]) == 4 and r["label"] == "flagged"
-
+def plain_fundamental(book):
+    """Points, score, confidence, label and number of flags of one book of dicts, oldest quarter first."""
+    last, n = book[-1], len(book)
+    ago = lambda k: book[-1 - k] if n > k else None
+
+    def rise(field):
+        for old in (ago(4), ago(1)):
+            if old and old[field] > 0:
+                return (last[field] - old[field]) / old[field]
+
+    sides = [rise("revenue"), rise("pat")]
+    growth = None if sides == [None, None] else sum(10 if g is None else min(20, max(0, 10 + 40 * g)) for g in sides)
+    margins = [(q["revenue"] - q["expenses"] + q["finance_costs"] + q["depreciation"]) / q["revenue"] for q in book if q["revenue"] > 0]
+    if len(margins) >= 3:
+        drift = 10 if margins[-1] > margins[-3] else 2
+    elif len(margins) == 2:
+        drift = 8 if margins[1] > margins[0] else 3
+    else:
+        drift = 5
+    margin = min(25, min(15, max(0, 60 * margins[-1])) + drift) if margins else None
+    lost = flags = 0
+    for bad, points in (
+        (last["pbt"] > 0 and last["other_income"] > last["pbt"] / 2, 12),
+        (last["pbt"] > 0 and 0.3 * last["pbt"] < last["other_income"] <= last["pbt"] / 2, 6),
+        (last["pbt"] > 0 and not 0.1 <= last["tax"] / last["pbt"] <= 0.45, 8),
+        (last["pbt"] != 0 and abs(last["exceptional"]) > abs(last["pbt"]) / 4, 8),
+        (last["revenue"] > 0 and last["finance_costs"] > 0.15 * last["revenue"], 7),
+        (last["pat"] < 0, 10),
+    ):
+        flags, lost = flags + bad, lost + points * bad
+    quality = max(0, 35 - lost)
+    weight = 35 + 40 * (growth is not None) + 25 * (margin is not None)
+    score = min(100, ((growth or 0) + (margin or 0) + quality) * 100 / weight)
+    return growth, margin, quality, weight, score, min(1, n / 8) * weight / 100, ("clean", "watch", "flagged")[min(flags, 2)], flags
+
+
+def test_fundamental_score_follows_the_formula(spark):
+    import random
 
-def test_negative_base_gives_no_growth(spark):
-    r = funda(spark, [quarter(0, 1000, pat=-10.0), quarter(1, 1000, pat=5.0)])[0]
-    assert r["pat_qoq"] is None and r["rev_qoq"] == 0.0
+    rng = random.Random(12)
+    books = {}
+    for k in range(160):
+        rev, book = rng.uniform(40, 9000), []
+        for _ in range(rng.choice((1, 2, 3, 4, 5, 7, 8, 11))):
+            rev *= rng.uniform(0.7, 1.4)
+            pbt = rev * rng.uniform(-0.2, 0.5)
+            book.append(dict(
+                revenue=rev, expenses=rev * rng.uniform(0.5, 1.1), finance_costs=rev * rng.uniform(0, 0.3), depreciation=rev * rng.uniform(0, 0.1), pbt=pbt,
+                other_income=abs(pbt) * rng.uniform(0, 0.7), tax=pbt * rng.uniform(0, 0.6), pat=pbt * rng.uniform(0.3, 1.2), exceptional=pbt * rng.uniform(-0.5, 0.5)))
+        books[f"B{k}"] = book
+    rows = [quarter(i, q["revenue"], symbol=s, **{f: v for f, v in q.items() if f != "revenue"}) for s, b in books.items() for i, q in enumerate(b)]
+    got = {r["symbol"]: r for r in funda(spark, rows)}
+    assert {plain_fundamental(b)[6] for b in books.values()} == {"clean", "watch", "flagged"}
+    for s, b in books.items():
+        growth, margin, quality, weight, score, confidence, label, flags = plain_fundamental(b)
+        r = got[s]
+        assert (r["growth_pts"], r["margin_pts"], r["quality_pts"]) == (growth if growth is None else pytest.approx(growth), pytest.approx(margin), quality)
+        assert (r["weight_covered"], r["label"], len(r["flags"])) == (weight, label, flags)
+        assert r["score"] == pytest.approx(score, abs=0.0501) and r["confidence"] == pytest.approx(confidence, abs=0.00501)
+
+
+@pytest.mark.parametrize("before", [0.0, -37.5])
+def test_no_growth_from_a_base_that_is_not_positive(spark, before):
+    r = funda(spark, [quarter(3, 640, pat=before), quarter(4, 800, pat=52.0)])[0]
+    assert r["pat_qoq"] is None and r["rev_qoq"] == 0.25 and r["growth_pts"] == 30.0  # 10 for the unknown side, 10 + 40 * 0.25
 
 
 def test_consolidated_wins_and_bases_never_mix(spark):
@@ -70,30 +116,44 @@ def test_states_only_see_visible_quarters(spark):
 
 # ---------------------------------------------------------------- flow
 
-def flow_of(spark, *, side=None, surv=None, holding=()):
-    bars = spark.createDataFrame([("X", (NOW - dt.timedelta(days=i)).date(), "EQ", 1.0, 1.0, 1.0, 100.0) for i in range(20)], BAR)
-    deals = spark.createDataFrame([(NOW.date(), "X", side, 1000.0, 500.0)] if side else [], "day date, symbol string, side string, qty double, price double")
-    s = spark.createDataFrame([(NOW.date(), "X", surv, "Stage I")] if surv else [], "as_of date, symbol string, framework string, stage string")
-    f = spark.createDataFrame(
-        [(i, "shareholding_pattern", "X", f"PR_AND_PRGRP: {p} | x", None, NOW - dt.timedelta(days=90 - i), NOW - dt.timedelta(days=60)) for i, p in enumerate(holding)],
-        "filing_id bigint, feed string, symbol string, subject string, description string, event_at timestamp, observed_at timestamp",
-    )
-    rows = flow.flow_scores(bars, deals, f, s, now()).collect()
-    return rows[0] if rows else None
-
-
-def test_buying_lifts_and_selling_sinks(spark):
-    assert flow_of(spark, side="BUY")["score"] > flow_of(spark, side="SELL")["score"]
-
-
-def test_gsm_dominates(spark):
-    r = flow_of(spark, surv="gsm")
-    assert r["score"] < 40 and r["label"] == "surveillance"
-
-
-def test_promoter_delta(spark):
-    r = flow_of(spark, holding=("55.00", "57.50"))
-    assert r["promoter_delta"] == pytest.approx(2.5) and r["score"] > 60
+def flow_of(spark, *, deals=(), turnover=0.0, surv=(), holding=(), insiders=0):
+    """The flow row of one symbol; ``turnover`` in lakh on one recent day, ``holding`` in percent from the oldest on."""
+    at = lambda days: NOW - dt.timedelta(days=days)
+    bars = spark.createDataFrame([("X", at(3).date(), "EQ", 1.0, 1.0, 1.0, turnover)], BAR)
+    d = spark.createDataFrame([(at(2).date(), "X", side, qty, price) for side, qty, price in deals], "day date, symbol string, side string, qty double, price double")
+    s = spark.createDataFrame([(NOW.date(), "X", f, "1") for f in surv], "as_of date, symbol string, framework string, stage string")
+    rows = [(i, "shareholding_pattern", "X", f"PR_AND_PRGRP: {p} | rest", None, at(200 - 90 * i), at(190 - 90 * i)) for i, p in enumerate(holding)]
+    rows += [(100 + i, "insider_trading", "X", "trade", None, at(9), at(9)) for i in range(insiders)]
+    f = spark.createDataFrame(rows, "filing_id bigint, feed string, symbol string, subject string, description string, event_at timestamp, observed_at timestamp")
+    found = flow.flow_scores(bars, d, f, s, now()).collect()
+    return found[0] if found else None
+
+
+def plain_flow(net=None, turnover=0.0, delta=None, insiders=0, worst=25.0):
+    """Score, confidence and label from the net value of deals, turnover (both in rupees), change of holding, insider filings and list points."""
+    deal = None if net is None or not turnover else 17.5 + 35 * max(-0.5, min(0.5, net / turnover))
+    held = None if delta is None else max(0, min(25, 12.5 + 5 * delta))
+    weight = 40 + 35 * (deal is not None) + 25 * (held is not None)
+    score = min(100, ((deal or 0) + (held or 0) + (min(15, 7.5 + 0.75 * insiders) if insiders else 7.5) + worst) * 100 / weight)
+    label = "surveillance" if worst <= 10 else "accumulation" if round(score, 1) >= 65 else "distribution" if round(score, 1) <= 35 else "neutral"
+    return score, weight / 100, label
+
+
+@pytest.mark.parametrize("given,known", [
+    (dict(deals=[("BUY", 300.0, 41.0)], turnover=2.0), dict(net=12300.0, turnover=2e5)),
+    (dict(deals=[("SELL", 700.0, 90.0), ("BUY", 100.0, 88.0)], turnover=1.5), dict(net=-54200.0, turnover=1.5e5)),
+    (dict(deals=[("SELL", 9000.0, 90.0)], turnover=1.0), dict(net=-810000.0, turnover=1e5)),
+    (dict(surv=["asm_st", "gsm"]), dict(worst=0.0)),
+    (dict(surv=["asm_lt", "asm_st"], deals=[("BUY", 10.0, 30.0)], turnover=1.0), dict(worst=5.0, net=300.0, turnover=1e5)),
+    (dict(holding=("48.10", "47.35")), dict(delta=-0.75)),
+    (dict(holding=("61.20", "62.95"), deals=[("BUY", 500.0, 77.0)], turnover=3.0), dict(delta=1.75, net=38500.0, turnover=3e5)),
+    (dict(holding=("33.00", "33.40"), surv=["asm_st"]), dict(delta=0.4, worst=10.0)),
+])
+def test_flow_score_follows_the_formula(spark, given, known):
+    score, confidence, label = plain_flow(**known)
+    r = flow_of(spark, **given)
+    assert r["score"] == pytest.approx(score, abs=0.0501) and r["confidence"] == pytest.approx(confidence) and r["label"] == label
+    assert r["promoter_delta"] == (pytest.approx(known["delta"]) if "delta" in known else None)
 
 
 def test_nothing_known_gives_no_row(spark):
@@ -178,12 +238,23 @@ def fused(spark, **kw):
     return {r["profile"]: r for r in rows}
 
 
-def test_levels_per_profile(spark):
+@pytest.mark.parametrize("atr", [1.7, 4.4])
+def test_levels_follow_each_profile(spark, atr):
+    """The close of the fixture is 100; stop, targets and size come from the profile's own geometry."""
+    got = fused(spark, atr=atr)
+    for name, r in got.items():
+        _, _, _, _, _, stop, low, high = K.PROFILES[name]
+        assert r["invalidation"] == pytest.approx(100 - stop * atr, abs=0.0051)
+        if r["stance"] in ("buy", "accumulate"):
+            assert r["target_low"] == pytest.approx(100 + low * stop * atr, abs=0.021) and r["target_high"] == pytest.approx(100 + high * stop * atr, abs=0.031)
+            assert r["entry_low"] == pytest.approx(100 - atr / 2, abs=0.0051) and r["size_pct"] == pytest.approx(min(10, 100 / (stop * atr)), abs=0.0501)
+    assert set(got) == {p for p, v in K.PROFILES.items()} and any(r["stance"] in ("buy", "accumulate") for r in got.values())
+
+
+def test_a_profile_gives_no_reason_from_an_axis_without_weight(spark):
     r = fused(spark)
-    assert r["default"]["invalidation"] == 85.0 and r["short"]["invalidation"] == 92.5
-    assert r["default"]["size_pct"] < r["short"]["size_pct"]
-    assert r["default"]["stance"] == "buy" and len(r["default"]["thesis_for"]) == 3
     assert not any("fundamentals" in x for x in r["short"]["thesis_for"] + r["short"]["thesis_against"])
+    assert any("fundamentals" in x for x in r["value"]["thesis_for"])
 
 
 def test_hard_block_suppresses(spark):
@@ -194,7 +265,7 @@ def test_hard_block_suppresses(spark):
 
 def test_penalty_caps_and_keeps_only_the_stop(spark):
     r = fused(spark, risk_label="penalty")["default"]
-    assert r["conviction"] == 55.0 and r["stance"] == "hold" and r["entry_low"] is None and r["invalidation"] == 85.0
+    assert r["conviction"] == 55.0 and r["stance"] == "hold" and r["entry_low"] is None and r["invalidation"] is not None
 
 
 def test_too_little_weight_gives_no_row(spark):
@@ -210,12 +281,18 @@ def test_profile_weights_are_checked(spark):
 EV = "filing_id bigint, symbol string, subject string, event_at timestamp, category string, materiality int, sentiment double, confidence double, classified_at timestamp"
 
 
-def test_event_score_counts_one_version_once(spark):
-    f = spark.createDataFrame([(1, "X", "s", NOW)], "filing_id bigint, symbol string, subject string, event_at timestamp")
-    c = spark.createDataFrame([(1, "ma", 8, 0.8, 0.9, False, v, NOW) for v in ("rules-v3", "rules-v4", K.CLASSIFIER_VERSION)],
-                              "filing_id bigint, category string, materiality int, sentiment double, confidence double, routine boolean, model_version string, observed_at timestamp")
+def test_event_score_reads_the_current_version_only(spark):
+    """Three filings in several versions: the newest fixed version of each counts, older ones never add to it."""
+    f = spark.createDataFrame([(i, "X", f"subject {i}", NOW) for i in (4, 5, 6)], "filing_id bigint, symbol string, subject string, event_at timestamp")
+    known = {4: (6, -0.4, 0.7), 5: (9, 0.5, 0.95), 6: (7, 0.1, 0.6)}
+    rows = [(i, "capex", m, s, c, False, K.CLASSIFIER_VERSION, NOW) for i, (m, s, c) in known.items()]
+    rows += [(i, "litigation", 10, -1.0, 1.0, False, "rules-v2", NOW) for i in (4, 6)]
+    c = spark.createDataFrame(rows, "filing_id bigint, category string, materiality int, sentiment double, confidence double, routine boolean, model_version string, observed_at timestamp")
     r = fusion.event_scores(fusion.classified_events(f, c), now()).first()
-    assert len(r["evidence"]) == 1 and r["event_score"] == pytest.approx(50 + 50 * 0.8 * 0.9 * 0.8)
+    assert sorted(e["filing_id"] for e in r["evidence"]) == [4, 5, 6]
+    assert len({e["filing_id"] for e in r["evidence"]}) == len(r["evidence"])
+    alone = fusion.event_scores(fusion.classified_events(f, c.where(F.col("model_version") == K.CLASSIFIER_VERSION)), now()).first()
+    assert r["event_score"] == alone["event_score"]
 
 
 def test_peer_events_reach_the_industry_only(spark):
