@@ -155,14 +155,20 @@ def stream_redelivery(t):
 
 @query
 def stream_hysteresis(t):
-    """Stored signals as a stream of candidates: the ones that the keyed state issues."""
+    """Stored signals as a stream of candidates in files of mixed times: the ones that the keyed state issues.
+
+    One candidate in the far future moves the watermark past all others.
+    """
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     root = scratch(t, "hysteresis")
     rows = t.signals.withColumn("conviction", F.floor(F.col("conviction") / 10).cast("double")).select(
         "symbol", "profile", F.when(F.col("conviction") >= 40, "hold").otherwise("exit").alias("stance"), "conviction", "model_version", "as_of")
-    # each key in one file, in time order
-    rows.repartition("symbol", "profile").sortWithinPartitions("as_of").write.parquet(f"{root}/candidates")
-    issued = issue_stream(t.spark.readStream.schema(rows.schema).parquet(f"{root}/candidates"))
-    handle = lambda batch, batch_id: bus.write_batch(batch, f"{root}/issued", batch_id)
-    bus.consume(issued, "hysteresis", f"{root}/_ck", handle)
-    return t.spark.read.parquet(f"{root}/issued").select("symbol", "profile", ts("as_of"))
+    end = t.spark.range(1).select(F.lit("~").alias("symbol"), F.lit("~").alias("profile"), F.lit("hold").alias("stance"), F.lit(0.0).alias("conviction"), F.lit("~").alias("model_version"), F.lit("2124-01-01").cast("timestamp").alias("as_of"))
+    for part in (0, 1):  # every second candidate comes in a later batch
+        rows.where(F.pmod(F.xxhash64("symbol", "profile", "as_of"), F.lit(2)) == part).write.mode("append").parquet(f"{root}/candidates")
+        if part:
+            end.write.mode("append").parquet(f"{root}/candidates")
+        issued = issue_stream(t.spark.readStream.schema(rows.schema).parquet(f"{root}/candidates"), "3650 days")
+        handle = lambda batch, batch_id: bus.write_batch(batch, f"{root}/issued", batch_id)
+        bus.consume(issued, "hysteresis", f"{root}/_ck", handle)
+    return t.spark.read.parquet(f"{root}/issued").where("symbol <> '~'").select("symbol", "profile", ts("as_of"))

@@ -151,31 +151,62 @@ def limit_alert_stream(stream: DataFrame) -> DataFrame:
 
 
 class Hysteresis(StatefulProcessor):
-    """Streaming form of issue hysteresis, keyed by (symbol, profile): the last issued row."""
+    """Streaming form of issue hysteresis, keyed by (symbol, profile): the last issued row and the rows still waiting.
+
+    Rows wait until the watermark has passed them and are then decided in the order of their times, so
+    neither the order inside a batch nor the batch a row comes in matters. A key holds the rows of the
+    watermark's delay.
+    """
+
+    FIELDS = "as_of bigint, stance string, conviction double, version string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._last = handle.getValueState("last", "stance string, conviction double, version string")
+        self._waiting = handle.getListState("waiting", self.FIELDS)
 
     def handleInputRows(self, key, rows, timerValues):
-        last = tuple(self._last.get()) if self._last.exists() else None
         for pdf in rows:
-            keep = []
-            pdf = pdf.sort_values("as_of")
-            for s, c, v in zip(pdf["stance"], pdf["conviction"], pdf["model_version"]):
-                hold = last is not None and last[0] == s and last[2] == v and abs(last[1] - c) <= HYSTERESIS
-                keep.append(not hold)
-                last = last if hold else (s, float(c), v)
-            out = pdf[keep]
-            yield out[["symbol", "profile", "stance", "conviction", "model_version", "as_of"]]
-        if last is not None:
+            times = pdf["as_of_us"]
+            self._waiting.appendList(list(zip(map(int, times), pdf["stance"], map(float, pdf["conviction"]), pdf["model_version"])))
+            for at in set(times.map(timer_of)):
+                self._handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        rows = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
+        due = sorted(r for r in rows if timer_of(r[0]) <= until)
+        rest = [r for r in rows if timer_of(r[0]) > until]
+        last, issued = tuple(self._last.get()) if self._last.exists() else None, []
+        for at, s, c, v in due:
+            if last is None or last[0] != s or last[2] != v or abs(last[1] - c) > HYSTERESIS:
+                last = (s, c, v)
+                issued.append((*key, s, c, v, at))
+        if issued:
             self._last.update(last)
+        if rest:
+            self._waiting.put(rest)
+        elif due:
+            self._waiting.clear()
+        yield pd.DataFrame(issued, columns=["symbol", "profile", "stance", "conviction", "model_version", "as_of_us"])
 
     def close(self) -> None:
         pass
 
 
-def issue_stream(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("symbol", "profile").transformWithStateInPandas(
-        Hysteresis(), outputMode="Append", timeMode="None",
-        outputStructType="symbol string, profile string, stance string, conviction double, model_version string, as_of timestamp",
-    )
+def timer_of(at_us: int) -> int:
+    """The millisecond by whose end an instant is past."""
+    return int(-(-at_us // 1000))
+
+
+def issue_stream(candidates: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The candidates that hysteresis issues, as soon as the watermark (``delay`` behind the newest) has passed them.
+
+    Rows that come later than the delay are left out by the watermark.
+    """
+    rows = candidates.withWatermark("as_of", delay).withColumn("as_of_us", F.unix_micros("as_of"))
+    issued = rows.groupBy("symbol", "profile").transformWithStateInPandas(
+        Hysteresis(), outputMode="Append", timeMode="EventTime",
+        outputStructType="symbol string, profile string, stance string, conviction double, model_version string, as_of_us bigint")
+    return issued.select("symbol", "profile", "stance", "conviction", "model_version", F.timestamp_micros("as_of_us").alias("as_of"))

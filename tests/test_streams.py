@@ -81,13 +81,25 @@ def test_stateful_budget(spark, tmp_path):
     assert {r["alert_id"]: r["sent"] for r in rows} == {i: i < 12 for i in range(15)}
 
 
-def test_stateful_hysteresis(spark, tmp_path):
+def test_stateful_hysteresis_decides_in_time_order(spark, tmp_path):
+    """Shuffled candidates over several batches give what the replay in time order gives."""
+    import random
+
+    from tapeloom.plans import fusion
+
+    rng = random.Random(7)
     schema = "symbol string, profile string, stance string, conviction double, model_version string, as_of timestamp"
     path = str(tmp_path / "c")
-    rows = [("A", "d", "hold", c, "v", NOW + dt.timedelta(days=i)) for i, c in enumerate([50.0, 55.0, 59.0, 60.0])] + [("B", "d", "buy", 70.0, "v", NOW)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
-    got = drain(stateful.issue_stream(spark.readStream.schema(schema).parquet(path)), tmp_path, "hyst")
-    assert sorted((r["symbol"], r["conviction"]) for r in got) == [("A", 50.0), ("A", 59.0), ("B", 70.0)]
+    rows = [(s, "d", rng.choice(["hold", "hold", "hold", "buy"]), float(rng.randrange(40, 70)), rng.choice(["v", "v", "w"]), NOW + dt.timedelta(minutes=m)) for s in "ABC" for m in rng.sample(range(600), 40)]
+    rng.shuffle(rows)
+    end = [("~", "~", "hold", 0.0, "v", NOW + dt.timedelta(days=900))]
+    got = []
+    for part in (rows[:50], rows[50:90], rows[90:], end):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        got += drain(stateful.issue_stream(spark.readStream.schema(schema).parquet(path), "1 day"), tmp_path, "hyst")
+    want = fusion.replay_hysteresis(spark.createDataFrame(rows, schema)).where("issued").collect()
+    key = lambda r: (r["symbol"], r["as_of"], r["stance"], r["conviction"], r["model_version"])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) < len(rows)
 
 
 def test_watermark_dedup(spark, tmp_path):
