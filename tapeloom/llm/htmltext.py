@@ -48,25 +48,34 @@ BLOCKS = frozenset(
     "li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = BLOCKS | frozenset("span a button select label b i em strong small".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies responses discussion".split())
 WORDS = COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement advertising banner sidebar menu nav navbar navigation header masthead footer cookie cookies consent gdpr notice notices promo "
     "sponsor sponsored newsletter subscribe breadcrumb breadcrumbs share sharing social related popup modal widget complementary contentinfo search form alert".split())
 
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons column container content group holder icons inline inner item items left link links list mobile panel "
+    "reader readers right row section signup slot small top unit user users wrap wrapper zone".split())
+
+#: A quote opens a value only after an equals sign; one that nothing closes is an ordinary character. Only the
+#: last quote of a page can lack its end, so the scan is linear however long a value is.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:\s(?:\"[^\"]{0,4000}\"|'[^']{0,4000}'|[^'\">]){0,4000}+)?)/?>|"
-    r"<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=]++)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
 
 
-def marked(attr: str, words: frozenset) -> bool:
-    """Whether class, id or role hold a name that begins or ends with one of the words."""
+def marked(attr: str, words: frozenset, whole: bool = False) -> bool:
+    """Whether class, id or role hold a name that begins or ends with one of the words; with ``whole``, one of nothing but such words."""
     for m in MARKS.finditer(attr):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = re.split(r"[-_]+", name)
-            if parts[0] not in ("has", "no", "with", "without", "is") and (parts[0] in words or parts[-1] in words):
+            if whole:
+                if any(p in words for p in parts) and all(p in words or p in NEUTRAL for p in parts):
+                    return True
+            elif parts[0] not in ("has", "no", "with", "without", "is") and (parts[0] in words or parts[-1] in words):
                 return True
     return False
 
@@ -79,8 +88,10 @@ def zone_of(name: str, attr: str, above: str) -> str:
         return "furniture" if attr and marked(attr, COMMENT_WORDS) else "main"
     if name == "header":
         return "main" if above == "main" else "furniture"
-    if name not in ("html", "body") and attr and marked(attr, WORDS):
-        return "furniture"
+    if name not in ("html", "body") and attr:
+        # inside main text a name counts only if all of it speaks of furniture, and a header is the text's own
+        if marked(attr, WORDS - {"header", "masthead", "form"}, whole=True) if above == "main" else marked(attr, WORDS):
+            return "furniture"
     return above
 
 
@@ -105,11 +116,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m.start() > pos:
             held.append(page[pos : m.start()])
         pos = m.end()
-        name = m["name"] or m["name2"]
+        name = m["name"]
         if not name:
             continue
         name = name.lower()
-        attr, ends = m["attr"] or m["attr2"] or "", bool(m["end"] or m["end2"])
+        attr, ends = m["attr"] or "", bool(m["end"])
         if name in RAW:
             if not ends:
                 after = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
