@@ -271,6 +271,7 @@ oracle("filing_dedup_two_layer", "SELECT filing_id, feed, dedup_key, content_has
 oracle("filing_dedup_stored", "SELECT n.filing_id, n.feed FROM unique_new n WHERE NOT EXISTS (SELECT 1 FROM unique_old o WHERE o.content_hash = n.content_hash) AND NOT EXISTS (SELECT 1 FROM unique_old o WHERE o.feed = n.feed AND o.dedup_key = n.dedup_key)")
 oracle("first_wins_insert", f"SELECT day, symbol, side, kind, client, qty, {r6('price')} FROM (SELECT *, row_number() OVER (PARTITION BY day, symbol, side, kind ORDER BY seq, price, qty) AS r FROM deals) WHERE r = 1")
 oracle("last_wins_upsert", f"SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.agent, n.agent) AS agent, coalesce(n.score, o.score) AS score, coalesce(o.score_id, n.score_id) AS score_id, {ts('coalesce(n.as_of, o.as_of)', 'as_of')} FROM (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-01') o FULL JOIN (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-28') n ON n.symbol = o.symbol AND n.agent = o.agent")
+oracle("bucketed_upsert", f"SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.agent, n.agent) AS agent, coalesce(n.score, o.score) AS score, coalesce(o.score_id, n.score_id) AS score_id, {ts('coalesce(n.as_of, o.as_of)', 'as_of')} FROM (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-01') o FULL JOIN (SELECT * FROM stored_scores WHERE as_of = TIMESTAMP '2001-07-28') n ON n.symbol = o.symbol AND n.agent = o.agent")
 oracle("uniqueness_check", "SELECT feed, dedup_key, count(*) AS n FROM typed WHERE dedup_key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 part("doc_files", "SELECT CASE WHEN octet_length(encode(text)) <= 52428800 THEN sha256(text) END AS h, cast(octet_length(encode(text)) as bigint) AS b, 'https://files.example/' || doc_id || '.txt' AS u FROM documents")
 oracle("exact_document_dedup", """SELECT h AS sha256, max(b) AS bytes, count(*) AS copies, min(u) AS url, substr(h, 1, 2) || '/' || h || '.txt' AS path, 'fetched' AS fetch_status, cast(NULL as string) AS fetch_error FROM doc_files WHERE h IS NOT NULL GROUP BY h

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -12,7 +13,8 @@ from tapeloom.driver.tables import AS_OF, Tables
 from tapeloom.functions import calendar as cal
 from tapeloom.operators import asof, indicators as ind, keyed, pit, resolve
 from tapeloom.plans import alerts, backtest, evaluate, flow, fundamental, fusion, master, performance, risk, rules, technical, views
-from tapeloom.sources import documents, feeds, xbrl
+from tapeloom.sources import buckets, documents, feeds, xbrl
+from tapeloom.sources.sinks import shared_dir
 from tapeloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,6 +369,16 @@ def last_wins_upsert(t):
     return out.select("symbol", "agent", "score", "score_id", ts("as_of"))
 
 
+@query
+def bucketed_upsert(t):
+    """Two days of scores through the stored table: the second rewrites the buckets of its keys only."""
+    key, root = ["symbol", "agent"], f"{shared_dir(t.spark)}/scores-{uuid.uuid4().hex}"
+    of = lambda d: t.stored_scores.where(F.col("as_of") == F.lit(d).cast("timestamp"))
+    buckets.upsert_state(of("2001-07-01"), root, key, ["score_id"], buckets=16)
+    buckets.upsert_state(of("2001-07-28"), root, key, ["score_id"], update=["score", "as_of"])
+    return buckets.read_state(t.spark, root).select("symbol", "agent", "score", "score_id", ts("as_of"))
+
+
 @query
 def uniqueness_check(t):
     return keyed.uniqueness_violations(typed_entries(t), ["feed", "dedup_key"]).where(F.col("dedup_key").isNotNull()).select(
