@@ -8,6 +8,7 @@ Amounts are taken in thousands, so that liquidity gates divide the symbols.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -355,13 +356,24 @@ class Tables:
         if self._root is None:
             self._stored = set()
             self._root = f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
-        for name in [n for n in names if n not in self._stored]:
-            self._stored.add(name)
-            path = f"{self._root}/{name}"
-            getattr(self, name).write.parquet(path)
-            self._made[name] = self.spark.read.parquet(path)
+        todo = [n for n in names if n not in self._stored]
+        while todo:
+            # tables that read none of the others are written side by side
+            ready = [n for n in todo if not self._below(n) & set(todo)]
+            frames = [getattr(self, n) for n in ready]
+            paths = [f"{self._root}/{n}" for n in ready]
+            with ThreadPoolExecutor(len(ready)) as pool:
+                list(pool.map(lambda df, path: df.write.parquet(path), frames, paths))
+            self._made |= {n: self.spark.read.parquet(p) for n, p in zip(ready, paths)}
+            self._stored |= set(ready)
+            todo = [n for n in todo if n not in self._stored]
         return self
 
+    def _below(self, name: str) -> set[str]:
+        """The views under a view that are not stored yet."""
+        used = set(_expand(VIEWS[name], SPARK, lambda t: t)[1]) if name in VIEWS else set()
+        return {u for n in used for u in ({n} | self._below(n) if n not in self._stored else ())}
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in BASE):
             raise AttributeError(name)

@@ -160,32 +160,48 @@ def keep_revision(rows: DataFrame) -> DataFrame:
     return rows.join(pick, [*key, "doc", "doc_no"], "left_semi")
 
 
+def last_before(values: DataFrame, at: str, taken: list[str], targets: DataFrame, rank: str, by: list[str]) -> DataFrame:
+    """``targets`` with the columns ``taken`` of the last row of ``values`` (by ``at``) that is not behind ``rank``, within ``by``."""
+    kept = [c for c in targets.columns if c not in by]
+    left = values.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(*taken).alias("_value"), F.lit(None).cast(targets.select(F.struct(*kept).alias("t")).schema["t"].dataType).alias("_target"))
+    right = targets.select(*by, F.col(rank).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(left.schema["_value"].dataType).alias("_value"), F.struct(*kept).alias("_target"))
+    w = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.unionByName(right).withColumn("_value", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1")
+    return met.select(*by, "_target.*", "_value.*")
+
+
 def other_period_medians(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(symbol, period_end, _median): upper median of non-zero revenue in other periods.
 
-    Exact and distributed: revenues become counts, counts fall into fixed logarithmic cells,
-    cell totals locate the cell of the median, and only that cell's values are ordered.
+    All periods of a symbol share one table of values with their ranks. The element of rank k among the
+    other periods has, among all, that rank plus the number of the period's own values in front of it, and
+    an own value is in front if no more than k values of other periods are smaller. So every step has the
+    symbol's values or the period's own ones, and no period meets another. Ranks are taken in fixed
+    logarithmic cells, so a symbol with very many values is ordered in parts.
     """
-    counts = rows.where(F.col("revenue").isNotNull() & (F.col("revenue") != 0)).groupBy(
-        "symbol", "period_end", "revenue"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    a = asked.withColumnRenamed("period_end", "_p")
-    others = counts.join(a, "symbol").where(F.col("period_end") != F.col("_p")).groupBy("symbol", "_p", "revenue").agg(
-        F.sum("_n").alias("_n")
-    )
+    known = rows.where(F.col("revenue").isNotNull() & (F.col("revenue") != 0)).join(asked.select("symbol").distinct(), "symbol", "left_semi")
     # 64 cells per octave, monotone in the value on both sides of zero
     size = F.floor(F.log2(F.abs("revenue")) * 64) + 100_000
-    cells = others.withColumn("_cell", F.when(F.col("revenue") > 0, size).otherwise(-size))
-    totals = cells.groupBy("symbol", "_p", "_cell").agg(F.sum("_n").alias("_t"))
-    w = Window.partitionBy("symbol", "_p")
-    totals = totals.withColumns({"_k": F.floor(F.sum("_t").over(w) / 2), "_run": F.sum("_t").over(w.orderBy("_cell"))})
-    home = totals.where((F.col("_run") > F.col("_k")) & (F.col("_run") - F.col("_t") <= F.col("_k"))).select(
-        "symbol", "_p", "_cell", "_k", (F.col("_run") - F.col("_t")).alias("_before")
-    )
-    inside = cells.join(home, ["symbol", "_p", "_cell"])
-    run = F.col("_before") + F.sum("_n").over(w.orderBy("revenue"))
-    hit = inside.withColumn("_run", run).where(F.col("_run") > F.col("_k"))
-    return hit.groupBy("symbol", "_p").agg(F.min("revenue").alias("_median")).withColumnRenamed("_p", "period_end")
+    values = known.groupBy("symbol", "revenue").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.when(F.col("revenue") > 0, size).otherwise(-size))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, w: F.coalesce(F.sum(n).over(earlier(w)), F.lit(0))
+    cells = values.groupBy("symbol", "_cell").agg(F.sum("_n").alias("_t"))
+    symbol = Window.partitionBy("symbol")
+    cells = stage(cells.withColumns({"_before": before("_t", symbol.orderBy("_cell")), "_all": F.sum("_t").over(symbol)}), "revenue-cells")
+    inside = Window.partitionBy("symbol", "_cell").orderBy("revenue")
+    ranked = stage(values.join(cells, ["symbol", "_cell"]).select("symbol", "_cell", "revenue", (F.col("_before") + before("_n", inside)).alias("_rank")), "revenue-ranks")
+
+    own = known.join(asked, ["symbol", "period_end"], "left_semi").groupBy("symbol", "period_end", "revenue").agg(F.count(F.lit(1)).alias("_n"))
+    period = Window.partitionBy("symbol", "period_end")
+    own = own.join(ranked.select("symbol", "revenue", "_rank"), ["symbol", "revenue"]).withColumns(
+        {"_smaller": F.col("_rank") - before("_n", period.orderBy("revenue")), "_own": F.sum("_n").over(period)})
+    others = F.col("_all") - F.coalesce("_own", F.lit(0))
+    sides = asked.join(cells.select("symbol", "_all").distinct(), "symbol").join(own.select("symbol", "period_end", "_n", "_smaller", "_own"), ["symbol", "period_end"], "left")
+    sides = sides.withColumn("_k", F.floor(others / 2)).where(others > 0)
+    front = F.sum(F.when(F.col("_smaller") <= F.col("_k"), F.col("_n")).otherwise(0))
+    targets = sides.groupBy("symbol", "period_end", "_k").agg(front.alias("_front")).select("symbol", "period_end", (F.col("_k") + F.coalesce("_front", F.lit(0))).alias("_want"))
+    placed = last_before(cells, "_before", ["_cell"], targets, "_want", ["symbol"])
+    return last_before(ranked, "_rank", ["revenue"], placed, "_want", ["symbol", "_cell"]).select("symbol", "period_end", F.col("revenue").alias("_median"))
 
 
 def load_financials(facts: DataFrame, filings: DataFrame) -> DataFrame:

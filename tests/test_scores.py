@@ -201,7 +201,7 @@ def test_clean_symbol(spark):
 
 @pytest.mark.parametrize("kw,word", [
     (dict(turnover=2.0), "illiquid"), (dict(close=3.0), "penny"), (dict(locked=20), "circuit-locked 33%"), (dict(surv=[("gsm", "GSM 1")]), "GSM"),
-    (dict(surv=[("asm_lt", "Stage II")]), "ASM long-term"), (dict(auditor=1), "auditor"), (dict(pledge=59.19), "pledge 59.2%"),
+    (dict(surv=[("asm_lt", "Stage II")]), "ASM long-term"), (dict(auditor=1), "auditor"), (dict(pledge=31.4), "pledge 31.4%"),
 ])
 def test_hard_blocks_name_their_reason(spark, kw, word):
     r = verdict(spark, **kw)
@@ -215,7 +215,7 @@ def test_three_penalties(spark):
 
 
 def test_moderate_pledge_is_a_penalty(spark):
-    r = verdict(spark, pledge=18.0)
+    r = verdict(spark, pledge=14.2)
     assert r["verdict"] == "penalty" and len(r["unavailable"]) == 3
 
 

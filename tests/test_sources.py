@@ -120,8 +120,8 @@ P, E, O, N = ("ShareholdingAsAPercentageOfTotalNumberOfShares", "EncumberedShare
 
 
 @pytest.mark.parametrize("xml,expect", [
-    (shp(fact(P, 0.2227) + fact(E, 0.5919) + fact(N, 32571028)), (22.27, 32571028.0, 59.19, 13.18)),
-    (shp(fact(P, 0.1637) + fact(O, 0.6144)), (16.37, None, 61.44, 10.06)),
+    (shp(fact(P, 0.3125) + fact(E, 0.24) + fact(N, 4811200)), (31.25, 4811200.0, 24.0, 7.5)),
+    (shp(fact(P, 0.41) + fact(O, 0.55)), (41.0, None, 55.0, 22.55)),
     (shp("", member=False), (0.0, None, 0.0, 0.0)),
     (shp(fact(P, 0.5) + fact("WhetherAnySharesHeldByPromotersAreEncumbered", "false")), (50.0, None, 0.0, 0.0)),
     (shp(fact(P, 0.5) + fact("WhetherAnySharesHeldByPromotersAreEncumbered", "true")), (50.0, None, None, None)),
@@ -205,3 +205,22 @@ def test_results_index(spark):
     assert rows["http://x/b.xml"]["to_date"] == rows["http://x/a.xml"]["to_date"]
     idx = spark.createDataFrame([("A", "1", "http://x/1", "01-Jul-2026"), ("A", "2", "-", "02-Jul-2026"), ("B", "3", "-", "01-Jul-2026")], "symbol string, recordId string, xbrl string, broadcastDate string")
     assert {r["symbol"]: r["record_id"] for r in xbrl.latest_submission(idx).collect()} == {"A": "1", "B": "none"}
+
+
+def test_medians_of_other_periods(spark):
+    """Against sorting the other periods' values, with ties, negative values, zeros, nulls and periods without values."""
+    import random
+
+    rng = random.Random(9)
+    day = lambda p: dt.date(2020 + p // 4, p % 4 * 3 + 1, 28)
+    rows = [(f"S{s}", day(rng.randrange(6)), rng.choice([None, 0.0, 5.0, 5.0, 7.5, -3.0, rng.uniform(-1e3, 1e6), float(rng.randrange(4))])) for s in range(30) for _ in range(rng.choice((1, 2, 9, 40)))]
+    rows += [("HOT", day(rng.randrange(5)), rng.uniform(1, 1e9)) for _ in range(3000)]
+    asked = sorted({(s, p) for s, p, _ in rows} | {("S1", day(7)), ("NONE", day(0))})
+    want = {}
+    for s, p in asked:
+        others = sorted(v for t, q, v in rows if t == s and q != p and v)
+        if others:
+            want[s, p] = others[len(others) // 2]
+    df = spark.createDataFrame(rows, "symbol string, period_end date, revenue double").repartition(3)
+    got = xbrl.other_period_medians(df, spark.createDataFrame(asked, "symbol string, period_end date")).collect()
+    assert {(r["symbol"], r["period_end"]): r["_median"] for r in got} == want and len(got) == len(want)
