@@ -43,10 +43,15 @@ def lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the files of a written table are small enough to send them to every executor."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= BROADCAST_MB << 20
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table, with a broadcast hint if its files are small."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= BROADCAST_MB << 20 else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -88,10 +93,18 @@ def postings(docs: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
 
     ``around`` are the words from position ``first`` on, ``reach`` to either side of ``pos``.
     """
-    tokens = docs.select("id", "version", "w", F.posexplode("w").alias("pos", "token"))
-    hits = tokens.withColumn("term", F.lower("token")).join(small(anchors), "term")
     first = F.greatest(F.lit(0), F.col("pos") - reach)
-    return hits.select("term", "id", "version", "pos", first.alias("first"), F.slice("w", first + 1, F.col("pos") - first + reach + 1).alias("around"))
+    around = F.slice("w", first + 1, F.col("pos") - first + reach + 1)
+    if is_small(anchors):
+        tokens = docs.select("id", "version", "w", F.posexplode("w").alias("pos", "token"))
+        hits = tokens.withColumn("term", F.lower("token")).join(F.broadcast(anchors), "term")
+        return hits.select("term", "id", "version", "pos", first.alias("first"), around.alias("around"))
+    # places alone meet the terms by shuffle; the texts of the documents with a hit move once each
+    places = docs.select("id", "version", F.posexplode("w").alias("pos", "token")).select("id", "version", "pos", F.lower("token").alias("term"))
+    hits = places.join(anchors, "term").select("term", F.col("id").alias("hit_id"), F.col("version").alias("hit_version"), "pos").distinct()
+    texts = docs.groupBy("id", "version").agg(F.first("w").alias("w"))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version"))
+    return hits.join(texts, same).select("term", "id", "version", "pos", first.alias("first"), around.alias("around"))
 
 
 def matches(index: DataFrame, anchors: DataFrame, wins: DataFrame) -> DataFrame:
