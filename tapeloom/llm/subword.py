@@ -66,8 +66,13 @@ def words_of(text: str) -> tuple[list[str], int]:
 def word_features(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams."""
     marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in ["=" + word, *grams]]
+    whole = marked.encode("utf-8", "surrogatepass")
+    size = len(marked)
+    if len(whole) == size:  # one byte a character
+        grams = [whole[i : i + n] for n in GRAMS for i in range(size - n + 1)]
+    else:
+        grams = [marked[i : i + n].encode("utf-8", "surrogatepass") for n in GRAMS for i in range(size - n + 1)]
+    return [h % BUCKETS for h in map(zlib.crc32, [b"=" + whole[1:-1], *grams])]
 
 
 def text_features(text: str, memo: dict[str, list[int]]) -> Counter:
