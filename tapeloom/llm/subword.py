@@ -2,8 +2,8 @@
 
 Every word gives a feature for itself and one for each of its character n-grams, with marks at its
 ends; a word that repeats the one before it is read as a back reference instead, the one word bigram
-that means the same for every word. Features are hashed to ``BUCKETS`` vectors of ``DIM`` numbers. The vectors
-of a text are averaged and a softmax layer gives the share of good quality. Vectors and layer are
+that means the same for every word. Features are hashed to ``BUCKETS`` vectors of ``DIM`` numbers. A word is the
+mean of its features, a text the mean of its words, and a softmax layer gives the share of good quality. Vectors and layer are
 learnt together by stochastic gradient descent in numpy with a step size per number.
 
 Learning uses a bounded sample of the labelled rows, about ``SAMPLE`` documents of each label, chosen by
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import eq
 
@@ -44,6 +44,8 @@ GRAMS = (3, 4, 5)
 PARTS = 4
 ROUNDS = 6
 BATCH = 32
+#: Minibatches of a part in a round; a part with fewer goes through its own again.
+STEPS = 25
 RATE = 0.2
 SEED = 17
 LONG_WORD = 64
@@ -54,12 +56,12 @@ GOOD = 0.7
 def words_of(text: str) -> tuple[list[str], int]:
     """The words that differ from the one before, and the number of those that don't."""
     words = text.split()
+    if any(len(w) > LONG_WORD for w in words):
+        words = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
     n = len(words)
     if any(map(eq, words, words[1:])):
         words = words[:1] + [w for v, w in zip(words, words[1:]) if v != w]
     again = n - len(words)
-    if any(len(w) > LONG_WORD for w in words):
-        words = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
     return words, again
 
 
@@ -75,23 +77,26 @@ def word_features(word: str) -> list[int]:
     return [h % BUCKETS for h in map(zlib.crc32, [b"=" + whole[1:-1], *grams])]
 
 
-def text_features(text: str, memo: dict[str, list[int]]) -> Counter:
-    """Counts of the features of a whole text."""
+def text_features(text: str, memo: dict[str, list[int]]) -> dict[int, float]:
+    """Weights of the features of a whole text: each word weighs one, shared by its features."""
     words, again = words_of(text)
-    counts: Counter = Counter()
+    weights: defaultdict[int, float] = defaultdict(float)
     for word, n in Counter(words).items():
-        for f in memo[word]:
-            counts[f] += n
+        found = memo[word]
+        for f in found:
+            weights[f] += n / len(found)
     if again:
-        counts[AGAIN] = again
-    counts[ANY] = 1
-    return counts
+        weights[AGAIN] = again
+    weights[ANY] = 1
+    return weights
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> tuple[DataFrame, dict[int, int]]:
     """(id, text, y) of about ``size`` labelled documents of each label at most, and the number of labelled ids by label."""
     votes = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
         F.min((F.col(label_col) > 0).cast("int")).alias("__y"))
+    # labels of other documents, held-out ones among them, count for nothing
+    votes = votes.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     n = {r["__y"]: r["n"] for r in votes.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("__y") == 1, size / max(size, n.get(1, 0))).otherwise(size / max(size, n.get(0, 0)))
@@ -171,18 +176,23 @@ def round_of(rows: DataFrame, model: Model, weights: tuple[float, float]) -> Mod
     sent = rows.sparkSession.sparkContext.broadcast(model.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, n, waiting = None, None, 0, []
+        own, part, n, waiting, held = None, None, 0, [], []
         balance = np.array(weights, dtype=np.float32)
 
         def learn() -> None:
             if waiting:
                 sizes = [ids.size for _, ids, _ in waiting]
                 y = np.array([w[0] for w in waiting])
-                own.step(np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting]), np.cumsum([0] + sizes[:-1]), y, balance[y])
+                batch = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting]), np.cumsum([0] + sizes[:-1]), y, balance[y]
+                own.step(*batch)
+                held.append(batch if len(held) < STEPS else None)
                 waiting.clear()
 
         def result() -> pa.RecordBatch:
             learn()
+            for k in range(len(held), STEPS):
+                own.step(*held[k % len(held)])
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([own.dump()], pa.binary())], names=["part", "n", "model"])
 
         for batch in batches:
@@ -234,17 +244,16 @@ def score(docs: DataFrame, learnt: tuple[np.ndarray, float], carry: list[str], t
         values, bias = sent.value
         table = values.tolist()
 
-        def fill(word: str) -> tuple[float, int]:
+        def fill(word: str) -> float:
             found = word_features(word)
-            return sum(table[f] for f in found), len(found)
+            return sum([table[f] for f in found]) / len(found)
 
         memo = Memo(fill, 300_000)
 
         def one(text: str) -> tuple[float, int]:
             words, again = words_of(text)
-            found = [memo[w] for w in words]
-            total = sum([x for x, _ in found]) + again * table[AGAIN] + table[ANY]
-            odds = bias + total / (sum([k for _, k in found]) + again + 1)
+            total = sum([memo[w] for w in words]) + again * table[AGAIN] + table[ANY]
+            odds = bias + total / (len(words) + again + 1)
             value = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             return value, int(value >= GOOD)
 

@@ -90,6 +90,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("__y"))
     )
+    # labels of other documents, held-out ones among them, count for nothing
+    votes = votes.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     n = {r["__y"]: r["n"] for r in votes.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = votes.where(place < F.when(F.col("__y") == 1, size / max(size, n.get(1, 0))).otherwise(size / max(size, n.get(0, 0))))
