@@ -65,8 +65,11 @@ def stage(df: DataFrame, name: str, outlives: bool = False, by: str | None = Non
     scopes = _SCOPES.get()
     if len(scopes) > outlives:
         scopes[-1 - outlives].append(path)
-    (df.write if by is None else df.repartition(by).write.partitionBy(by)).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.repartition(by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table has no files to read it from
 
 
 @contextmanager
