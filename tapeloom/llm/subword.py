@@ -27,6 +27,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -209,8 +210,9 @@ def round_of(rows: DataFrame, model: Model, weights: tuple[float, float]) -> Mod
         if own is not None:
             yield result()
 
-    dealt = rows.repartition(PARTS, "part").sortWithinPartitions("part", "place").select("part", "y", "ids", "shares")
-    made = dealt.mapInArrow(run, schema(("part", IntegerType()), ("n", IntegerType()), ("model", BinaryType()))).collect()  # PARTS models
+    # each part has a folder of its own, so no round moves the table
+    parts = [rows.where(F.col("part") == p).coalesce(1).sortWithinPartitions("place").select("part", "y", "ids", "shares") for p in range(PARTS)]
+    made = reduce(DataFrame.union, parts).mapInArrow(run, schema(("part", IntegerType()), ("n", IntegerType()), ("model", BinaryType()))).collect()  # PARTS models
     made.sort(key=lambda r: r["part"])
     sent.destroy()
     return Model.average([bytes(r["model"]) for r in made], [float(r["n"]) for r in made])
@@ -220,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(a number for each bucket, the softmax layer's bias), both as log odds of good quality."""
     ship_package(docs.sparkSession)
     sample, n = labelled_sample(docs, labels, id_col, text_col, label_col, size)
-    rows = stage(count_rows(sample), "quality-features")
+    rows = stage(count_rows(sample), "quality-features", by="part")
     there = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(there) < 2:
         share = {(): 0.5, (0,): 0.0, (1,): 1.0}[tuple(there)]
